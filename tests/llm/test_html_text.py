@@ -1,0 +1,46 @@
+import pytest
+
+from textloom.llm import html_text as h
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("", ""),
+        ("plain &amp; simple", "plain & simple"),
+        ("<article><h1>T&eacute;st</h1><p>a  b\n c<br>d<p>e</article><footer>f</footer>", "Tést\na b c d\ne"),
+        ("<nav>menu</nav><article><p>x <b>bold<p>y</article>", "x bold\ny"),
+        ('<article><p>x<script>if (a<b) "</p>"</script>y<style>p{}</style></p><!-- no <p>c</p> --></article>', "xy"),
+        ('<div class="ad">buy</div><div id="content"><p>long text here</p></div><div class="user-comments"><p>I agree</p></div>', "long text here"),
+        ("<article><p>one<aside>side</aside><p>two<form><p>name</form></article>", "one\ntwo"),
+        ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
+        ("<article><p>cut off &am", "cut off &am"),
+        ("<article><p title='a > b' hidden>no</p><p data-x=\"<p>\">yes</p></article>", "yes"),
+        ("<title>t</title><nav>only</nav>", ""),
+        ("<p>1 < 2</p>", "1 < 2"),
+    ],
+)
+def test_extract_alone(html, want):
+    votes = h.votes(html)
+    best = min(votes, key=lambda p: (-votes[p], p)) if votes else None
+    assert h.extract(html, best) == want
+
+
+def test_hosts_agree(spark):
+    good = '<div class="c1"><p>{}</p></div><div class="more"><p>{}</p></div>'
+    rows = [(i, "http://Host/x", good.format("main text " * 30, "short")) for i in range(5)]
+    rows += [(9, "http://host/y", good.format("brief", "much longer text than usual, in the wrong place " * 9))]
+    rows += [(10, None, None), (11, "http://other", "<main>a</main>"), (11, "http://other", "<main>a</main>"), (None, "http://host/z", "<p>no such path</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as N_CHARS", "2 as host")
+    got = h.main_text(df).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    assert by[9].text == "brief" and by[0].text == ("main text " * 30).strip()
+    assert by[10].text == "" and by[10].n_chars == 0 and by[11].text == "a" and by[None].text == "no such path"
+    wide = {(r.page_id, r.text) for r in h.main_text(df, broadcast_hosts=0).collect()}
+    assert wide == {(r.page_id, r.text) for r in got}
+    assert h.main_text(df.limit(0)).count() == 0
+
+
+def test_many_open_tags_and_quotes():
+    assert h.extract("<div>" * 3000 + "x" + "<a '" * 2000, None)

@@ -4,9 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, transport_stream
+from . import bpe, html_text, transport_stream, url_filter, warc
 from .common import table
 
+OP4_RULES = [
+    url_filter.Rule("block", "net"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_revisit_bytes=0)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), OP4_RULES)
+
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -21,5 +40,11 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(docs).drop("text")
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op10_transport_stream": op10_transport_stream}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_warc": op2_warc,
+    "op3_html_text": op3_html_text,
+    "op4_url_filter": op4_url_filter,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_transport_stream": op10_transport_stream,
+}
+ORACLE_SQL = {"op4_url_filter": url_filter.oracle_sql(OP4_RULES)}
