@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, transport_stream, url_filter, warc
+from . import bpe, html_text, near_dup, transport_stream, url_filter, warc
 from .common import table
 
 OP4_RULES = [
@@ -35,6 +35,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return transport_stream.digests(docs).drop("text")
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_transport_stream": op10_transport_stream,
 }
 ORACLE_SQL = {"op4_url_filter": url_filter.oracle_sql(OP4_RULES)}
