@@ -1,0 +1,76 @@
+import random
+import re
+
+import pytest
+
+from textloom.llm import spans as s
+
+
+def cut(text):
+    """Sentences as (start, end, words) by a plain walk."""
+    out, begin, words = [], None, []
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0d]+", text)]
+    for k, (a, b) in enumerate(tokens):
+        begin = a if begin is None else begin
+        words.append(text[a:b].lower())
+        following = tokens[k + 1][0] if k + 1 < len(tokens) else len(text)
+        if text[b - 1] in ".!?" or "\n" in text[b:following] or k + 1 == len(tokens):
+            out.append((begin, following, tuple(words)))
+            begin, words = None, []
+    return out
+
+
+def brute(rows):
+    found, seen = {}, {}
+    for i, t in rows:
+        own = cut(t or "")
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                if b - a >= s.MIN_SENTENCES and sum(len(x[2]) for x in own[a:b]) >= s.MIN_WORDS:
+                    seen.setdefault(tuple(x[2] for x in own[a:b]), []).append((i, a, b))
+                    break
+    for where in seen.values():
+        for i, a, b in sorted(where)[1:]:
+            if (i, a) != sorted(where)[0][:2]:
+                found.setdefault(i, set()).update(range(a, b))
+    out = []
+    for i, t in rows:
+        own = cut(t or "")
+        gone = found.get(i, set())
+        lead = (t or "")[: own[0][0]] if own else (t or "")
+        out.append((i, lead + "".join(t[x[0] : x[1]] for k, x in enumerate(own) if k not in gone) if t is not None else None, len(own), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    sentence = lambda: " ".join("".join(r.choice("abcé") for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 14))) + r.choice([". ", "! ", "\n", ".\n\n "])
+    pool = [[sentence() for _ in range(r.randrange(2, 7))] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        t = [sentence() for _ in range(r.randrange(0, 8))]
+        for _ in range(r.randrange(0, 3)):
+            at = r.randrange(len(t) + 1)
+            t[at:at] = r.choice(pool)
+        rows.append((i, "  " * r.randrange(2) + "".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute(rows))
+    assert sorted(map(tuple, s.remove_repeats(df).collect())) == want and any(x[3] for x in want)
+    assert sorted(map(tuple, s.remove_repeats(df, broadcast_spans=-1).collect())) == want
+
+
+LONG = "This is the first sentence of a passage that repeats. And this is its second sentence, as long as the first. "
+
+
+def test_odd_rows(spark):
+    rows = [(1, "Other start. " + LONG + "Other end.", 1), (2, "prefix without end " + LONG.upper(), 2), (3, None, 3), (4, "", 4), (None, LONG, 5), (5, LONG, 6), (5, LONG, 6), (6, "Of. " * 3000, 7), (7, "x", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_Removed int").selectExpr("*", "1 as at", "2 as span")
+    got = {}
+    for row in s.remove_repeats(df).collect():
+        got.setdefault(row.doc_id, []).append(row)
+    assert got[1][0].text == rows[0][1] and got[1][0].n_removed == 0
+    assert got[2][0].n_removed == 0  # its first sentence has other words before it
+    assert got[3][0].text is None and got[4][0].text == "" and got[None][0].text == LONG
+    assert [r.text for r in got[5]] == ["", ""] and got[6][0].text == "Of. " and got[7][0].n_sentences == 1
+    assert s.remove_repeats(df.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, near_dup, transport_stream, url_filter, warc
+from . import bpe, decontaminate, html_text, near_dup, spans, transport_stream, url_filter, warc
 from .common import table
 
 OP4_RULES = [
@@ -27,6 +27,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), OP4_RULES)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +56,8 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
+    "op6_template_decontamination": op6_template_decontamination,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_transport_stream": op10_transport_stream,
