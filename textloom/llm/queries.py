@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, near_dup, spans, transport_stream, url_filter, warc
+from . import bpe, decontaminate, html_text, near_dup, quality, spans, transport_stream, url_filter, warc
 from .common import table
 
 OP4_RULES = [
@@ -15,6 +15,10 @@ OP4_RULES = [
 ]
 
 
+def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_revisit_bytes=0)
 
@@ -53,6 +57,7 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_factorisation_machine": op1_factorisation_machine,
     "op2_warc": op2_warc,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
