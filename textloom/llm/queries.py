@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, near_dup, quality, spans, transport_stream, url_filter, warc
+from . import bpe, decontaminate, html_text, near_dup, quality, secret_scan, spans, transport_stream, url_filter, warc
 from .common import table
 
 OP4_RULES = [
@@ -31,6 +32,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), OP4_RULES)
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path=F.col("source"))
+    return found.select("doc_id", "start_at", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
+    "op5_secret_forest": op5_secret_forest,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_sentence_spans": op7_sentence_spans,
     "op8_byte_bpe": op8_byte_bpe,
