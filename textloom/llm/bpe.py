@@ -253,8 +253,8 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Encodes, decodes the ids again, and adds n_tokens, ids_sha256 and decoded_sha256; the ids stay in the worker."""
+def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encodes, decodes the ids again, and adds n_tokens, ids_sha256 and decoded_sha256; the ids stay in the worker unless kept."""
 
     def make(texts):
         own = codec(path, pattern)
@@ -262,10 +262,11 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
         raw = ids.astype("<u4")
         sha = lambda b: hashlib.sha256(b).hexdigest()
         spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-        return [
+        out = [
             pa.array(np.diff(offsets), pa.int64()),
             pa.array([sha(raw[a:b].tobytes()) for a, b in spans], pa.string()),
             pa.array([sha(own.decode(ids[a:b])) for a, b in spans], pa.string()),
         ]
+        return out + ([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))] if keep_ids else [])
 
-    return _map(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _map(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, make)

@@ -250,6 +250,18 @@ def classify(docs: DataFrame, machine: Machine, metadata: list[str] | None = Non
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text"):
+                yield part.filter(pa.array(score(shared.value, data, offsets) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text); neither metadata nor ids are inputs."""
     docs = docs.select("doc_id", "text")
