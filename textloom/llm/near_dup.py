@@ -10,7 +10,8 @@
    components. A list whose other classes are in one component is done. This gives one pair per posting, never all pairs of a group.
 4. For lists that are left, shingles that only one of their classes has bound every overlap from above, which
    drops most of what can't link; pivots are then the classes with the most shared mass. After LATER_ROUNDS such
-   rounds all pairs of different components that the bounds allow are compared, so no link is lost to pivots.
+   rounds all pairs of different components that the bounds allow, now with bitmaps of the other shingles, are
+   compared, so no link is lost to pivots.
 
 The chance that a pair of similarity 0.8 agrees in fewer than MATCHES = 22 of 48 coordinates is about 5e-8; every
 reported link has been confirmed on whole sets of 64-bit shingle hashes. There is no cap on partners.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, text_slices
@@ -33,6 +34,8 @@ from .shingles import overlap, set_digest, shingle_sets, signatures
 
 COORDINATES, MATCHES = 48, 22
 LATER_ROUNDS = 2
+#: Longs in a bitmap of shared shingles; a power of two.
+WORDS_64 = 16
 #: Documents whose ids are broadcast to fetch their texts again (16 bytes each); with more, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 #: Classes that meet one copy of a pivot's set.
@@ -130,8 +133,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def unshared(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, u: how many shingles of each node no other of the nodes has."""
+def masses(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, n, m, b0 ...: the shingles of each node, how many of them some other node has too, and those as a bitmap of WORDS_64 longs."""
 
     def run(batches):
         for batch in batches:
@@ -140,9 +143,29 @@ def unshared(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 owner = np.repeat(np.array(part.column("node").to_pylist(), np.int64), np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(values.view(np.int64))], names=["node", "shingle"])
 
-    own = _texts_of(docs, nodes, nodes.count()).select("node", "text").mapInArrow(run, "node long, shingle long")
-    alone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    own = settle(_texts_of(docs, nodes, nodes.count()).select("node", "text").mapInArrow(run, "node long, shingle long"), "shingles")
+    shared = settle(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle"), "shared-shingles")
+    bit = F.shiftrightunsigned("shingle", 64 - 6 - WORDS_64.bit_length() + 1)
+    word = F.shiftright(bit, 6)
+    maps = [F.bit_or(F.when(word == j, F.expr("shiftleft(1L, int(bit & 63))")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(WORDS_64)]
+    found = own.join(shared, "shingle").withColumn("bit", bit).groupBy("node").agg(F.count(F.lit(1)).alias("m"), *maps)
+    sizes = own.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(found, "node", "left").fillna(0)
+
+
+def may_link(percent: int, bitmaps: bool) -> Column:
+    """Whether the bounds allow a pair to link: what only one of the two can have is at most what the similarity allows.
+
+    The symmetric difference holds the shingles that no other node has, and at least one for each bit that
+    differs in the bitmaps of the others.
+    """
+    apart = F.col("n") - F.col("m") + F.col("pivot_n") - F.col("pivot_m")
+    shared = F.least("m", "pivot_m")
+    out = (100 * shared >= percent * (F.col("n") + F.col("pivot_n") - shared)) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("pivot_n")))
+    if bitmaps:
+        differ = sum((F.bit_count(F.col(f"b{j}").bitwiseXOR(F.col(f"pivot_b{j}"))) for j in range(1, WORDS_64)), F.bit_count(F.col("b0").bitwiseXOR(F.col("pivot_b0"))))
+        out = out & ((100 + percent) * (apart + differ) <= (100 - percent) * (F.col("n") + F.col("pivot_n")))
+    return out
 
 
 class _Work:
@@ -185,27 +208,25 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     nodes = settle(lists.select("node").distinct(), "nodes")
     if nodes.isEmpty():
         return work.links
-    extra = settle(nodes.join(unshared(docs, nodes, width), "node", "left").join(classes.select("node", "n_shingles"), "node").select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("u", F.lit(0))).alias("m")), "masses")
-    lists = work.open_lists(lists.select("key", "node").join(extra.where(100 * F.col("m") >= percent * F.col("n")), "node"))
-    shared = F.least("m", "pivot_m")
-    may_link = 100 * shared >= percent * (F.col("n") + F.col("pivot_n") - shared)
+    extra = settle(masses(docs, nodes, width).where(100 * F.col("m") >= percent * F.col("n")), "masses")
+    lists = work.open_lists(lists.select("key", "node").join(extra.select("node", "n", "m"), "node"))
     for _ in range(LATER_ROUNDS):
         if lists.isEmpty():
             return work.links
         best = F.min(F.struct((F.lit(1.0) - F.col("m") / F.col("n")).alias("r"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("component").alias("c"), F.col("n").alias("n"), F.col("m").alias("m")))
         best = lists.groupBy("key").agg(best.alias("b")).select("key", F.col("b.p").alias("pivot"), F.col("b.c").alias("pivot_c"), F.col("b.n").alias("pivot_n"), F.col("b.m").alias("pivot_m"))
         starred = lists.join(settle(best, "pivots"), "key").where("node <> pivot")
-        work.link(starred.where(may_link & (F.col("component") != F.col("pivot_c"))).select("pivot", "node"))
+        work.link(starred.where(may_link(percent, False) & (F.col("component") != F.col("pivot_c"))).select("pivot", "node"))
         lists = work.open_lists(starred.select("key", "node", "n", "m"))
     if lists.isEmpty():
         return work.links
     # the smaller side of each pair: nodes outside the list's most common component
     size = lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = settle(size.groupBy("key").agg(F.max(F.struct("c", "component")).alias("b")).select("key", F.col("b.component").alias("main")), "main")
-    marked = lists.join(main, "key")
-    left = marked.where("component <> main").select("key", F.col("node").alias("pivot"), F.col("component").alias("pivot_c"), F.col("n").alias("pivot_n"), F.col("m").alias("pivot_m"))
+    marked = lists.join(main, "key").join(extra.drop("n", "m"), "node")
+    left = marked.where("component <> main").withColumnsRenamed({"node": "pivot", "component": "pivot_c"} | {c: f"pivot_{c}" for c in extra.columns if c != "node"}).drop("main")
     rest = (F.col("component") != F.col("pivot_c")) & ((F.col("component") == F.col("main")) | (F.col("node") > F.col("pivot")))
-    work.link(marked.join(left, "key").where(rest & may_link).select("pivot", "node"))
+    work.link(marked.join(left, "key").where(rest & may_link(percent, True)).select("pivot", "node"))
     return work.links
 
 
