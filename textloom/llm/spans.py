@@ -1,10 +1,11 @@
 """Substring dedup on sliding runs of sentences.
 
 A sentence ends with a word that ends in . ! or ?, or at the end of a line. From each sentence runs the shortest
-span of at least MIN_SENTENCES sentences and MIN_WORDS words; all spans of all documents meet by hash, and of
+span of at least MIN_SENTENCES sentences and MIN_WORDS words (a first sentence of LONE_WORDS words is a span by
+itself, so that passages of one or two long sentences are found too); all spans of all documents meet by hash, and of
 each repeated span every occurrence but the first, in the order of (doc_id, sentence), has its sentences
 removed. Spans slide by one sentence, so a passage is found whatever stands around it, and two documents that
-share one sentence keep it. Where a text repeats itself without a gap, spans overlap the first one and its
+share one ordinary sentence keep it. Where a text repeats itself without a gap, spans overlap the first one and its
 sentences after the very first go too. A-Z case and white space don't matter.
 
 Hashes are counted with partial aggregation, and only repeated ones are joined back, on the hash, by an equi-join that
@@ -26,7 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import mix, rows_of, settle, text_slices, words
 
-MIN_SENTENCES, MIN_WORDS = 2, 16
+MIN_SENTENCES, MIN_WORDS, LONE_WORDS = 2, 16, 24
 #: Spans to remove that are broadcast to the documents (about 24 bytes each); with more, a shuffle join brings them.
 BROADCAST_SPANS = 500_000
 
@@ -69,7 +70,7 @@ def spans(row: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.nda
         count[live] += 1
         out[live] += mix(hashes[at] + _U(step * 0xA24BAED4963EE407 % (1 << 64)))
         step += 1
-        whole = (count[live] >= MIN_SENTENCES) & (total[live] >= MIN_WORDS)
+        whole = (count[live] >= MIN_SENTENCES) & (total[live] >= MIN_WORDS) | (total[live] >= LONE_WORDS)
         done.append(live[whole])
         live = live[~whole]
     first = np.concatenate(done) if done else np.zeros(0, np.int64)
