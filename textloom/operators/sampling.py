@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from .ordering import with_position
 
 # Research fields of the pool.
 FIELDS = ["Physics", "Computer Science", "Mathematics", "Engineering", "Materials Science", "Medicine", "Environmental Science", "Chemistry", "Economics", "Biology"]
@@ -107,16 +108,15 @@ def split(df: DataFrame, stratum_col: str, id_col: str, seed: int = 42, test: fl
 
 def shard(df: DataFrame, order: list[str], shards: int, contiguous: bool = True) -> DataFrame:
     """Adds `shard`: contiguous blocks of ceil(n / shards) rows, or every shards-th row, in a stated order."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    if not contiguous:
-        return df.withColumn("shard", F.pmod(place, F.lit(shards)))
-    size = max(1, -(-df.count() // shards))
-    return df.withColumn("shard", F.floor(place / size).cast("int"))
+    placed = with_position(df, order, "__place")
+    size = max(1, -(-df.count() // shards)) if contiguous else shards
+    place = F.col("__place")
+    return placed.withColumn("shard", (F.floor(place / size) if contiguous else F.pmod(place, F.lit(size))).cast("int")).drop("__place")
 
 
 def range_of(df: DataFrame, order: list[str], start: int = 0, end: int = -1) -> DataFrame:
     """The rows from start up to end in a stated order; a negative end takes all the rest."""
-    placed = df.withColumn("__n", F.row_number().over(Window.orderBy(*order)) - 1)
+    placed = with_position(df, order, "__n")
     kept = placed.where(F.col("__n") >= start)
     return (kept.where(F.col("__n") < end) if end >= 0 else kept).drop("__n")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.scalars import finite
+from .ordering import average_ranks, with_running_sum
 
 
 def long_form(df: DataFrame, columns: list[str], ids: list[str] | None = None) -> DataFrame:
@@ -66,12 +67,12 @@ def histogram(df: DataFrame, col: str, bins: int = 50, log: bool = False) -> Dat
     own = df.select(value.alias("v")).where("v is not null")
     if log:
         own = own.where("v > 0").select(F.log1p("v").alias("v"))
-    edges = own.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    rows = own.join(F.broadcast(edges))  # one row
-    out = rows.groupBy(place.alias("bin"), "lo", "hi", "total").agg(F.count(F.lit(1)).alias("n"))
-    return out.select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n", F.try_divide(F.col("n").cast("double"), F.col("total") * width).alias("density"))
+    lo, hi, total = own.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    width = (hi - lo) / bins if total else 0.0
+    place = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(0)
+    out = own.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    low = F.lit(lo) + F.col("bin") * F.lit(width)
+    return out.select("bin", low.alias("low"), (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("high"), "n", F.try_divide(F.col("n").cast("double"), F.lit(float(total * width))).alias("density"))
 
 
 def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
@@ -88,24 +89,16 @@ def one_hot_summary(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     return long_form(df, columns, [by]).groupBy("feature", by).agg(F.sum("value").alias("total"), F.avg("value").alias("share"), F.count(F.lit(1)).alias("group_size"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1 with the mean rank for ties, within groups."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    tied = Window.partitionBy(*by, value)
-    return F.rank().over(ordered) + (F.count(F.lit(1)).over(tied) - 1) / 2.0
-
-
 def rank_sums(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     """What Mann-Whitney's test needs, of each feature: sizes, means and medians of the groups 0 and 1, U of group 0, ties and the effect size.
 
-    Equal values are counted first and the ranks follow from the cumulated counts, so the window runs over distinct values.
+    Equal values are counted first; the ranks follow from running sums of the counts, dealt by ranges of the values.
     """
     rows = long_form(df, columns, [group]).where(f"value is not null and `{group}` in (0, 1)")
     first = F.col(group) == 0
     counted = rows.groupBy("feature", "value").agg(F.count_if(first).alias("c0"), F.count_if(~first).alias("c1"))
-    t = F.col("c0") + F.col("c1")
-    below = F.sum(t).over(Window.partitionBy("feature").orderBy("value")) - t
-    ranked = counted.withColumn("rank", below + (t + 1) / 2.0)
+    t = F.col("t")
+    ranked = with_running_sum(counted.withColumn("t", F.col("c0") + F.col("c1")), "t", ["value"], ["feature"], "below").withColumn("rank", F.col("below") + (t + 1) / 2.0)
     sums = ranked.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum(F.col("rank") * F.col("c0")).alias("r0"), F.sum((t * t * t - t).cast("double")).alias("ties"))
     of = lambda k: F.when(first if k == 0 else ~first, F.col("value"))
     means = rows.groupBy("feature").agg(*[f(of(k)).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("median", F.median))])
@@ -127,7 +120,7 @@ def mann_whitney(df: DataFrame, columns: list[str], group: str, least: int = 5)
 def spearman(df: DataFrame, columns: list[str], target: str, least: int = 10) -> DataFrame:
     """feature, n, rho of each feature with the target over the rows where both are known."""
     rows = long_form(df.withColumn("__t", finite(F.col(target))), columns, ["__t"]).where("value is not null and __t is not null")
-    ranked = rows.withColumns({"rx": average_rank("value", ["feature"]), "ry": average_rank("__t", ["feature"])})
+    ranked = rows.join(average_ranks(rows, "value", ["feature"], name="rx"), ["feature", "value"]).join(average_ranks(rows, "__t", ["feature"], name="ry"), ["feature", "__t"])
     return ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least)
 
 
@@ -147,7 +140,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], ranks: bool = False) -
     own = df.select(*[finite(F.col(c)).alias(c) for c in columns])
     stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs]))
     rows = own.select(stacked.alias("p")).select("p.*").where("x is not null and y is not null")
-    ranked = rows.withColumns({"rx": average_rank("x", ["a", "b"]), "ry": average_rank("y", ["a", "b"])})
+    ranked = rows.join(average_ranks(rows, "x", ["a", "b"], name="rx"), ["a", "b", "x"]).join(average_ranks(rows, "y", ["a", "b"], name="ry"), ["a", "b", "y"])
     return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("r"))
 
 
@@ -173,8 +166,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """roc_auc from rank sums, exact with ties; equal scores are counted before they are ranked."""
     own = df.select((F.col(label) == 1).alias("y"), F.col(score).cast("double").alias("value")).where("value is not null")
     counted = own.groupBy("value").agg(F.count_if(F.col("y")).alias("c1"), F.count(F.lit(1)).alias("t"))
-    below = F.sum("t").over(Window.orderBy("value")) - F.col("t")
-    ranked = counted.withColumn("r", below + (F.col("t") + 1) / 2.0)
+    ranked = with_running_sum(counted, "t", ["value"], name="below").withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
     row = ranked.agg(F.sum(F.col("r") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("t").alias("n"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     return row.select(F.try_divide(u, (F.col("n1") * (F.col("n") - F.col("n1"))).cast("double")).alias("roc_auc"))
