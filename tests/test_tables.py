@@ -53,6 +53,15 @@ def test_scalars(spark):
     assert [r[0] for r in spark.sql("select 1.0 a, 0.0 b").select(s.safe_ratio(F.col("a"), F.col("b")), s.safe_log(F.col("b"))).collect()] == [None]
 
 
+def test_pool(spark):
+    rows = [("2010", "3", " physics ", "1"), ("2004", "3", "Physics", "1"), ("2010", "x", "Physics", "1"), ("2010", "3", "Arts", "0"), ("2021", "0", "BIOLOGY", "0"), ("2010", "1", "Physics", "2")]
+    df = spark.createDataFrame(rows, "YEAR string, CitationCount string, category1 string, Has_DOI string")
+    got = [(r.year, r.citation_count, r.field, r.doi) for r in sampling.citation_pool(df).collect()]
+    assert got == [(2010.0, 3.0, "Physics", 1.0), (2021.0, 0.0, "Biology", 0.0)]
+    with pytest.raises(ValueError, match="missing columns"):
+        sampling.citation_pool(df.drop("YEAR"))
+
+
 def test_caps_and_edges(spark):
     flat = spark.createDataFrame([(0.0,), (5.0,), (5.0,), (5.0,), (5.0,)], "c double")
     assert sampling.iqr_cap(flat, "c") == 5.0

@@ -83,3 +83,9 @@ def max_pivot(lists: DataFrame, sources: list[str], by: str = "main_group", orde
     out = names.join(best, by, "left").fillna(0, sources)
     mean = sum((F.col(f"`{s}`") for s in sources[1:]), F.col(f"`{sources[0]}`")) / len(sources)
     return out.withColumn("mean_of_max", mean).orderBy("ordinal")
+
+
+def with_scores(features: DataFrame, scores: DataFrame, key: str = "feature", value: str = "importance", default: float = 0.0) -> DataFrame:
+    """Looks each feature's score up; features without one get the default."""
+    side = scores.select(F.col(key).alias("__key"), F.col(value).alias(value))
+    return features.join(side, F.col(key) == F.col("__key"), "left").drop("__key").withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(default)))

@@ -246,6 +246,18 @@ def group_max_pivot(spark, folder):
     return round_all(importance.max_pivot(fused(spark), list(LISTS)))
 
 
+@query("score_lookup", f"with {_FUSED}, s as (select feature, sum(rank_score)::double as importance from f where source in ('gain', 'split') group by feature) select distinct f.feature, coalesce(importance, 0)::double as importance from f left join s using (feature)")
+def score_lookup(spark, folder):
+    own = fused(spark)
+    scores = own.where("source in ('gain', 'split')").groupBy("feature").agg(F.sum("rank_score").alias("importance"))
+    return importance.with_scores(own.select("feature").distinct(), scores)
+
+
+@query("strongest_correlations", " union all ".join(f"select '{a}' as a, '{b}' as b, {r(f'corr({a}, {b})')} as r from lineitem" for a, b in _PAIRS) + " order by abs(r) desc, a limit 3")
+def strongest_correlations(spark, folder):
+    return stats.strongest(round_all(stats.correlation_matrix(table(spark, folder, "lineitem"), NUMBERS)), "r", 3)
+
+
 @query("windowed_events", "select event_type, time_bucket(interval '1 hour', ts) as hour, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by all")
 def windowed_events(spark, folder):
     own = table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
