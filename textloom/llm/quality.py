@@ -32,6 +32,8 @@ RANK = 8
 BINS = 8
 #: Labelled rows that are collected for fitting, at most.
 TRAIN_ROWS = 4_000
+#: Training rows whose gradients are held at a time.
+FIT_ROWS = 400
 STEPS, RATE, DECAY = 90, 0.05, 1e-3
 THRESHOLD = 0.3
 
@@ -165,32 +167,50 @@ def fit(f: Features, label: np.ndarray, meta: np.ndarray | None = None, steps: i
     m.edges = np.quantile(f.stats, np.arange(1, BINS) / BINS, axis=0).T.copy()
     m.bias = float(np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
     m.v = (rng.standard_normal((_SIZE, RANK)) * 0.05).astype(np.float32)
-    row, at, x = _vector(m, f, meta)
-    by = np.argsort(at, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], at[by][1:] != at[by][:-1]]))
-    used = at[by][cut]
+    blocks = [_Block(*_vector(m, _rows(f, i, min(i + FIT_ROWS, n)), None if meta is None else meta[i : i + FIT_ROWS])) for i in range(0, n, FIT_ROWS)]
+    used = np.unique(np.concatenate([b.used for b in blocks]))
+    for b in blocks:
+        b.place = np.searchsorted(used, b.used)
     moments = [np.zeros((len(used), RANK + 1), np.float32), np.zeros((len(used), RANK + 1), np.float32)]
     bias_moments = [0.0, 0.0]
     for step in range(1, steps + 1):
-        z, vx, sums = _margin(m, row, at, x)
-        error = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - label).astype(np.float32) / n
-        each = np.empty((len(at), RANK + 1), np.float32)
-        each[:, 0] = error[row] * x
-        each[:, 1:] = each[:, :1] * (sums[row] - vx)
-        grad = np.add.reduceat(each[by], cut)
         now = np.concatenate([m.w[used, None], m.v[used]], axis=1)
-        grad += DECAY * now / n
+        grad, g = DECAY * now / n, 0.0
+        for k, b in enumerate(blocks):
+            z, vx, sums = _margin(m, b.row, b.at, b.x)
+            error = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - label[k * FIT_ROWS : k * FIT_ROWS + len(z)]).astype(np.float32) / n
+            each = np.empty((len(b.at), RANK + 1), np.float32)
+            each[:, 0] = error[b.row] * b.x
+            each[:, 1:] = each[:, :1] * (sums[b.row] - vx)
+            grad[b.place] += np.add.reduceat(each[b.by], b.cut)
+            g += float(error.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad * grad
         rate = RATE * (1 - 0.9 * step / steps)
         now -= rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
         m.w[used], m.v[used] = now[:, 0], now[:, 1:]
-        g = float(error.sum())
         bias_moments = [0.9 * bias_moments[0] + 0.1 * g, 0.99 * bias_moments[1] + 0.01 * g * g]
         m.bias -= rate * (bias_moments[0] / (1 - 0.9**step)) / (bias_moments[1] ** 0.5 / (1 - 0.99**step) ** 0.5 + 1e-8)
     return m
 
 
+class _Block:
+    """The features of a few training rows, and their order by feature."""
+
+    def __init__(self, row: np.ndarray, at: np.ndarray, x: np.ndarray):
+        self.row, self.at, self.x = row.astype(np.int32), at.astype(np.int32), x
+        self.by = np.argsort(at, kind="stable").astype(np.int32)
+        own = at[self.by]
+        self.cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        self.used = own[self.cut]
+        self.place = self.used
+
+
+def _rows(f: Features, i: int, j: int) -> Features:
+    a, b = np.searchsorted(f.row, [i, j])
+    return Features(f.stats[i:j], f.row[a:b] - i, f.bucket[a:b], f.weight[a:b])
+
+
 def score(m: Machine, data: np.ndarray, offsets: np.ndarray, meta: np.ndarray | None = None) -> np.ndarray:
     z, _, _ = _margin(m, *_vector(m, features(data, offsets), meta))
     return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
@@ -223,15 +243,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
                 at = np.concatenate([[0], np.cumsum(np.bincount(f.row, minlength=part.num_rows))])
                 meta = _meta(part, metadata)
                 meta = np.zeros((part.num_rows, 0), np.int64) if meta is None else meta
-                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f.bucket, pa.int32())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f.weight, pa.float32()))]
-                yield pa.RecordBatch.from_arrays([part.column("__id").cast(pa.int64()), part.column("__y"), *lists, pa.array(f.stats.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.int64()))], names=["id", "y", "bucket", "weight", "stats", "meta"])
+                raw = lambda v, kind: pa.array([v[i:j].astype(kind).tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+                stats = pa.array([s.astype("<f8").tobytes() for s in f.stats], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("__id").cast(pa.int64()), part.column("__y"), raw(f.bucket, "<u2"), raw(f.weight, "<f4"), stats, pa.array([r.tobytes() for r in meta.astype("<i8")], pa.binary())], names=["id", "y", "bucket", "weight", "stats", "meta"])
 
-    got = rows.mapInArrow(run, "id long, y int, bucket array<int>, weight array<float>, stats array<double>, meta array<long>").collect()
+    got = rows.mapInArrow(run, "id long, y int, bucket binary, weight binary, stats binary, meta binary").collect()
     got.sort(key=lambda r: (r.id, r.y, r.stats))
-    size = np.array([len(r.bucket) for r in got], np.int64)
-    flat = lambda name, kind: np.fromiter((x for r in got for x in r[name]), kind, int(size.sum()))
-    f = Features(np.array([r.stats for r in got], np.float64).reshape(-1, _N), np.repeat(np.arange(len(got)), size), flat("bucket", np.int64), flat("weight", np.float32))
-    return fit(f, np.array([r.y for r in got], np.float32), np.array([r.meta for r in got], np.int64) if metadata else None)
+    flat = lambda name, kind: np.frombuffer(b"".join(r[name] for r in got), kind)
+    size = np.array([len(r.bucket) // 2 for r in got], np.int64)
+    f = Features(flat("stats", "<f8").reshape(-1, _N), np.repeat(np.arange(len(got)), size), flat("bucket", "<u2").astype(np.int64), flat("weight", "<f4"))
+    return fit(f, np.array([r.y for r in got], np.float32), flat("meta", "<i8").reshape(len(got), -1) if metadata else None)
 
 
 def classify(docs: DataFrame, machine: Machine, metadata: list[str] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
