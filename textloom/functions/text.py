@@ -73,8 +73,9 @@ def _count(c: Column, dropped: str) -> Column:
     return F.length(F.regexp_replace(c, dropped, ""))
 
 
-def text_stats(c: Column) -> dict[str, Column]:
-    n, own = F.length(c), words(c)
+def text_stats(c: Column, own: Column | None = None) -> dict[str, Column]:
+    """Eight statistics of a text; own: its words, if a column has them already."""
+    n, own = F.length(c), words(c) if own is None else own
     share = lambda x, of: F.coalesce(F.try_divide(x.cast("double"), F.nullif(of, F.lit(0)).cast("double")), F.lit(0.0))
     return {
         "clean_length": n,
@@ -88,8 +89,8 @@ def text_stats(c: Column) -> dict[str, Column]:
     }
 
 
-def has_verb_like_word(c: Column) -> Column:
-    own = words(c)
+def has_verb_like_word(c: Column, own: Column | None = None) -> Column:
+    own = words(c) if own is None else own
     ends = rf"({'|'.join(VERB_ENDINGS)})$"
     return F.arrays_overlap(own, F.array(*map(F.lit, COMMON_VERBS))) | F.exists(own, lambda w: (F.length(w) > 5) & w.rlike(ends))
 

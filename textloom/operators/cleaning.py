@@ -31,8 +31,8 @@ class CleanConfig:
     near_dup_prefix: int = 120
 
 
-def removal_reason(text: Column, cfg: CleanConfig = CleanConfig(), stats: dict[str, Column] | None = None) -> Column:
-    """The first of sixteen rules that a clean text breaks; the empty text if none."""
+def removal_reason(text: Column, cfg: CleanConfig = CleanConfig(), stats: dict[str, Column] | None = None, words: Column | None = None) -> Column:
+    """The first of sixteen rules that a clean text breaks; the empty text if none. stats, words: columns that have them already."""
     s = stats or t.text_stats(text)
     low = F.trim(F.lower(text))
     markup = F.length(low) - F.length(F.translate(low, "<>", ""))
@@ -48,7 +48,7 @@ def removal_reason(text: Column, cfg: CleanConfig = CleanConfig(), stats: dict[s
         (s["lexical_diversity"] < cfg.min_lexical_diversity, "low_lexical_diversity"),
         (s["symbol_ratio"] > cfg.max_symbol_ratio, "formula_or_symbol_heavy"),
         (s["period_count"] == 0, "no_period"),
-        (~t.has_verb_like_word(text), "no_verb_like_word"),
+        (~t.has_verb_like_word(text, words), "no_verb_like_word"),
         (t.matches_any(low, t.BOILERPLATE_PATTERNS), "publisher_boilerplate"),
         (t.matches_any(low, t.REFERENCE_PATTERNS), "reference_like_content"),
         (markup >= cfg.max_markup, "remaining_markup_corruption"),
@@ -63,8 +63,11 @@ def removal_reason(text: Column, cfg: CleanConfig = CleanConfig(), stats: dict[s
 def classify(df: DataFrame, text_col: str = "text", cfg: CleanConfig = CleanConfig(), unescape: bool = True) -> DataFrame:
     """Adds clean_text, its statistics and removal_reason."""
     out = df.withColumn("clean_text", t.clean_text(F.col(text_col), unescape))
-    out = out.withColumns(t.text_stats(F.col("clean_text")))
-    return out.withColumn("removal_reason", removal_reason(F.col("clean_text"), cfg, {k: F.col(k) for k in t.text_stats(F.lit(""))}))
+    out = out.withColumn("__words", t.words(F.col("clean_text")))  # found once, used by four rules
+    made = t.text_stats(F.col("clean_text"), F.col("__words"))
+    out = out.withColumns(made)
+    reason = removal_reason(F.col("clean_text"), cfg, {k: F.col(k) for k in made}, F.col("__words"))
+    return out.withColumn("removal_reason", reason).drop("__words")
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
