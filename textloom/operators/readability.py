@@ -23,19 +23,25 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - silent)
 
 
-def counts(text: Column, easy: list[str] = EASY_WORDS) -> dict[str, Column]:
-    own = t.words(text)
-    each = F.transform(own, syllables)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+_COUNTS = ("words", "sentences", "syllables", "letters", "long_words", "difficult")
+
+
+def with_counts(df: DataFrame, text: Column, easy: list[str] = EASY_WORDS) -> DataFrame:
+    """Adds __words, __sentences ...; words and their syllables are found once."""
+    own, each = F.col("__own"), F.col("__each")
+    out = df.withColumn("__own", t.words(text)).withColumn("__each", F.transform("__own", syllables))
     known = F.array(*map(F.lit, easy))
-    return {
+    hard = F.zip_with(own, each, lambda w, n: ((n >= 2) & ~F.array_contains(known, w)).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    made = {
         "words": F.size(own),
         "sentences": F.greatest(F.size(t.sentences(text)), F.lit(1)),
         "syllables": total(each),
         "letters": F.length(F.regexp_replace(F.lower(text), "[^a-z]", "")),
         "long_words": F.size(F.filter(each, lambda n: n >= 3)),
-        "difficult": F.size(F.filter(own, lambda w: (syllables(w) >= 2) & ~F.array_contains(known, w))),
+        "difficult": total(hard),
     }
+    return out.withColumns({f"__{k}": v for k, v in made.items()}).drop("__own", "__each")
 
 
 def formulas(n: dict[str, Column]) -> dict[str, Column]:
@@ -60,17 +66,17 @@ def score_texts(df: DataFrame, text_col: str, prefix: str = "", min_chars: int =
     """Adds the seven grades and a status: missing, too_short or ok."""
     text = F.trim(F.col(text_col))
     status = F.when(text.isNull() | (text == ""), "missing").when(F.length(text) < min_chars, "too_short").otherwise("ok")
-    staged = df.withColumn("__status", status).withColumns({f"__{k}": v for k, v in counts(F.coalesce(F.col(text_col), F.lit("")), easy).items()})
-    grades = formulas({k: F.col(f"__{k}") for k in ("words", "sentences", "syllables", "letters", "long_words", "difficult")})
+    staged = with_counts(df.withColumn("__status", status), F.coalesce(F.col(text_col), F.lit("")), easy)
+    grades = formulas({k: F.col(f"__{k}") for k in _COUNTS})
     made = {f"{prefix}{m}_mean": F.when(F.col("__status") == "ok", grades[m]) for m in METRICS}
     out = staged.withColumns(made).withColumn(f"{prefix}readability_status", F.col("__status"))
-    return out.drop("__status", *[f"__{k}" for k in ("words", "sentences", "syllables", "letters", "long_words", "difficult")])
+    return out.drop("__status", *[f"__{k}" for k in _COUNTS])
 
 
 def aggregate_chunks(chunks: DataFrame, id_cols: list[str], easy: list[str] = EASY_WORDS) -> DataFrame:
     """For each paper mean, std, p10 to p90 of each grade over its chunks; the std of one chunk is 0."""
-    staged = chunks.withColumns({f"__{k}": v for k, v in counts(F.col("chunk_text"), easy).items()})
-    grades = formulas({k: F.col(f"__{k}") for k in ("words", "sentences", "syllables", "letters", "long_words", "difficult")})
+    staged = with_counts(chunks, F.col("chunk_text"), easy)
+    grades = formulas({k: F.col(f"__{k}") for k in _COUNTS})
     scored = staged.select(*id_cols, *[grades[m].alias(m) for m in METRICS])
     aggs = [F.count(F.lit(1)).alias("n_chunks")]
     for m in METRICS:
