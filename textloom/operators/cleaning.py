@@ -6,10 +6,11 @@ from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.staging import settle
 
 EXACT, NEAR = "exact_duplicate_abstract", "near_duplicate_abstract"
 
@@ -70,16 +71,11 @@ def classify(df: DataFrame, text_col: str = "text", cfg: CleanConfig = CleanConf
     return out.withColumn("removal_reason", reason).drop("__words")
 
 
-def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """Adds `first`: whether a row is the first of its key. Only the key's md5 is shuffled beside the row."""
-    w = Window.partitionBy(F.md5(key)).orderBy(*order)
-    return df.withColumn("first", F.row_number().over(w) == 1)
-
-
 def exact_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "doc_id") -> DataFrame:
-    """doc ids of texts whose normal form an earlier row has."""
-    own = df.select(id_col, F.md5(t.duplicate_form(F.col(text_col))).alias("form"))
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(id_col))).where("rank > 1").select(id_col)
+    """Ids of texts whose normal form a row with a smaller id has. Forms are counted before they meet; a form in most rows is never gathered."""
+    own = settle(df.select(id_col, F.md5(t.duplicate_form(F.col(text_col))).alias("form")), "forms")
+    firsts = own.groupBy("form").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return own.join(firsts, "form").where(F.col(id_col) != F.col("first")).select(id_col)
 
 
 def near_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "doc_id", cfg: CleanConfig = CleanConfig()) -> DataFrame:
@@ -89,8 +85,8 @@ def near_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "
     reach Python, and two sound upper bounds spare most comparisons.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), t.duplicate_form(F.col(text_col)).alias("form"))
-    own = own.withColumn("prefix", F.substring("form", 1, cfg.near_dup_prefix))
-    alone = F.count(F.lit(1)).over(Window.partitionBy("prefix")) == 1
+    own = settle(own.withColumn("prefix", F.substring("form", 1, cfg.near_dup_prefix)), "prefixes")
+    shared = own.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     limit = cfg.near_dup_ratio
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
@@ -109,18 +105,21 @@ def near_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "
                 kept.append(form)
         return pd.DataFrame({"id": pd.Series(dropped, dtype="int64")})
 
-    crowd = own.withColumn("alone", alone).where(~F.col("alone")).drop("alone")
+    crowd = own.join(shared.select("prefix"), "prefix", "left_semi")
     return crowd.groupBy("prefix").applyInPandas(greedy, "id long").withColumnRenamed("id", id_col)
 
 
 def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed): kept rows have the clean text, its length and md5; removed rows their statistics and reason."""
-    rows = classify(df, text_col, cfg)
+    """(kept, removed): kept rows have the clean text, its length and md5; removed rows their statistics and reason.
+
+    The classified rows are staged: every later step reads them.
+    """
+    rows = settle(classify(df, text_col, cfg), "classified")
     passed = rows.where("removal_reason = ''")
     exact = exact_duplicates(passed, id_col=id_col).withColumn("dup_reason", F.lit(EXACT))
     unique = passed.join(exact, id_col, "left_anti")
     near = near_duplicates(unique, id_col=id_col, cfg=cfg).withColumn("dup_reason", F.lit(NEAR))
-    dups = exact.unionByName(near)
+    dups = settle(exact.unionByName(near), "duplicates")
     kept = passed.join(dups.select(id_col), id_col, "left_anti")
     text = F.col("clean_text")
     kept = kept.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns], F.length(text).alias("abstract_length"), F.md5(text).alias("abstract_md5_hash"))
@@ -129,9 +128,9 @@ def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: Cl
 
 
 def drop_duplicate_keys(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key in a stated order, by an aggregate with partial results."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("row")
+    return df.groupBy(F.col(key).alias("__key")).agg(first).select("row.*")
 
 
 def left_join_first(left: DataFrame, right: DataFrame, key: str, order: list[str]) -> DataFrame:
