@@ -36,10 +36,10 @@ COORDINATES, MATCHES = 48, 22
 LATER_ROUNDS = 2
 #: Longs in a bitmap of shared shingles; a power of two.
 WORDS_64 = 16
-#: Documents whose ids are broadcast to fetch their texts again (16 bytes each); with more, a shuffle join does it.
-BROADCAST_IDS = 1_000_000
+#: Pairs (24 bytes each) that are broadcast to fetch texts again; with more, a shuffle join does it.
+BROADCAST_PAIRS = 500_000
 #: Classes that meet one copy of a pivot's set.
-PIVOT_SPLIT = 2_000
+PIVOT_SPLIT = 250
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
@@ -70,7 +70,7 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     """docs joined with nodes(node, ...) on doc_id = node."""
-    few = count <= BROADCAST_IDS
+    few = count <= BROADCAST_PAIRS
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     return own.join(F.broadcast(nodes) if few else nodes, "node")
 
@@ -128,7 +128,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
                         break
             yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
 
-    sent = _texts_of(docs, asked, asked.count()).select("node", "text", "asked").mapInArrow(sets, "pivot long, salt int, role int, node long, shingles binary")
+    asked_for = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+    sent = _texts_of(docs, asked, asked_for).select("node", "text", "asked").mapInArrow(sets, "pivot long, salt int, role int, node long, shingles binary")
     dealt = sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
     return dealt.mapInArrow(compare, "a long, b long")
 
