@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import settle, shared_dir  # noqa: F401
+
 #: Bytes of text that one Python step holds in numpy arrays at a time.
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
-_LOCAL: dict[str, str] = {}
-
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: Bytes of an Arrow batch on its way to or from Python; the default is 64 MB for each task on either side.
+ARROW_BYTES = 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.applicationId not in _LOCAL:
-        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="textloom-")
-    return _LOCAL[spark.sparkContext.applicationId]
 
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: cuts the lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Sets the session's Arrow batches to ARROW_BYTES, which bounds what a Python step holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

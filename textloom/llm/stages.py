@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, near_dup, quality, secret_scan
-from .common import settle, table
+from .common import ARROW_BYTES, settle, table
 
 #: Ids of dropped documents that are broadcast; with more, a shuffle join drops them.
 BROADCAST_IDS = 500_000
 
 
+def _stage(function):
+    """Small Arrow batches for a stage that is called by itself."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go. Trained on the labelled documents of the input; every row is judged by its text."""
     machine = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return quality.keep_good(docs, machine)
 
 
+@_stage
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup, five-word shingles, similarity 0.8: the smallest doc_id of each group stays.
 
@@ -34,16 +49,19 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return single.unionByName(again.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns))
 
 
+@_stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Template decontamination: documents that leak an item of the benchmark go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+@_stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scan: secrets in the texts are masked; all rows stay."""
     return secret_scan.redact(docs, path=F.col("source"))
 
 
+@_stage
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: adds the ids of each text, how many they are, and digests of the ids and of what they decode to."""
     import public_tokenizers
