@@ -73,6 +73,18 @@ def test_odd_rows(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_oracle(spark, tmp_path):
+    import duckdb
+
+    rows = [*corpus(3, 120), (500, None), (501, ""), (502, "One two"), (503, "one  two"), (503, "one two three four five"), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = con.execute(f"select doc_id, n_shingles, component_id, kept from ({near_dup.oracle_sql(4, 80)})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in near_dup.near_duplicates(df, 4).collect())
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 150)] + [(200 + r.randrange(80), 200 + r.randrange(80)) for _ in range(60)] + [(5, 5)]

@@ -75,3 +75,16 @@ def test_odd_rows(spark):
     assert got[3][0].text is None and got[4][0].text == "" and got[None][0].text == LONG
     assert [r.text for r in got[5]] == ["", ""] and got[6][0].text == "Of. " and got[7][0].n_sentences == 1
     assert s.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_oracle(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "Other start. " + LONG + "Other end."), (2, "before. " + LONG.upper() + "x\n"), (3, None), (4, ""), (None, LONG), (5, "  " + LONG), (5, "  " + LONG), (6, "Of. " * 60), (7, "É x"), (8, "w " * 40 + "\n\nw " * 3), (9, "w " * 40 + "\nz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = con.execute(f"select doc_id, text, n_sentences, n_removed from ({s.oracle_sql()})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in s.remove_repeats(df).collect())
+    assert sum(r[3] > 0 for r in want) >= 5

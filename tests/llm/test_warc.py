@@ -42,6 +42,19 @@ def test_query_against_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
+def test_oracle(spark, tmp_path):
+    import duckdb
+
+    from textloom.llm.queries import ORACLE_SQL
+
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string, x int")
+    df.write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    want = con.execute(f"select page_id, payload_bytes, payload_digest, record_type, refers_to from ({ORACLE_SQL['op2_warc']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in warc.round_trip(df).collect())
+
+
 def test_least_size_for_revisits(spark):
     df = spark.createDataFrame(ROWS[:6], "page_id long, url string, html string, x int")
     rows = {r.page_id: r for r in warc.round_trip(df, min_revisit_bytes=1).collect()}

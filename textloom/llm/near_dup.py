@@ -244,3 +244,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def oracle_sql(width: int, percent: int) -> str:
+    """near_duplicates() over the view `documents` in DuckDB's SQL, by counting shared shingles; for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select rid, doc_id, case when len(w) = 0 then [] else list_sort(list_distinct(list_transform(range(greatest(1, len(w) - {width - 1})), lambda i: array_to_string(w[i + 1 : i + {width}], ' ')))) end as sh from d),
+own as (select rid, doc_id, len(sh)::bigint as n, md5(array_to_string(sh, chr(10))) as name from s where len(sh) > 0 and doc_id is not null),
+class as (select name, min(doc_id) as node, min(rid) as rid, any_value(n) as n from own group by name),
+post as (select c.name, c.node, c.n, unnest(s.sh) as g from class c join s on s.rid = c.rid),
+pair as (select a.node as x, b.node as y, count(*) as shared, any_value(a.n) as nx, any_value(b.n) as ny from post a join post b on a.g = b.g and a.name < b.name group by a.name, b.name, a.node, b.node),
+link as (select x, y from pair where 100 * shared >= {percent} * (nx + ny - shared) union select o.doc_id, c.node from own o join class c using (name) where o.doc_id <> c.node),
+edge as (select x, y from link union select y, x from link),
+reach as (select doc_id as node, doc_id as component from own union select e.y, r.component from reach r join edge e on e.x = r.node),
+best as (select node, min(component) as component from reach group by node)
+select s.doc_id, len(s.sh)::bigint as n_shingles, coalesce(b.component, s.doc_id) as component_id, s.doc_id is not distinct from coalesce(b.component, s.doc_id) as kept from s left join best b on b.node = s.doc_id"""

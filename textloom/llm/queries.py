@@ -74,4 +74,9 @@ QUERIES = {
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_transport_stream": op10_transport_stream,
 }
-ORACLE_SQL = {"op4_url_filter": url_filter.oracle_sql(OP4_RULES)}
+ORACLE_SQL = {
+    "op2_warc": warc.oracle_sql(),
+    "op4_url_filter": url_filter.oracle_sql(OP4_RULES),
+    "op7_sentence_spans": spans.oracle_sql(),
+    "op9_minhash_near_dup": near_dup.oracle_sql(width=4, percent=80),
+}

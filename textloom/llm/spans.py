@@ -132,3 +132,23 @@ def remove_repeats(docs: DataFrame, broadcast_spans: int = BROADCAST_SPANS) -> D
 
     schema = StructType([docs.schema[c] for c in kept] + [StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
     return joined.mapInArrow(run, schema)
+
+
+def oracle_sql() -> str:
+    """remove_repeats() over the view `documents` in DuckDB's SQL: doc_id, text, n_sentences, n_removed."""
+    space, upper, lower = r"[\x20\x09-\x0D]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, text from documents),
+p as (select rid, doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+{space}*')) as piece, unnest(range(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+{space}*')))) as i from d),
+w as (select *, regexp_replace(piece, '{space}+$', '') as word, regexp_matches(piece, '[.!?]{space}*$') or contains(piece, chr(10)) as stops from p),
+n as (select *, coalesce(sum(stops::int) over (partition by rid order by i rows between unbounded preceding and 1 preceding), 0) as s from w),
+sent as (select rid, doc_id, s, string_agg(piece, '' order by i) as raw, string_agg(translate(word, '{upper}', '{lower}'), ' ' order by i) as key, count(*) as words from n group by rid, doc_id, s),
+total as (select *, sum(words) over (partition by rid order by s) as upto from sent),
+run as (select a.rid, a.doc_id, a.s, min(b.s) as e from total a join total b on a.rid = b.rid and b.s between a.s and a.s + {LONE_WORDS - 1}
+    where a.doc_id is not null and (b.upto - a.upto + a.words >= {LONE_WORDS} or b.s - a.s + 1 >= {MIN_SENTENCES} and b.upto - a.upto + a.words >= {MIN_WORDS}) group by a.rid, a.doc_id, a.s),
+span as (select r.rid, r.doc_id, r.s, r.e, md5(string_agg(t.key, chr(1) order by t.s)) as h from run r join total t on t.rid = r.rid and t.s between r.s and r.e group by r.rid, r.doc_id, r.s, r.e),
+seen as (select *, first_value(doc_id) over k as first_doc, first_value(s) over k as first_s from span window k as (partition by h order by doc_id, s)),
+cut as (select distinct doc_id, s as a, e as b from seen where doc_id <> first_doc or s <> first_s),
+gone as (select distinct t.rid, t.s from total t join cut on cut.doc_id = t.doc_id and t.s between cut.a and cut.b),
+left_over as (select t.rid, count(*) as n_sentences, count(g.s) as n_removed, coalesce(string_agg(t.raw, '' order by t.s) filter (g.s is null), '') as kept from total t left join gone g on g.rid = t.rid and g.s = t.s group by t.rid)
+select d.doc_id, case when n_removed > 0 then concat(regexp_extract(text, '^{space}*'), kept) else text end as text, coalesce(n_sentences, 0)::bigint as n_sentences, coalesce(n_removed, 0)::bigint as n_removed from d left join left_over using (rid)"""

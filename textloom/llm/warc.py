@@ -223,3 +223,14 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes the pages as archives into the shared folder, reads these back and resolves the revisits."""
     archives = settle(write(mark_revisits(pages, min_revisit_bytes)), "warc")
     return resolve(settle(read(archives, with_payload=False).drop("payload", "target_uri", "archive"), "warc-records"))
+
+
+def oracle_sql() -> str:
+    """round_trip() over the view `pages` in DuckDB's SQL."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    chars = [f"substr('{alphabet}', ((('0x' || substr(x, {10 * i + 1}, 10))::bigint >> {shift}) & 31)::int + 1, 1)" for i in range(4) for shift in range(35, -1, -5)]
+    return (
+        "with p as (select page_id, coalesce(html, '') as h from pages), d as (select page_id, h, sha1(h) as x, max(page_id) over (partition by h) as head from p) "
+        f"select page_id, octet_length(encode(h))::bigint as payload_bytes, concat({', '.join(chars)}) as payload_digest, "
+        "case when page_id <> head then 'revisit' else 'response' end as record_type, case when page_id <> head then head end as refers_to from d"
+    )
