@@ -67,7 +67,7 @@ def _decode(col: str) -> Column:
 def read_list(spark: SparkSession, path: str, start: int = 0, end: int = -1) -> DataFrame:
     """The paths in a list file from start up to end, in its order; blank lines are left out."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "path"))
-    return range_of(whole.where(F.trim("path") != ""), ["place"], start, end).select(F.trim("path").alias("path"))
+    return range_of(whole.where(F.trim("path") != ""), ["place"], start, end).orderBy("place").select(F.trim("path").alias("path"))
 
 
 def read_papers(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
