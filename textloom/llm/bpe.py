@@ -26,7 +26,7 @@ from .common import text_slices
 #: Longest piece that is encoded in a padded matrix.
 MATRIX_BYTES = 128
 #: Distinct pieces whose ids a worker keeps.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 60_000
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
 

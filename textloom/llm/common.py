@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.staging import settle, shared_dir  # noqa: F401
 
 #: Bytes of text that one Python step holds in numpy arrays at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 
 
 #: Bytes of an Arrow batch on its way to or from Python; the default is 64 MB for each task on either side.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,17 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         end = min(max(end, start + 1), len(texts))
         yield batch.slice(start, end - start), data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
         start = end
+    release()
+
+
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on after their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
