@@ -65,3 +65,11 @@ def test_clean(spark):
     kept = d.clean(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("text is null or text in ('fine', 'good')").collect()))
+
+
+def test_copies_in_other_case(spark):
+    items = [(1, ITEM), (2, "El niño comió según Óscar más piñas que Ángel Núñez y después también bebió té frío."), (3, "Die Straße führt, so sagt Jürgen Müller, über schöne Brücken bis nach Österreich und Ähnliches.")]
+    texts = [(10 * i + k, f"so {f(t)} end") for i, t in items for k, f in enumerate((str, str.upper, str.lower, str.title))]
+    got = found(spark, texts, items)
+    assert set(got) == {(10 * i + k, i) for i, _ in items for k in range(4)}
+    assert all(r.covered_words == r.item_words and not r.changed_slots for r in got.values())

@@ -1,9 +1,10 @@
 """Benchmark decontamination by canonical templates.
 
-Words lose the punctuation around them and their A-Z case; words of punctuation alone are passed over. Numbers,
+Words lose the punctuation around them and their case (of the whole of Unicode); words of punctuation alone are passed over. Numbers,
 units after a number, and names (capitalised words that don't begin a sentence or a line) become typed
 placeholders, so that a question with other numbers, names or units has the same template. Every window of WINDOW template words of the documents is
-looked up in the hash table of the benchmark's windows, whose items are broadcast in blocks of at most
+looked up in the hash table of the benchmark's windows, as a template and word by word, so that copies in other
+case are found whatever their names are typed as; the benchmark's items are broadcast in blocks of at most
 BLOCK_BYTES (documents are read once for each block, so a benchmark of any size is done in full). Hits on one
 diagonal of a document and an item align their slots: if equal values of the item meet different values of the
 document, or the other way round, the diagonal is dropped. A document leaks an item if its consistent diagonals
@@ -56,10 +57,23 @@ class Tokens:
 _SLOT = mix(np.arange(4, dtype=np.uint64) + _U(1000))
 
 
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with their case folded, and their offsets. Folding keeps every word, and the ASCII signs around it."""
+    low = _Tables.get().lower[data]
+    wide = np.concatenate([[0], np.cumsum(data >= 128)])[offsets]
+    if not wide[-1]:
+        return low, offsets
+    raw = [low[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    for i in np.flatnonzero(np.diff(wide)):
+        raw[i] = raw[i].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     """The canonical words of texts laid end to end."""
     starts, ends, _ = words(data, offsets)
-    low = _Tables.get().lower[data]
+    low, low_offsets = folded(data, offsets)
+    low_starts, low_ends = (starts, ends) if low_offsets is offsets else words(low, low_offsets)[:2]
     row = rows_of(starts, offsets)
     a, b = starts.copy(), ends.copy()
     todo = np.flatnonzero(_PUNCT[data[a]]) if len(a) else np.zeros(0, np.int64)
@@ -79,8 +93,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     begins[lines[lines < len(starts)]] = True
 
     solid = b > a
+    low_a, low_b = (low_starts + (a - starts))[solid], (low_ends - (ends - b))[solid]
     a, b, row, begins = a[solid], b[solid], row[solid], begins[solid]
-    value = span_hashes(low, a, b)
+    value = span_hashes(low, low_a, low_b)
     first = data[a]
     second = data[np.minimum(a + 1, b - 1)] if len(a) else first
     kind = np.zeros(len(a), np.int8)
@@ -105,17 +120,28 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def windows(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places where windows of `width` words in one text begin that have more literals than slots, and their hashes."""
+def windows(t: Tokens, width: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The places where windows of `width` words in one text begin, and their hashes.
+
+    First those that have more literals than slots, as templates; then windows with slots, word by word (of the
+    benchmark's `own` texts those with more literals than slots, of others all).
+    """
     n = len(t.row) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(n, width, np.uint64)
-    for j, f in enumerate(multipliers(width, 5)):
-        total += t.template[j : j + n] * f
     slots = np.concatenate([[0], np.cumsum(t.kind != _LITERAL)])
-    keep = np.flatnonzero((t.row[:n] == t.row[width - 1 :]) & (2 * (slots[width:] - slots[:n]) < width))
-    return keep, mix(total[keep])
+    slots = slots[width:] - slots[:n]
+    whole = t.row[:n] == t.row[width - 1 :]
+    most = 2 * slots < width
+    at, hashes = [], []
+    for each, which in ((t.template, whole & most), (t.value, whole & (slots > 0) & (most if own else True))):
+        keep = np.flatnonzero(which)
+        total = np.full(len(keep), width, np.uint64)
+        for j, f in enumerate(multipliers(width, 5)):
+            total += each[keep + j] * f
+        at.append(keep)
+        hashes.append(mix(total))
+    return np.concatenate(at), np.concatenate(hashes)
 
 
 class Index:
@@ -131,7 +157,7 @@ class Index:
         self.value, self.kind = t.value, t.kind
         self.tables: dict[int, tuple] = {}
         for width in sorted({WINDOW, *(int(n) for n in self.sizes if LEAST <= n < WINDOW)}):
-            at, hashes = windows(t, width)
+            at, hashes = windows(t, width, True)
             keep = (self.sizes[t.row[at]] == width) if width < WINDOW else np.ones(len(at), bool)
             at, hashes = at[keep], hashes[keep]
             if not len(at):
@@ -148,7 +174,7 @@ class Index:
         first = np.cumsum(counts) - counts
         found = []
         for width, (hashes, items, places, bits) in self.tables.items():
-            at, own = windows(t, width)
+            at, own = windows(t, width, False)
             maybe = np.flatnonzero(bits[(own >> _U(42)).astype(np.int64)])
             at, own = at[maybe], own[maybe]
             low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
