@@ -73,3 +73,12 @@ def test_copies_in_other_case(spark):
     got = found(spark, texts, items)
     assert set(got) == {(10 * i + k, i) for i, _ in items for k in range(4)}
     assert all(r.covered_words == r.item_words and not r.changed_slots for r in got.values())
+
+
+def test_one_slot_against_the_majority(spark):
+    item = "Each of 40 boxes holds some red apples and green pears, all 40 boxes go to the market by an old truck, and when the market opens 40 people buy 12 apples each until the evening."
+    texts = [(1, item), (2, item.replace("40", "41", 1)), (3, item.replace("40", "75").replace("75", "41", 1)), (4, item.replace("12", "40")), (5, item.replace("40", "41", 1).replace("40", "42", 1).replace("40", "43", 1))]
+    got = found(spark, texts, [(1, item)])
+    assert set(got) == {(i, 1) for i in (1, 2, 3, 4)}  # in 5 no number stands for 40 more often than the others together
+    assert all(got[i, 1].covered_words < got[i, 1].item_words for i in (2, 3, 4))
+    assert got[2, 1].changed_slots == got[4, 1].changed_slots == 0 and got[3, 1].changed_slots == 2

@@ -7,7 +7,8 @@ looked up in the hash table of the benchmark's windows, as a template and word b
 case are found whatever their names are typed as; the benchmark's items are broadcast in blocks of at most
 BLOCK_BYTES (documents are read once for each block, so a benchmark of any size is done in full). Hits on one
 diagonal of a document and an item align their slots: if equal values of the item meet different values of the
-document, or the other way round, the diagonal is dropped. A document leaks an item if its consistent diagonals
+document, or the other way round, the windows that break the majority's mapping are dropped, and the whole
+diagonal where there is no majority. A document leaks an item if its consistent diagonals
 cover at least `coverage` of the item's words.
 
 Items with fewer than WINDOW words are looked up as a whole; items with fewer than LEAST words never match.
@@ -17,6 +18,7 @@ either side gives none, null texts have no words, null ids are kept as null, rep
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,25 +196,48 @@ class Index:
             covered, begin, differ = np.zeros(self.sizes[it], bool), None, 0
             cuts = i + np.flatnonzero(np.concatenate([[True], diagonal[i + 1 : j] != diagonal[i : j - 1], [True]]))
             for x, y in zip(cuts[:-1], cuts[1:]):
-                mask = np.zeros(self.sizes[it], bool)
-                for p, w in zip(place[x:y].tolist(), width[x:y].tolist()):
-                    mask[p : p + w] = True
+                places, widths = place[x:y], width[x:y]
+                mask = _cover(self.sizes[it], places, widths)
                 mine = np.flatnonzero(mask)
-                theirs = first[r] + mine + diagonal[x]
-                slots = np.flatnonzero(self.kind[self.first[it] + mine] != _LITERAL)
-                left, right = self.value[self.first[it] + mine[slots]], t.value[theirs[slots]]
-                if len(slots):
-                    both = len(set(zip(left.tolist(), right.tolist())))
-                    if both != len(np.unique(left)) or both != len(np.unique(right)):
-                        continue  # one value stands for two
-                    differ += int((left != right).sum())
+                slots = mine[self.kind[self.first[it] + mine] != _LITERAL]
+                left, right = self.value[self.first[it] + slots], t.value[first[r] + slots + diagonal[x]]
+                bad = _minority(left, right)
+                if bad is None:
+                    continue  # one value stands for two
+                if bad.any():
+                    before = np.cumsum(np.bincount(slots[bad] + 1, minlength=self.sizes[it] + 1))
+                    good = before[places + widths] == before[places]
+                    mask = _cover(self.sizes[it], places[good], widths[good])
+                    if not mask.any():
+                        continue
+                differ += int((left != right)[mask[slots]].sum())
                 covered |= mask
-                begin = int(mine[0] + diagonal[x]) if begin is None else min(begin, int(mine[0] + diagonal[x]))
+                at = int(np.argmax(mask) + diagonal[x])
+                begin = at if begin is None else min(begin, at)
             if begin is not None:
                 out.append((r, it, int(self.sizes[it]), int(covered.sum()), begin, differ))
         return out
 
 
+def _cover(size: int, places: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The words of an item that windows hold."""
+    mask = np.zeros(size, bool)
+    for p, w in zip(places.tolist(), widths.tolist()):
+        mask[p : p + w] = True
+    return mask
+
+
+def _minority(left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """The slots that break the mapping of most of their value's occurrences on both sides; None if a value has no such mapping."""
+    pairs = Counter(zip(left.tolist(), right.tolist()))
+    mine, theirs = Counter(left.tolist()), Counter(right.tolist())
+    good = {(a, b) for (a, b), n in pairs.items() if 2 * n > mine[a] and 2 * n > theirs[b]}
+    known, met = {a for a, _ in good}, {b for _, b in good}
+    if any(p not in good and p[0] not in known and p[1] not in met for p in pairs):
+        return None
+    return np.array([p not in good for p in zip(left.tolist(), right.tolist())], bool)
+
+
 _SCHEMA = "doc_id long, item_id long, item_words long, covered_words long, first_word long, changed_slots long"
 
 
