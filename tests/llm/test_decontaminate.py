@@ -82,3 +82,19 @@ def test_one_slot_against_the_majority(spark):
     assert set(got) == {(i, 1) for i in (1, 2, 3, 4)}  # in 5 no number stands for 40 more often than the others together
     assert all(got[i, 1].covered_words < got[i, 1].item_words for i in (2, 3, 4))
     assert got[2, 1].changed_slots == got[4, 1].changed_slots == 0 and got[3, 1].changed_slots == 2
+
+
+def test_rich_in_slots_and_long_runs(spark):
+    r = random.Random(7)
+    passage = [f"w{r.randrange(10**6)}" for _ in range(500)]
+    items = [ITEMS[5], (7, " ".join(passage)), (8, "3 km 4 kg 5 m"), (9, " ".join(f"{w} 5" for w in passage[:40]))]
+    other = [f"v{i}" for i in range(30)]
+    texts = [(1, "so 1 2 3 4 5 6 7 8 9 10 11 12 end"), (2, "so 2 4 6 8 10 12 14 16 18 20 22 24 end"), (3, " ".join(other + passage[100:300] + other)), (4, " ".join(passage[100:119])), (5, "run 3 KM 4 kg 5 m far"), (6, "run 3 km 4 kg 6 m far"), (7, items[3][1].replace("5", "6", 1)), (8, " ".join(passage[200:220]))]
+    got = found(spark, texts, items)
+    assert set(got) == {(1, 6), (3, 7), (5, 8), (7, 9), (8, 7)}
+    assert got[3, 7].covered_words == 200 and got[1, 6].covered_words == 12 and got[8, 7].first_word == 0
+
+
+def test_numbers_word_by_word_beside_a_template(spark):
+    item = "every farmer sold 7 large sacks of very fresh corn to his old neighbour 1 2 3 4 7 5 6 8"
+    assert set(found(spark, [(1, item.replace("7", "9", 1))], [(1, item)])) == {(1, 1)}

@@ -9,10 +9,11 @@ BLOCK_BYTES (documents are read once for each block, so a benchmark of any size
 diagonal of a document and an item align their slots: if equal values of the item meet different values of the
 document, or the other way round, the windows that break the majority's mapping are dropped, and the whole
 diagonal where there is no majority. A document leaks an item if its consistent diagonals
-cover at least `coverage` of the item's words.
+cover at least `coverage` of the item's words, or if it holds RUN or more of them in a row word by word, whatever
+stands around them.
 
 Items with fewer than WINDOW words are looked up as a whole; items with fewer than LEAST words never match.
-Windows must have more literal words than placeholders. One row for each leaking row and item: an empty table on
+Templates must have more literal words than placeholders; windows with fewer are found word by word. One row for each leaking row and item: an empty table on
 either side gives none, null texts have no words, null ids are kept as null, repeated rows give repeated rows.
 """
 
@@ -33,6 +34,8 @@ WINDOW, LEAST = 8, 4
 #: Text bytes of the benchmark that are broadcast at a time.
 BLOCK_BYTES = 4 << 20
 COVERAGE = 0.5
+#: Words in a row of an item that are a leak however long the item is.
+RUN = 20
 #: Units of measure, as words after a number. Fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min h hr hrs ms hz khz mhz ghz kb mb gb tb w kw mw v a k c f percent degrees meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents".split()
 
@@ -122,28 +125,26 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def windows(t: Tokens, width: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The places where windows of `width` words in one text begin, and their hashes.
+def windows(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places where windows of `width` words in one text begin, their hashes, and whether they are word by word.
 
-    First those that have more literals than slots, as templates; then windows with slots, word by word (of the
-    benchmark's `own` texts those with more literals than slots, of others all).
+    First those that have more literals than slots, as templates; then all windows with slots, word by word.
     """
     n = len(t.row) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     slots = np.concatenate([[0], np.cumsum(t.kind != _LITERAL)])
     slots = slots[width:] - slots[:n]
     whole = t.row[:n] == t.row[width - 1 :]
-    most = 2 * slots < width
     at, hashes = [], []
-    for each, which in ((t.template, whole & most), (t.value, whole & (slots > 0) & (most if own else True))):
+    for each, which in ((t.template, whole & (2 * slots < width)), (t.value, whole & (slots > 0))):
         keep = np.flatnonzero(which)
         total = np.full(len(keep), width, np.uint64)
         for j, f in enumerate(multipliers(width, 5)):
             total += each[keep + j] * f
         at.append(keep)
         hashes.append(mix(total))
-    return np.concatenate(at), np.concatenate(hashes)
+    return np.concatenate(at), np.concatenate(hashes), np.repeat([False, True], [len(x) for x in at])
 
 
 class Index:
@@ -159,63 +160,76 @@ class Index:
         self.value, self.kind = t.value, t.kind
         self.tables: dict[int, tuple] = {}
         for width in sorted({WINDOW, *(int(n) for n in self.sizes if LEAST <= n < WINDOW)}):
-            at, hashes = windows(t, width, True)
+            at, hashes, plain = windows(t, width)
             keep = (self.sizes[t.row[at]] == width) if width < WINDOW else np.ones(len(at), bool)
-            at, hashes = at[keep], hashes[keep]
+            at, hashes, plain = at[keep], hashes[keep], plain[keep]
             if not len(at):
                 continue
             order = np.argsort(hashes, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[(hashes >> _U(42)).astype(np.int64)] = True
-            self.tables[width] = (hashes[order], t.row[at][order], (at - self.first[t.row[at]])[order], bits)
+            self.tables[width] = (hashes[order], t.row[at][order], (at - self.first[t.row[at]])[order], plain[order], bits)
+
+    def _agreeing(self, t: Tokens, item: int, shift: int, places: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        """The words of the item in windows whose slots map one to one; `shift` leads from its words to those of t."""
+        size, head = self.sizes[item], self.first[item]
+        mask = _cover(size, places, widths)
+        slots = np.flatnonzero(mask & (self.kind[head : head + size] != _LITERAL))
+        bad = _minority(self.value[head + slots], t.value[shift + slots])
+        if bad is None:  # one value stands for two
+            return np.zeros(size, bool)
+        if bad.any():
+            before = np.cumsum(np.bincount(slots[bad] + 1, minlength=size + 1))
+            good = before[places + widths] == before[places]
+            mask = _cover(size, places[good], widths[good])
+        return mask
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
-        """(row, item's place, words of the item, covered words, first word, slots that differ) of every leak candidate."""
+        """(row, item's place, words of the item, covered words, first word, slots that differ, words in a row) of every leak candidate."""
         t = tokens(data, offsets)
         counts = np.bincount(t.row, minlength=len(offsets) - 1)
         first = np.cumsum(counts) - counts
         found = []
-        for width, (hashes, items, places, bits) in self.tables.items():
-            at, own = windows(t, width, False)
+        for width, (hashes, items, places, plain, bits) in self.tables.items():
+            at, own, bare = windows(t, width)
             maybe = np.flatnonzero(bits[(own >> _U(42)).astype(np.int64)])
-            at, own = at[maybe], own[maybe]
+            at, own, bare = at[maybe], own[maybe], bare[maybe]
             low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
             n = high - low
             hit = np.repeat(np.arange(len(at)), n)
             where = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + low[hit]
-            found.append((t.row[at[hit]], items[where], at[hit] - first[t.row[at[hit]]] - places[where], places[where], np.full(len(hit), width)))
+            found.append((t.row[at[hit]], items[where], at[hit] - first[t.row[at[hit]]] - places[where], places[where], np.full(len(hit), width), bare[hit] | plain[where]))
         if not found:
             return []
-        row, item, diagonal, place, width = (np.concatenate(x) for x in zip(*found))
+        row, item, diagonal, place, width, plain = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((place, diagonal, item, row))
-        row, item, diagonal, place, width = (x[order] for x in (row, item, diagonal, place, width))
+        row, item, diagonal, place, width, plain = (x[order] for x in (row, item, diagonal, place, width, plain))
         out, i = [], 0
         pair = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]), [True]])) if len(row) else [0]
         for i, j in zip(pair[:-1], pair[1:]):
             r, it = int(row[i]), int(item[i])
-            covered, begin, differ = np.zeros(self.sizes[it], bool), None, 0
+            covered, begin, differ, longest = np.zeros(self.sizes[it], bool), None, 0, 0
             cuts = i + np.flatnonzero(np.concatenate([[True], diagonal[i + 1 : j] != diagonal[i : j - 1], [True]]))
             for x, y in zip(cuts[:-1], cuts[1:]):
                 places, widths = place[x:y], width[x:y]
                 mask = _cover(self.sizes[it], places, widths)
                 mine = np.flatnonzero(mask)
-                slots = mine[self.kind[self.first[it] + mine] != _LITERAL]
-                left, right = self.value[self.first[it] + slots], t.value[first[r] + slots + diagonal[x]]
-                bad = _minority(left, right)
-                if bad is None:
-                    continue  # one value stands for two
-                if bad.any():
-                    before = np.cumsum(np.bincount(slots[bad] + 1, minlength=self.sizes[it] + 1))
-                    good = before[places + widths] == before[places]
-                    mask = _cover(self.sizes[it], places[good], widths[good])
-                    if not mask.any():
-                        continue
-                differ += int((left != right)[mask[slots]].sum())
+                ours, theirs = self.first[it] + mine, first[r] + mine + diagonal[x]
+                same = self.value[ours] == t.value[theirs]
+                run = _runs(mine[same], self.sizes[it])
+                longest = max(longest, int(run.max(initial=0)))
+                mask = self._agreeing(t, it, first[r] + diagonal[x], places, widths) | (run >= RUN)
+                template = ~plain[x:y]
+                if not template.all():  # what templates say by themselves isn't lost to windows that are equal word by word
+                    mask |= self._agreeing(t, it, first[r] + diagonal[x], places[template], widths[template])
+                if not mask.any():
+                    continue
+                differ += int((mask[mine] & ~same & (self.kind[ours] != _LITERAL)).sum())
                 covered |= mask
                 at = int(np.argmax(mask) + diagonal[x])
                 begin = at if begin is None else min(begin, at)
             if begin is not None:
-                out.append((r, it, int(self.sizes[it]), int(covered.sum()), begin, differ))
+                out.append((r, it, int(self.sizes[it]), int(covered.sum()), begin, differ, longest))
         return out
 
 
@@ -227,6 +241,15 @@ def _cover(size: int, places: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return mask
 
 
+def _runs(places: np.ndarray, size: int) -> np.ndarray:
+    """For each word of an item how many of `places` stand in a row around it."""
+    out = np.zeros(size, np.int64)
+    if len(places):
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(places) > 1, [True]]))
+        out[places] = np.repeat(np.diff(cuts), np.diff(cuts))
+    return out
+
+
 def _minority(left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
     """The slots that break the mapping of most of their value's occurrences on both sides; None if a value has no such mapping."""
     pairs = Counter(zip(left.tolist(), right.tolist()))
@@ -264,7 +287,7 @@ def _finder(shared, coverage: float):
             ids = batch.column("doc_id").to_pylist()
             done = 0
             for part, data, offsets in text_slices(batch, "text"):
-                rows = [(ids[done + r], index.ids[i], n, c, at, d) for r, i, n, c, at, d in index.find(data, offsets) if n >= LEAST and c >= coverage * n]
+                rows = [(ids[done + r], index.ids[i], n, c, at, d) for r, i, n, c, at, d, run in index.find(data, offsets) if n >= LEAST and (c >= coverage * n or run >= RUN)]
                 done += part.num_rows
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
