@@ -65,6 +65,28 @@ def test_a_large_group_around_a_missing_text(spark):
     assert got == brute(rows, 4)
 
 
+def test_a_large_group_of_repeated_rows(spark):
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randrange(1, 9)):
+            w[r.randrange(150)] = f"x{r.randrange(10**9)}"
+        rows += [(i, " ".join(w))] * (2 if i % 2 else 3)
+    rows += [(i, " ".join(f"o{r.randrange(10**6)}" for _ in range(150))) for i in range(0, 120, 4)]  # two texts under one id
+    got = set(map(tuple, near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()))
+    assert got == set(brute(rows, 4))
+
+
+def test_masses_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "p q r s t"), (2, "a b c d e g"), (3, "x y z v w"), (3, "x y z v w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = near_dup.features(docs, 4).dropDuplicates(["class"]).selectExpr("xxhash64(class) as unit", "doc_id as node", "class", "n_shingles as n")
+    got = sorted((r.node, r.n, r.m) for r in near_dup.masses(docs, units, 4).collect())
+    assert got == [(1, 2, 0), (1, 3, 2), (2, 3, 2), (3, 2, 0)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (6, "one two three"), (7, "É a b c d"), (8, "é a b c d"), (None, "one two"), (9, "w " * 20_000), (10, "w w w w w"), (11, "w w w w")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as class", "3 as component")

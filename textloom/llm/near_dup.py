@@ -135,24 +135,30 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def masses(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, n, m, b0 ...: the shingles of each node, how many of them some other node has too, and those as a bitmap of WORDS_64 longs."""
+def masses(docs: DataFrame, units: DataFrame, width: int) -> DataFrame:
+    """unit, node, n, m, b0 ...: the shingles of each class, how many of them some other class has too, and those as a bitmap of WORDS_64 longs.
+
+    units: unit, node, class, n, a row for each class that a node stands for. Repeated rows of a node count once, and
+    its rows of other classes don't count.
+    """
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 values, at = shingle_sets(data, offsets, width)
-                owner = np.repeat(np.array(part.column("node").to_pylist(), np.int64), np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(values.view(np.int64))], names=["node", "shingle"])
+                own = np.array([set_digest(values[a:b]) == name for a, b, name in zip(at[:-1], at[1:], part.column("class").to_pylist())], bool)
+                owner = np.repeat(np.array(part.column("unit").to_pylist(), np.int64), np.diff(at))
+                kept = np.repeat(own, np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(owner[kept]), pa.array(values.view(np.int64)[kept])], names=["unit", "shingle"])
 
-    own = settle(_texts_of(docs, nodes, nodes.count()).select("node", "text").mapInArrow(run, "node long, shingle long"), "shingles")
+    own = _texts_of(docs, units, units.count()).select("unit", "class", "text").mapInArrow(run, "unit long, shingle long")
+    own = settle(own.dropDuplicates(["unit", "shingle"]), "shingles")
     shared = settle(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle"), "shared-shingles")
     bit = F.shiftrightunsigned("shingle", 64 - 6 - WORDS_64.bit_length() + 1)
     word = F.shiftright(bit, 6)
     maps = [F.bit_or(F.when(word == j, F.expr("shiftleft(1L, int(bit & 63))")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(WORDS_64)]
-    found = own.join(shared, "shingle").withColumn("bit", bit).groupBy("node").agg(F.count(F.lit(1)).alias("m"), *maps)
-    sizes = own.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(found, "node", "left").fillna(0)
+    found = own.join(shared, "shingle").withColumn("bit", bit).groupBy("unit").agg(F.count(F.lit(1)).alias("m"), *maps)
+    return units.select("unit", "node", "n").join(found, "unit", "left").fillna(0)
 
 
 def may_link(percent: int, bitmaps: bool) -> Column:
@@ -199,7 +205,7 @@ class _Work:
 
 
 def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between classes that have the components of all links. classes: node, n_shingles, signature."""
+    """Links between classes that have the components of all links. classes: node, n_shingles, signature, class."""
     work = _Work(docs, classes, width, percent)
     lists = settle(prefix_postings(classes), "prefix")
     pivots = settle(lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), F.col("node").alias("p"))).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("p.p").alias("pivot")), "pivots")
@@ -210,23 +216,25 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     nodes = settle(lists.select("node").distinct(), "nodes")
     if nodes.isEmpty():
         return work.links
-    extra = settle(masses(docs, nodes, width).where(100 * F.col("m") >= percent * F.col("n")), "masses")
-    lists = work.open_lists(lists.select("key", "node").join(extra.select("node", "n", "m"), "node"))
+    # a node that stands for two classes is in its lists once for each
+    units = settle(classes.join(nodes, "node").select(F.monotonically_increasing_id().alias("unit"), "node", "class", F.col("n_shingles").alias("n")), "units")
+    extra = settle(masses(docs, units, width).where(100 * F.col("m") >= percent * F.col("n")), "masses")
+    lists = work.open_lists(lists.select("key", "node").distinct().join(extra.select("node", "unit", "n", "m"), "node"))
     for _ in range(LATER_ROUNDS):
         if lists.isEmpty():
             return work.links
-        best = F.min(F.struct((F.lit(1.0) - F.col("m") / F.col("n")).alias("r"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("component").alias("c"), F.col("n").alias("n"), F.col("m").alias("m")))
-        best = lists.groupBy("key").agg(best.alias("b")).select("key", F.col("b.p").alias("pivot"), F.col("b.c").alias("pivot_c"), F.col("b.n").alias("pivot_n"), F.col("b.m").alias("pivot_m"))
-        starred = lists.join(settle(best, "pivots"), "key").where("node <> pivot")
+        best = F.min(F.struct((F.lit(1.0) - F.col("m") / F.col("n")).alias("r"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("component").alias("c"), F.col("n").alias("n"), F.col("m").alias("m"), F.col("unit").alias("u")))
+        best = lists.groupBy("key").agg(best.alias("b")).select("key", F.col("b.p").alias("pivot"), F.col("b.c").alias("pivot_c"), F.col("b.n").alias("pivot_n"), F.col("b.m").alias("pivot_m"), F.col("b.u").alias("pivot_unit"))
+        starred = lists.join(settle(best, "pivots"), "key").where("unit <> pivot_unit")
         work.link(starred.where(may_link(percent, False) & (F.col("component") != F.col("pivot_c"))).select("pivot", "node"))
-        lists = work.open_lists(starred.select("key", "node", "n", "m"))
+        lists = work.open_lists(starred.select("key", "node", "unit", "n", "m"))
     if lists.isEmpty():
         return work.links
     # the smaller side of each pair: nodes outside the list's most common component
     size = lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = settle(size.groupBy("key").agg(F.max(F.struct("c", "component")).alias("b")).select("key", F.col("b.component").alias("main")), "main")
-    marked = lists.join(main, "key").join(extra.drop("n", "m"), "node")
-    left = marked.where("component <> main").withColumnsRenamed({"node": "pivot", "component": "pivot_c"} | {c: f"pivot_{c}" for c in extra.columns if c != "node"}).drop("main")
+    marked = lists.join(main, "key").join(extra.drop("node", "n", "m"), "unit")
+    left = marked.where("component <> main").withColumnsRenamed({"node": "pivot", "component": "pivot_c"} | {c: f"pivot_{c}" for c in extra.columns if c not in ("node", "unit")}).drop("main", "unit")
     rest = (F.col("component") != F.col("pivot_c")) & ((F.col("component") == F.col("main")) | (F.col("node") > F.col("pivot")))
     work.link(marked.join(left, "key").where(rest & may_link(percent, True)).select("pivot", "node"))
     return work.links
@@ -239,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = rows.where("n_shingles > 0 and doc_id is not null")
     heads = settle(full.groupBy("class").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "heads")
     # the rows that stand for their class; a repeated row may stand twice, which does no harm but is dropped here
-    classes = settle(full.join(heads.select(F.col("node").alias("doc_id"), F.col("class").alias("c")), "doc_id").where(F.col("class") == F.col("c")).select(F.col("doc_id").alias("node"), "n_shingles", "signature", "class").dropDuplicates(["class"]).drop("class"), "classes")
+    classes = settle(full.join(heads.select(F.col("node").alias("doc_id"), F.col("class").alias("c")), "doc_id").where(F.col("class") == F.col("c")).select(F.col("doc_id").alias("node"), "n_shingles", "signature", "class").dropDuplicates(["class"]), "classes")
     copies = full.join(heads.where("n > 1"), "class").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = settle(components(near_links(docs, classes, width, percent).unionByName(copies)), "found")
     out = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
