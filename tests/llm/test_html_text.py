@@ -44,3 +44,22 @@ def test_hosts_agree(spark):
 
 def test_many_open_tags_and_quotes():
     assert h.extract("<div>" * 3000 + "x" + "<a '" * 2000, None)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<article><p class="notice">Sale<p>Article <b>text</b><p>more</article>', "Article text\nmore"),
+        ('<article><ul><li class="social">a<li>b</ul><p>c</article>', "b\nc"),
+        ('<article><table><tr class="notice"><td>x<td>y<tr><td>z</table><p>c</article>', "z\nc"),
+        ('<article><div><span class="ad">buy</div><p>c</article>', "c"),
+        ('<article><div class="ad"><p>x<p>y<div>z</div></b></div><p>c</article>', "c"),
+        ('<article><p>a <span class="ad">x<div>y</div></span> b</p></article>', "a b"),
+        ('<article>a<svg><g/><title>t</title><path/></svg>b</article>', "ab"),
+        ("<head><meta charset=x><title>t</title><body><p>a", "a"),
+        ('<div class="content with-sidebar"><p>a</div>', "a"),
+        ('<div class="page has-related no-sidebar"><p>a</p><div class="sidebar">s</div></div>', "a"),
+    ],
+)
+def test_dropped_elements_end(html, want):
+    assert h.extract(html, None) == want

@@ -6,7 +6,8 @@ Spark sums the votes for each host and path and takes the path with the most. Se
 on its host's path is the result; a page without such text falls back to its own best container.
 
 Left out wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments (by tag, or by a whole word of class, id or role) and markup comments. Character references are
+reader comments (by tag, or by a whole word of class, id or role, but not one after has-, with-, without- or no-)
+and markup comments. A left-out element ends where the standard ends it, also without an end tag of its own. Character references are
 decoded, white space in a block becomes one space, blocks are joined by a line feed. Null and empty html give an
 empty text. Votes are integers, so results don't depend on the order of rows; ties go to the path that sorts
 first. Repeated rows vote again and give repeated results. Pages of null URLs share the empty host.
@@ -39,7 +40,9 @@ KEPT = frozenset("html body article main".split())
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+)>|<[!?/][^>]*+>""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
+_ABOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]\S*")
 _DIGITS = re.compile(r"\d+")
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 _P_ENDS = BLOCK - {"html", "body"}
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -54,7 +57,7 @@ def _attributes(raw: str) -> tuple[str, bool]:
         elif name in ("class", "id", "role"):
             if name == "class" and not first and value.split():
                 first = _DIGITS.sub("0", value.split()[0])
-            marked = marked or not MARKS.isdisjoint(_WORD.findall(value))
+            marked = marked or not MARKS.isdisjoint(_WORD.findall(_ABOUT.sub(" ", value)))
     return first, marked
 
 
@@ -75,6 +78,8 @@ def blocks(html: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked
+        if skip:
+            return
         if parts:
             if text := " ".join("".join(parts).split()):
                 out.append(Block(text, paths[-1], linked))
@@ -82,8 +87,11 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal links
-        if any(n in BLOCK for n in names[depth:]):
+        nonlocal links, skip
+        ended = names[depth : skip + 1] if skip else names[depth:]  # what a dropped element holds ends no block
+        if depth <= skip:
+            skip = 0
+        if any(n in BLOCK for n in ended):
             flush()
         links -= names[depth:].count("a")
         del names[depth:], paths[depth:]
@@ -96,7 +104,7 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(raw)
 
-    at, skip, deep = 0, "", 0  # skip: the dropped element that is open; deep: how often its name is
+    at, skip = 0, 0  # skip: the place of the outermost dropped element that is open, 0 for none
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -108,59 +116,62 @@ def blocks(html: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), m[1]
-        if skip:
-            if tag == skip:
-                deep += -1 if closing else 0 if m[3].endswith("/") else 1
-                if not deep:
-                    skip = ""
-            continue
+        if skip == len(names) - 1 and names[skip] == "head" and not closing and tag not in _IN_HEAD:
+            close(skip)
         if closing:
             if tag in ("html", "body"):
                 continue
             if tag == "br":
-                parts.append(" ")
+                if not skip:
+                    parts.append(" ")
             elif tag in names[1:]:
-                close(len(names) - 1 - names[::-1].index(tag))
+                depth = len(names) - 1 - names[::-1].index(tag)
+                # inline end tags don't reach out of a dropped block, and none out of a template or object
+                if depth >= skip or names[skip] not in ("template", "object") and (tag in _P_ENDS and tag != "p" or names[skip] not in BLOCK | DROPPED):
+                    close(depth)
             continue
         if tag in ("html", "body"):
             continue
         if tag == "br" or tag == "wbr":
-            parts.append(" " if tag == "br" else "")
+            if not skip:
+                parts.append(" " if tag == "br" else "")
             continue
         raw = m[3]
-        first, marked = _attributes(raw) if raw and not raw.isspace() else ("", False)
-        if tag in DROPPED or marked and tag not in KEPT:
-            if tag in BLOCK:
-                flush()
-            if tag in VOID:
-                continue
-            if tag in RAW:
-                stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-                at = html.find(">", stop.start()) + 1 or end if stop else end
-            elif not raw.endswith("/") or tag not in ("svg", "math"):
-                skip, deep = tag, 1
-            continue
+        first, marked = _attributes(raw) if raw and not raw.isspace() and not skip else ("", False)
+        dropped = tag in DROPPED or marked and tag not in KEPT
         if tag in VOID:
             if tag in BLOCK:
                 flush()
             continue
-        if tag in _P_ENDS and "p" in names:
+        if dropped and tag in RAW:
+            stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+            at = html.find(">", stop.start()) + 1 or end if stop else end
+            continue
+        if raw.endswith("/") and (tag in ("svg", "math") or skip and names[skip] in ("svg", "math")):
+            continue
+        # implied ends reach out of a dropped inline element, but not out of other dropped ones
+        least = skip if skip and (names[skip] in BLOCK | DROPPED or tag != "p" and tag not in _SAME) else 1
+        if tag in _P_ENDS and "p" in names[least:]:
             close(len(names) - 1 - names[::-1].index("p"))
         elif tag in BLOCK:
             flush()
         if tag in _SAME:
             same, bound = _SAME[tag]
-            for i in range(len(names) - 1, 0, -1):
+            found = 0
+            for i in range(len(names) - 1, least - 1, -1):
                 if names[i] in bound:
                     break
                 if names[i] in same.split():
-                    close(i)
-                    break
+                    found = i
+            if found:
+                close(found)
         if tag in BLOCK:
             flush()
+        if dropped and not skip:
+            skip = len(names)
         names.append(tag)
         links += tag == "a"
-        paths.append((*paths[-1], f"{paths[-1][-1]}/{tag}.{first}".rstrip(".")) if tag in CONTAINER else paths[-1])
+        paths.append((*paths[-1], f"{paths[-1][-1]}/{tag}.{first}".rstrip(".")) if tag in CONTAINER and not skip else paths[-1])
     flush()
     return out
 
