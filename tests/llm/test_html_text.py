@@ -43,7 +43,16 @@ def test_hosts_agree(spark):
 
 
 def test_many_open_tags_and_quotes():
-    assert h.extract("<div>" * 3000 + "x" + "<a '" * 2000, None)
+    assert h.extract("<div>" * 3000 + "x" + "<a '" * 2000, None) == "x" + "<a '" * 2000
+
+
+def test_depth_costs_no_squares():
+    import time
+
+    start = time.process_time()
+    assert h.extract("<div>" * 12_000 + "<p>x" + "</div>" * 12_000, None) == "x"
+    assert "x" in h.extract("<div>x" * 12_000, None) and h.votes("<div class=a1>x" * 12_000)
+    assert time.process_time() - start < 3
 
 
 @pytest.mark.parametrize(
@@ -58,6 +67,17 @@ def test_many_open_tags_and_quotes():
         ('<article>a<svg><g/><title>t</title><path/></svg>b</article>', "ab"),
         ("<head><meta charset=x><title>t</title><body><p>a", "a"),
         ('<div class="content with-sidebar"><p>a</div>', "a"),
+        ("<html><head><title>x</title><body><article>main</article>", "main"),
+        ('<ul><li class="nav-item">home<li class="nav-item">about</ul><article>main</article>', "main"),
+        ('<p title="the hidden valley">a</p>', "a"),
+        ('<p data-note="class=ad">a</p>', "a"),
+        ('<p class=\'b\' class="ad">a</p><p CLASS=ad>b</p><p aria-hidden=true>c</p>', "a"),
+        ('<div class="content has-sidebar"><p>a</div>', "a"),
+        ('<div class="search-results"><p>a</div>', "a"),
+        ('<h1>Results</h1><div class="search-results"><div class="search-item"><p>text one</div><div class="search-item"><p>text two</div></div>', "text one\ntext two"),
+        ('<div class="c"><p>the article</div><div class="social-share">share</div>', "the article"),
+        ('<div class="c"><p>abc</div><div class="comment-list"><p>much longer than the article</div>', "abc"),
+        ('<div class="sidebar"><p>a</div>', ""),
         ('<div class="page has-related no-sidebar"><p>a</p><div class="sidebar">s</div></div>', "a"),
     ],
 )

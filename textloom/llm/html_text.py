@@ -1,21 +1,30 @@
 """Main text of HTML pages by the container paths that the pages of a host agree on.
 
 First pass: each page is parsed, its containers are scored by the text that they hold outside links, and every
-page votes with the shares of its containers' generalised paths (tags with their first class, digits folded).
+page votes with the shares of its containers' generalised paths (tags with their first class, digits folded; what
+is before the last PATH_CHARS characters of a path stands in it as a digest).
 Spark sums the votes for each host and path and takes the path with the most. Second pass: each page is parsed again and the text below the elements
 on its host's path is the result; a page without such text falls back to its own best container.
 
 Left out wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments (by tag, or by a whole word of class, id or role, but not one after has-, with-, without- or no-)
-and markup comments. A left-out element ends where the standard ends it, also without an end tag of its own. Character references are
-decoded, white space in a block becomes one space, blocks are joined by a line feed. Null and empty html give an
-empty text. Votes are integers, so results don't depend on the order of rows; ties go to the path that sorts
-first. Repeated rows vote again and give repeated results. Pages of null URLs share the empty host.
+reader comments and markup comments. An element is left out by its tag, by hidden or aria-hidden, or by a mark: a
+class, id or role that is a word of MARKS, or whose first or last word is one, but not behind has-, with-, without- or no-.
+Where elements with one mark hold most of a page's text, that mark counts for nothing on this page
+(`search-results`), unless it is one of FIRM or stands alone as the whole class. A left-out element ends where the standard ends
+it, also without an end tag of its own. Character references are decoded, white space in a block becomes one
+space, blocks are joined by a line feed.
+
+Null and empty html give an empty text; an empty table gives an empty result. Pages of any length and depth take time and memory in proportion
+to them. Votes are integers, so results don't depend on the order of rows; ties go to the path that sorts first.
+Repeated rows vote again and give repeated results. Pages of null URLs share the empty host. Other columns are kept; of
+clashing names the operator's wins.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -35,46 +44,91 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CONTAINER = frozenset("article main section div td body blockquote center dd details".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg math canvas object button select option textarea input dialog menu head title audio video noembed noframes xmp".split())
 MARKS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu topbar header masthead footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus replies respond share sharing social subscribe newsletter signup login related recommended breadcrumb breadcrumbs pagination pager skip toolbar widget contentinfo complementary search".split())
+FIRM = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu footer sidebar cookie cookies consent gdpr comment comments disqus replies respond hidden".split())
 KEPT = frozenset("html body article main".split())
+#: Longest container path that is written out.
+PATH_CHARS = 400
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+)>|<[!?/][^>]*+>""", re.S)
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s=>/]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[a-z]+|\d+")
 _ABOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]\S*")
 _DIGITS = re.compile(r"\d+")
 _IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 _P_ENDS = BLOCK - {"html", "body"}
-_SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: The elements that a start tag ends, up to what bounds the search; the search ends at the first of the same name.
+_SAME = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dd", "dt"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("th", "td"), ("tr", "table")), "option": (("option",), ("select",))}
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """The first class, and whether class, id or role mark what isn't main text."""
-    first, marked = "", False
+def _mark(value: str) -> str:
+    """The mark of a class, id or role: a word of MARKS, with = before it if it stands alone; empty if there is none."""
+    found = ""
+    for name in _ABOUT.sub(" ", value).split():
+        if name in MARKS:
+            return "=" + name
+        words = _WORD.findall(name)
+        found = found or next((w for w in (words[:1] + words[-1:]) if w in MARKS), "")
+    return found
+
+
+def _attributes(raw: str) -> tuple[str, str]:
+    """The first class, and the mark of what isn't main text. Of repeated attributes the first counts."""
+    own: dict[str, str] = {}
     for m in _ATTR.finditer(raw):
-        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            marked = True
-        elif name in ("class", "id", "role"):
-            if name == "class" and not first and value.split():
-                first = _DIGITS.sub("0", value.split()[0])
-            marked = marked or not MARKS.isdisjoint(_WORD.findall(_ABOUT.sub(" ", value)))
-    return first, marked
+        name = m[1].lower()
+        if name in _ASKED and name not in own:
+            own[name] = unescape(m[2] or m[3] or m[4] or "").lower()
+    first = own.get("class", "").split()
+    marks = ["hidden"] if "hidden" in own or own.get("aria-hidden") == "true" else []
+    marks += [m for k in ("class", "id", "role") if (m := _mark(own.get(k, "")))]
+    return _DIGITS.sub("0", first[0]) if first else "", next((m for m in marks if _is_firm(m)), marks[0] if marks else "")
+
+
+_ASKED = frozenset("class id role hidden aria-hidden".split())
+
 
+def _is_firm(mark: str) -> bool:
+    return mark[0] == "=" or mark in FIRM
 
-class Block:
-    __slots__ = ("text", "trail", "linked")
 
-    def __init__(self, text: str, trail: tuple[str, ...], linked: int):
-        self.text, self.trail, self.linked = text, trail, linked
+class Page:
+    """What a page holds: its containers, each with its path and the place of the one around it, and its blocks of text."""
 
+    def __init__(self) -> None:
+        self.paths, self.parents = ["body"], [-1]
+        self.tags = ["body"]
+        self.texts: list[str] = []
+        self.linked: list[int] = []  # characters of each block that are in links
+        self.homes: list[int] = []  # the innermost container of each block
+        self.held: dict[str, int] = {}  # characters left out for each mark that isn't firm
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks of text in order, each with the paths of the containers around it, from the outermost."""
-    out: list[Block] = []
+    def open(self, home: int, tag: str, first: str) -> int:
+        above = self.paths[home]
+        if len(above) > PATH_CHARS:
+            above = "#" + hashlib.blake2b(above.encode(), digest_size=8).hexdigest()
+        self.paths.append(f"{above}/{tag}.{first}" if first else f"{above}/{tag}")
+        self.parents.append(home)
+        self.tags.append(tag)
+        return len(self.paths) - 1
+
+
+def parse(html: str, spared: frozenset[str] = frozenset()) -> Page:
+    """The page's blocks of text in order with their containers; `spared` are marks that count for nothing."""
+    page = Page()
     names: list[str] = ["body"]  # open elements
-    paths: list[tuple[str, ...]] = [("body",)]  # the containers' paths at each
+    homes: list[int] = [0]  # the container that each is in
+    count: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = 0
+    at, skip, firm, held = 0, 0, 0, ""  # skip, firm: the places of the outermost left-out elements that are open, 0 for none
+
+    def last(tag: str, least: int) -> int:
+        """The place of the innermost open element of that name, or 0."""
+        if count[tag]:
+            for i in range(len(names) - 1, least - 1, -1):
+                if names[i] == tag:
+                    return i
+        return 0
 
     def flush() -> None:
         nonlocal linked
@@ -82,19 +136,25 @@ def blocks(html: str) -> list[Block]:
             return
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(text, paths[-1], linked))
+                page.texts.append(text)
+                page.linked.append(linked)
+                page.homes.append(homes[-1])
             parts.clear()
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal links, skip
+        nonlocal links, skip, firm
         ended = names[depth : skip + 1] if skip else names[depth:]  # what a dropped element holds ends no block
+        if depth <= firm:
+            firm = 0
         if depth <= skip:
             skip = 0
-        if any(n in BLOCK for n in ended):
+        if not BLOCK.isdisjoint(ended):
             flush()
-        links -= names[depth:].count("a")
-        del names[depth:], paths[depth:]
+        gone = names[depth:]
+        links -= gone.count("a")
+        count.subtract(gone)
+        del names[depth:], homes[depth:]
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -104,12 +164,13 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(raw)
 
-    at, skip = 0, 0  # skip: the place of the outermost dropped element that is open, 0 for none
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
         if not skip:
             text(html[at : m.start() if m else end])
+        elif not firm:
+            page.held[held] = page.held.get(held, 0) + sum(map(len, html[at : m.start() if m else end].split()))
         if not m:
             break
         at = m.end()
@@ -124,8 +185,7 @@ def blocks(html: str) -> list[Block]:
             if tag == "br":
                 if not skip:
                     parts.append(" ")
-            elif tag in names[1:]:
-                depth = len(names) - 1 - names[::-1].index(tag)
+            elif depth := last(tag, 1):
                 # inline end tags don't reach out of a dropped block, and none out of a template or object
                 if depth >= skip or names[skip] not in ("template", "object") and (tag in _P_ENDS and tag != "p" or names[skip] not in BLOCK | DROPPED):
                     close(depth)
@@ -137,13 +197,11 @@ def blocks(html: str) -> list[Block]:
                 parts.append(" " if tag == "br" else "")
             continue
         raw = m[3]
-        first, marked = _attributes(raw) if raw and not raw.isspace() and not skip else ("", False)
-        dropped = tag in DROPPED or marked and tag not in KEPT
         if tag in VOID:
             if tag in BLOCK:
                 flush()
             continue
-        if dropped and tag in RAW:
+        if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             at = html.find(">", stop.start()) + 1 or end if stop else end
             continue
@@ -151,58 +209,95 @@ def blocks(html: str) -> list[Block]:
             continue
         # implied ends reach out of a dropped inline element, but not out of other dropped ones
         least = skip if skip and (names[skip] in BLOCK | DROPPED or tag != "p" and tag not in _SAME) else 1
-        if tag in _P_ENDS and "p" in names[least:]:
-            close(len(names) - 1 - names[::-1].index("p"))
+        if tag in _P_ENDS and (depth := last("p", least)):
+            close(depth)
         elif tag in BLOCK:
             flush()
         if tag in _SAME:
             same, bound = _SAME[tag]
-            found = 0
-            for i in range(len(names) - 1, least - 1, -1):
-                if names[i] in bound:
-                    break
-                if names[i] in same.split():
-                    found = i
-            if found:
-                close(found)
+            if any(count[x] for x in same):
+                found = 0
+                for i in range(len(names) - 1, least - 1, -1):
+                    if names[i] in bound:
+                        break
+                    if names[i] in same:
+                        found = i
+                        if names[i] == same[0]:
+                            break
+                if found:
+                    close(found)
+        first, mark = _attributes(raw) if raw and not raw.isspace() and not firm else ("", "")
+        if mark and (tag in KEPT or mark in spared):
+            mark = ""
         if tag in BLOCK:
             flush()
-        if dropped and not skip:
-            skip = len(names)
+        if tag in DROPPED or mark:
+            if not firm and (tag in DROPPED or _is_firm(mark)):
+                firm = len(names)
+            if not skip:
+                skip, held = len(names), mark
         names.append(tag)
+        count[tag] += 1
         links += tag == "a"
-        paths.append((*paths[-1], f"{paths[-1][-1]}/{tag}.{first}".rstrip(".")) if tag in CONTAINER and not skip else paths[-1])
+        homes.append(page.open(homes[-1], tag, first) if tag in CONTAINER and not skip else homes[-1])
     flush()
-    return out
+    return page
+
+
+def read(html: str) -> Page:
+    """The page parsed, without the marks that most of its text stands under."""
+    page, spared = parse(html), frozenset()
+    while page.held:
+        mark, n = max(page.held.items(), key=lambda x: (x[1], x[0]))
+        if not mark or 2 * n <= sum(map(len, page.texts)) + sum(page.held.values()):
+            break
+        spared |= {mark}
+        page = parse(html, spared)
+    return page
 
 
-def scores(found: list[Block]) -> dict[str, float]:
+def scores(page: Page) -> dict[str, float]:
     """The score of each container path: the text outside links, in full for the innermost container, less for those around it."""
+    own = [0.0] * len(page.paths)
+    for text, linked, home in zip(page.texts, page.linked, page.homes):
+        own[home] += max(0.0, len(text) - 1.5 * linked)
+    below, whole = own[:], own
+    for i in range(len(own) - 1, 0, -1):  # a container comes after the one around it
+        below[page.parents[i]] += below[i] / 2
+        whole[page.parents[i]] += whole[i]
     out: dict[str, float] = {}
-    for b in found:
-        worth = max(0.0, len(b.text) - 1.5 * b.linked)
-        for depth, path in enumerate(reversed(b.trail)):
-            tag = path.rpartition("/")[2].partition(".")[0]
-            share = 1.25 if tag in ("article", "main") else 1.0 if depth == 0 else 0.5**depth
-            out[path] = out.get(path, 0.0) + worth * share
+    used = set(page.homes)
+    for i in range(len(own) - 1, -1, -1):
+        if i in used:
+            used.add(page.parents[i])
+            path = page.paths[i]
+            out[path] = out.get(path, 0.0) + (1.25 * whole[i] if page.tags[i] in ("article", "main") else below[i])
     return out
 
 
+def _below(page: Page, path: str) -> list[str]:
+    """The blocks in the containers on a path."""
+    inside = []
+    for own, parent in zip(page.paths, page.parents):
+        inside.append(own == path or parent >= 0 and inside[parent])
+    return [t for t, home in zip(page.texts, page.homes) if inside[home]]
+
+
 def votes(html: str) -> dict[str, int]:
     """Path -> its share of the page's best score, in thousandths."""
-    own = scores(blocks(html))
+    own = scores(read(html))
     best = max(own.values(), default=0.0)
     return {p: round(1000 * s / best) for p, s in own.items()} if best > 0 else {}
 
 
 def extract(html: str, path: str | None) -> str:
     """The text below the path; without any, below the page's own best path, or else all that is left."""
-    found = blocks(html)
-    kept = [b.text for b in found if path in b.trail] if path else []
-    if not kept and found:
-        own = scores(found)
+    page = read(html)
+    kept = _below(page, path) if path else []
+    if not kept and page.texts:
+        own = scores(page)
         best = min(own, key=lambda p: (-own[p], p))
-        kept = [b.text for b in found if best in b.trail] if own[best] > 0 else [b.text for b in found]
+        kept = _below(page, best) if own[best] > 0 else page.texts
     return "\n".join(kept)
 
 
