@@ -1,15 +1,20 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame and SQL functions only.
 
-A candidate is a whole run of at least MIN_CHARS of [A-Za-z0-9_+/-], with up to two = behind it, that holds a
-digit. Its features: length; shares of digits, capitals, small letters and signs; runs of one kind of character,
-that is transitions; distinct characters; whether it is hexadecimal, decimal or shaped like a UUID; how much of
-it dictionary words cover; the words of both kinds before and after it; an assignment in front; a path around it
-or in the path column. The forest is trained on labelled findings (candidate, before, after, path, label), by
-default on `labelled_findings`, a table of TRAIN_ROWS made findings whose labels are known by construction.
+A candidate is, in this order: what is assigned to a name with a word of ASSIGNED (`db_password = "..."`, `Authorization: Bearer ...`), MIN_VALUE
+characters or more; the password of a URL; a private key block; a JSON web token; a whole run of at least MIN_CHARS of [A-Za-z0-9_+/-], with
+up to two = behind it, that holds a digit. Its features: length; shares of digits, capitals, small letters and signs; runs of one kind of character,
+that is transitions; distinct characters; kinds of characters; its shape (hexadecimal, decimal, UUID, key block or web token, issuer's
+prefix, placeholder, piece of code); how much of it dictionary words cover; the words of both kinds before and after it; an assignment in front; a
+path around it or in the path column. Lengths count up to 512 and distinct characters are held against 64 at most; the candidate itself is never cut.
+
+The forest is trained on a table of labelled findings (candidate, before, after, path, label), which `scan` and
+`redact` take as `findings`; without one, on `labelled_findings`, TRAIN_ROWS made findings whose labels are known by construction.
 
 Texts are whole; null and empty ones have no findings. Findings carry their place (start_at, in code points from
 0), so equal candidates of one text stay apart; repeated rows repeat their findings, null ids are kept. An empty
-table has none. Every finding of a row is on one row of its own, so hot sources and long texts need no grouping.
+table has none. Every finding of a row is on one row of its own, so hot sources and long texts need no grouping, and a text costs time in
+proportion to its length and findings. The control characters U+0001 and U+0002 count as spaces, and are spaces in what `redact` masks. Extra columns don't reach `scan`'s result;
+`redact` keeps them, and adds none.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-MIN_CHARS = 16
+MIN_CHARS, MIN_VALUE = 16, 6
 AROUND = 48
 TRAIN_ROWS = 3_000
 TREES, DEPTH, SEED = 24, 7, 11
@@ -29,14 +34,26 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 _RUN = "[A-Za-z0-9_+/\\-]"
-CANDIDATE = f"(?<!{_RUN})(?=[A-Za-z_+/\\-]*+[0-9]){_RUN}{{{MIN_CHARS},}}+={{0,2}}"
 _OPEN, _CLOSE = "\u0001", "\u0002"
+#: Names that secrets are assigned to, as parts of patterns.
+ASSIGNED = "token secret passwo?r?d passwd pwd passphrase api[_-]?key access[_-]?key auth bearer credential private[_-]?key signing[_-]?key session[_-]?key encryption[_-]?key".split()
+_BLOCK = r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s]*+-(?!-)){0,8}[A-Za-z0-9+/=:,\s]*+-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----"
+_TOKEN = r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]*+)?"
+_NAME = r"(?i:(?<![a-z])(?:" + "|".join(ASSIGNED) + r")[a-z0-9_\-]{0,24}+)[\"'`\]]{0,2}\s{0,3}+(?::=|=>|[:=])\s{0,3}+(?i:(?:bearer|basic)\s{1,2})?+[\"'`]?+"
+_VALUE = rf"(?!-----BEGIN)[^\s\"'`<>(){{}}\[\],;]{{{MIN_VALUE},}}+(?<![.:])|(?!-----BEGIN)[^\s\"'`<>(){{}}\[\],;]{{{MIN_VALUE - 1},}}[^\s\"'`<>(){{}}\[\],;.:]"
+CANDIDATE = rf"({_NAME})({_VALUE})|(://[^\s/:@\"'<>]{{1,64}}+:)([^\s/@\"'<>]{{3,256}}+)(?=@)|({_BLOCK})|({_TOKEN})|((?<!{_RUN})(?=[A-Za-z_+/\-]*+[0-9]){_RUN}{{{MIN_CHARS},}}+={{0,2}})"
+_MARKED = f"$1$3{_OPEN}$2$4$5$6$7{_CLOSE}"
 #: Words that stand near secrets, words that stand near what merely looks like one, and words of which names are made. Fixed values.
 NEAR = "token secret password passwd pwd passphrase apikey api_key api-key api key access_key accesskey auth authorization bearer credential credentials private_key client_secret signing_key session".split()
 FAR = "sha sha1 sha256 sha512 md5 hash checksum digest commit revision rev uuid guid etag integrity fingerprint version build example sample placeholder dummy fake test isbn issn doi phone order invoice tracking card account number serial page image img png jpg css charset".split()
 DICTIONARY = "about above after again air all also and animal answer any are ask back because been before began being below between book both boy build but call came can change city close come could country cross data day did different does done down each earth eat end enough even every example eye face family far father feet few file find first follow food for form found four from get girl give good got great group grow had hand hard has have head hear help her here high him his home house how idea image index into its just keep kind know land large last late learn leave left letter life light like line list little live long look made main make man many may mean men might mile more most mother mountain move much must name near need never new next night not note now number off often old one only open order other our out over own page paper part people picture place plant play point put question quick read real right river run said same saw say school sea second see seem sentence set she should show side small some something sometimes song soon sound spell start state still stop story study such take talk tell test than that the their them then there these they thing think this those thought three through time together too took tree try turn two under until use user value very walk want was watch water way well went were what when where which while white who why will with without word work world would write year you young your".split()
 
-FEATURES = "n_chars digits capitals small signs transitions distinct hexadecimal decimal uuid_like dictionary near_words far_words assigned quoted in_path odd_path repeated".split()
+#: How tokens of well-known issuers begin; what stands where a secret will be; what is code. Fixed values.
+ISSUED = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|[sr]k_(?:live|test)_|sk-|xox[abprs]-|glpat-|AIza|SG[.0-9]|npm_|pypi-|hf_|ya29\.|dop_v1_|shpat_)"
+HOLDER = r"(?i)change.?me|replace|example|your.|placeholder|dummy|sample|redacted|xxxx|\*\*\*|\.\.\.|todo|^(?:none|null|true|false|string|required|optional|undefined|password|passwd|secret|token|default)$|^test"
+CODE = r"^[$%{]|^(?:os|env|process|self|this|config|settings|request|req|args|options|params|ctx|data|user|form)\.|^get|\w\.\w+\.\w|://|->|::|^/|\(\)?$"
+
+FEATURES = "n_chars digits capitals small signs transitions distinct classes hexadecimal decimal uuid_like block issued holder code in_url dictionary near_words far_words assigned named quoted in_path odd_path repeated".split()
 
 
 def _any(words: list[str]) -> str:
@@ -62,6 +79,13 @@ def with_features(findings: DataFrame) -> DataFrame:
         "signs": _share(c, "_+/=\\-"),
         "transitions": (F.length(runs) - 1) / n,
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64)),
+        "classes": sum((flag(c.rlike(x)) for x in ("[a-z]", "[A-Z]", "[^A-Za-z0-9_\\-]")), flag(c.rlike("[0-9]"))),
+        "block": flag(c.startswith("-----BEGIN") | c.rlike("^eyJ[^.]+[.][^.]+")),
+        "issued": flag(c.rlike(ISSUED)),
+        "holder": flag(c.rlike(HOLDER)),
+        "code": flag(c.rlike(CODE)),
+        "in_url": flag(before.rlike("://[^\\s/:@]+:$") & after.startswith("@")),
+        "named": flag(before.rlike(_NAME + "$")),
         "hexadecimal": flag(c.rlike("^[0-9a-f]+$") | c.rlike("^[0-9A-F]+$")),
         "decimal": flag(c.rlike("^[0-9_\\-]+$")),
         "uuid_like": flag(c.rlike("(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")),
@@ -77,21 +101,40 @@ def with_features(findings: DataFrame) -> DataFrame:
     return findings.withColumns({k: v.cast("double") for k, v in made.items()})
 
 
+_BLOCK_SIZE = 256
+
+
+def _sums_before(lengths: Column) -> Column:
+    """For each item the sum of those before it, in blocks, so that no long list is copied for each of its items."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK_SIZE).cast("int")), lambda b: F.slice(lengths, b * _BLOCK_SIZE + 1, F.lit(_BLOCK_SIZE)))
+    grow = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    inner = F.transform(blocks, grow)
+    both = F.struct(inner.alias("inner"), grow(F.transform(inner, lambda p: F.element_at(p, -1))).alias("outer"))
+    # a one-item list, so that both are made once
+    return F.flatten(F.element_at(F.transform(F.array(both), lambda x: F.transform(x["inner"], lambda p, i: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda v: v + F.element_at(x["outer"], i + 1)))), 1))
+
+
+def _parts(text: Column) -> Column:
+    """The text cut before each candidate; what follows a candidate stands behind _CLOSE."""
+    return F.split(F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "  "), CANDIDATE, _MARKED), _OPEN)
+
+
 def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     """The candidates of docs(doc_id, text): doc_id, place, start_at, candidate, before, after, path."""
-    plain = F.translate("text", _OPEN + _CLOSE, "  ")
-    parts = F.split(F.regexp_replace(plain, f"({CANDIDATE})", f"{_OPEN}$1{_CLOSE}"), _OPEN)
-    cut = docs.select("doc_id", (path if path is not None else F.lit(None).cast("string")).alias("path"), parts.alias("parts")).where(F.size("parts") > 1)
-    ends = F.transform("parts", lambda p, i: F.length(p) - (i > 0).cast("int"))
-    # lengths so far, in one walk: each step appends to the list
-    so_far = F.aggregate(F.slice(F.col("ends"), 1, F.size("ends") - 1), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    return _findings(docs.select("doc_id", (path if path is not None else F.lit(None).cast("string")).alias("path"), _parts(F.col("text")).alias("parts")))
+
+
+def _findings(cut: DataFrame) -> DataFrame:
+    """The candidates of cut(doc_id, path, parts)."""
+    cut = cut.where(F.size("parts") > 1)
     item = lambda i: F.struct(
         F.element_at("so_far", i + 1).alias("start_at"),
         F.substring_index(F.element_at("parts", i + 1), _CLOSE, 1).alias("candidate"),
         F.right(F.element_at("parts", i), F.lit(AROUND + 1)).alias("before"),
         F.left(F.substring_index(F.element_at("parts", i + 1), _CLOSE, -1), F.lit(AROUND)).alias("after"),
     )
-    rows = cut.withColumn("ends", ends).withColumn("so_far", so_far).select("doc_id", "path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), item)).alias("place", "f"))
+    rows = cut.withColumn("ends", F.transform("parts", lambda p, i: F.length(p) - (i > 0).cast("int"))).withColumn("so_far", _sums_before(F.col("ends")))
+    rows = rows.select("doc_id", "path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), item)).alias("place", "f"))
     before = F.right(F.translate("f.before", _CLOSE, ""), F.lit(AROUND))
     return rows.select("doc_id", "place", F.col("f.start_at").alias("start_at"), F.col("f.candidate").alias("candidate"), before.alias("before"), F.col("f.after").alias("after"), "path")
 
@@ -113,26 +156,48 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
     uuid = F.regexp_replace(F.left(hexa, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     filler = F.concat(pick("fill", ["xxxxxxxxxxxxxxxxxxxx1", "0000000000000000000000", "1234567890123456789012", "aaaaaaaaaaaaaaaaaaa111", "abcdef0123456789abcdef"]), F.pmod(r("z"), F.lit(9)).cast("string"))
     sized = lambda c: F.left(c, F.element_at(F.array(*[F.lit(x) for x in (20, 24, 32, 40, 40, 40, 48, 64)]), F.pmod(r("size"), F.lit(8)).cast("int") + 1))
-    prefixed = F.concat(pick("prefix", ["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG7", "npm_"]), F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(32)))
+    issued = F.concat(pick("prefix", ["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG7", "npm_"]), F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(32)))
+    alone = F.concat(pick("access", ["AKIA", "ASIA"]), F.upper(F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(16))))
+    parted = F.concat(pick("app", ["xoxb-", "xoxp-"]), F.left(F.lpad(F.abs(r("n3")).cast("string"), 11, "4"), F.lit(11)), F.lit("-"), F.left(F.lpad(F.abs(r("n4")).cast("string"), 12, "7"), F.lit(12)), F.lit("-"), F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(24)))
+    marked = F.concat(pick("prefix", ["ghp_", "gho_", "sk_live_", "glpat-", "npm_", "hf_", "pypi-", "ghs_"]), F.left(hexa, F.lit(20)), F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(16)))
+    prefixed = F.when(F.pmod(r("issuer"), F.lit(4)) == 0, alone).when(F.pmod(r("issuer"), F.lit(4)) == 1, parted).when(F.pmod(r("issuer"), F.lit(4)) == 2, marked).otherwise(issued)
     lead = F.concat(word("w1"), F.lit(" "), word("w2"), F.lit(" "), word("w3"), F.lit(" "))
-    key = pick("key", ["token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "TOKEN", "Bearer", "api-key", "credential", "private_key"])
+    key = pick("key", ["token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "TOKEN", "api-key", "credential", "private_key", "db_password", "SECRET_KEY", "passwd", "pwd", "passphrase", "auth"])
     far = pick("far", ["sha256", "commit", "checksum", "md5", "digest", "uuid", "etag", "build", "revision", "integrity", "hash", "order", "tracking"])
-    sign = pick("sign", [" = ", "=", ": ", " := ", " => ", " "])
+    sign = pick("sign", [" = ", "=", ": ", " := ", " => ", "="])
     quote = pick("quote", ['"', "'", "", ""])
     trail = F.concat(F.lit(" "), word("t1"), F.lit(" "), word("t2"))
-    kind = F.pmod(F.col("id"), F.lit(16))
-    near_before, far_before = F.concat(lead, key, sign, quote), F.concat(lead, far, sign, quote)
-    candidate = (
-        F.when(kind < 4, sized(digest)).when(kind < 6, sized(base)).when(kind == 6, prefixed).when(kind == 7, sized(digest))
-        .when(kind == 8, sized(digest)).when(kind == 9, uuid).when(kind == 10, digits).when(kind == 11, slug).when(kind == 12, camel)
-        .when(kind == 13, snake).when(kind == 14, filler).otherwise(F.when(F.pmod(r("mix"), F.lit(2)) == 0, digits).otherwise(F.concat_ws("/", word("p1"), word("p2"), word("p3"), digits)))
-    )
-    before = F.when(kind < 6, near_before).when((kind == 6) & (F.pmod(r("bare"), F.lit(2)) == 0), lead).when(kind == 6, near_before).when(kind == 8, far_before)
-    before = before.when((kind == 9) | (kind == 7), F.concat(far_before)).when((kind >= 11) & (kind <= 14) & (F.pmod(r("near"), F.lit(2)) == 0), near_before).otherwise(lead)
-    after = F.when(kind <= 9, F.concat(quote, trail)).otherwise(trail)
-    label = (kind < 7).cast("double")
+    number = lambda t, n: F.pmod(r(t), F.lit(n)).cast("string")
+    mark = lambda t: pick(t, ["!", "@", "#", "$", "&", "_", ".", "-", "%", "*", "?", "+"])
+    plain = F.regexp_replace(base, "[+/]", "x")
+    between = lambda c, low, high: F.left(c, F.lit(low) + F.pmod(r("cut"), F.lit(high - low + 1)).cast("int"))
+    leet = F.when(F.pmod(r("leet"), F.lit(2)) == 0, F.translate(word("m"), "aeos", "4305")).otherwise(F.initcap(word("m")))
+    human = F.array(F.concat(leet, mark("s1"), number("d1", 9999), F.initcap(word("n"))), F.concat(leet, number("d2", 99), mark("s2"), F.initcap(F.left(word("n"), F.lit(2))), number("d3", 99)), F.concat(mark("s3"), word("n"), F.initcap(leet), mark("s4"), number("d4", 999)))
+    password = F.rpad(F.element_at(human, F.pmod(r("human"), F.lit(3)).cast("int") + 1), 8, "9!")
+    web = F.concat(F.lit("eyJ"), F.left(plain, F.lit(33)), F.lit("."), F.reverse(plain), F.lit("."), F.left(F.reverse(plain), F.lit(43)))
+    kind_of_key = pick("pem", ["", "RSA ", "EC ", "OPENSSH "])
+    block = F.concat(F.lit("-----BEGIN "), kind_of_key, F.lit("PRIVATE KEY-----\n"), base, F.lit("\n"), F.reverse(base), F.lit("\n"), base, F.lit("\n-----END "), kind_of_key, F.lit("PRIVATE KEY-----"))
+    letters = between(F.regexp_replace(F.concat(base, F.reverse(base)), "[^A-Za-z]", ""), 16, 40)
+    url = F.concat(pick("scheme", ["postgres", "mysql", "https", "amqp", "redis"]), F.lit("://"), word("u"), F.lit(":"))
+    holder = pick("holder", ["changeme", "your_api_key_here", "xxxxxxxx", "********", "example-token", "REPLACE_ME_NOW", "placeholder", "dummy_secret", "<password>", "required", "undefined", "string", "password", "secret", "test-token", "todo-set-this", "your-password"])
+    code = pick("code", ["os.environ", "process.env.TOKEN", "self.token", "config.password", "getToken()", "request.form.password", "settings.SECRET_KEY", "${TOKEN}", "$PASSWORD", "args.password", "user.password", "data.token", "form.password.value", "https://example.org/login", "/etc/app/secret.txt", "./keys/id", "function", "input.value"])
+    prose = F.when(F.pmod(r("long"), F.lit(2)) == 0, F.concat(word("o"), word("q"))).otherwise(F.rpad(word("o"), 6, "ing"))
+    positive = [
+        (3, F.concat(sized(digest)), "near"), (2, sized(base), "near"), (8, prefixed, "bare"), (2, prefixed, "near"), (1, web, "near"), (1, web, "bare"), (1, block, "bare"),
+        (1, password, "url"), (3, password, "near"), (1, letters, "near"), (2, between(plain, 8, 18), "near"), (1, between(plain, 8, 30), "url"),
+    ]
+    negative = [
+        (2, sized(digest), "far"), (2, uuid, "far"), (1, uuid, "none"), (2, digits, "none"), (1, slug, "none"), (1, camel, "none"), (1, snake, "none"), (1, filler, "near"), (1, F.concat_ws("/", word("p1"), word("p2"), word("p3"), digits), "none"),
+        (2, prose, "near"), (2, holder, "near"), (2, code, "near"), (1, slug, "near"), (1, F.concat_ws(".", word("p1"), word("p2"), word("p3")), "near"), (1, camel, "near"),
+    ]
+    kinds = [(c, where, 1.0) for n, c, where in positive for _ in range(n)] + [(c, where, 0.0) for n, c, where in negative for _ in range(n)]
+    kind = F.pmod(F.col("id"), F.lit(len(kinds)))
+    before = {"near": F.concat(lead, key, sign, quote), "far": F.concat(lead, far, sign, quote), "url": F.concat(lead, url), "bare": lead, "none": lead}
+    after = {"near": F.concat(quote, trail), "far": F.concat(quote, trail), "url": F.concat(F.lit("@"), word("h"), F.lit("."), word("t1")), "bare": trail, "none": trail}
+    choose = lambda values: reduce(lambda case, x: case.when(kind == x[0], x[1]), list(enumerate(values))[1:], F.when(kind == 0, values[0]))
     path = pick("path", ["src0", "src1", "src2", "config/app.yml", "tests/data/sample.txt", "docs/example.md"])
-    return spark.range(n).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), label.alias("label"))
+    made = spark.range(n).select(choose([c for c, _, _ in kinds]).alias("candidate"), choose([before[w] for _, w, _ in kinds]).alias("before"), choose([after[w] for _, w, _ in kinds]).alias("after"), path.alias("path"), choose([F.lit(x) for _, _, x in kinds]).alias("label"))
+    return made
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
@@ -142,7 +207,7 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
     rows = with_features(findings).coalesce(1)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(ready)
 
 
 def score(findings: DataFrame, forest) -> DataFrame:
@@ -154,25 +219,34 @@ def score(findings: DataFrame, forest) -> DataFrame:
     return forest.transform(ready).withColumn("score", F.round(vector_to_array("probability")[1], 9)).drop("features", "rawPrediction", "probability", "prediction", *FEATURES)
 
 
-def scan(docs: DataFrame, forest=None, threshold: float = THRESHOLD, path: Column | None = None) -> DataFrame:
-    """All candidates with score and secret: doc_id, place, start_at, candidate, before, after, path, score, secret."""
-    forest = forest if forest is not None else train(labelled_findings(docs.sparkSession))
-    return score(candidates(docs, path), forest).withColumn("secret", F.col("score") >= threshold)
+def scan(docs: DataFrame, forest=None, threshold: float = THRESHOLD, path: Column | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """All candidates with score and secret: doc_id, place, start_at, candidate, before, after, path, score, secret. findings: labelled ones to train on."""
+    return _judged(candidates(docs, path), forest, threshold, findings)
+
+
+def _judged(found: DataFrame, forest, threshold: float, labelled: DataFrame | None) -> DataFrame:
+    if forest is None:
+        forest = train(labelled if labelled is not None else labelled_findings(found.sparkSession))
+    return score(found, forest).withColumn("secret", F.col("score") >= threshold)
 
 
-def redact(docs: DataFrame, forest=None, threshold: float = THRESHOLD, path: Column | None = None) -> DataFrame:
-    """docs with every secret in the text replaced by MASK and n_chars, if there is one, of the new text.
+def redact(docs: DataFrame, forest=None, threshold: float = THRESHOLD, path: Column | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """docs with every secret in the text, by its place, replaced by MASK and n_chars, if there is one, of the new text.
 
-    Texts meet their secrets by a hash of the text, so null and repeated ids do no harm; texts without a candidate aren't moved.
+    Texts meet their verdicts by a digest of the text and its path, so null and repeated ids do no harm; texts without a candidate aren't moved.
     """
     has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    some = docs.where(has).withColumn("__key", F.xxhash64("text"))
-    own = some.withColumn("doc_id", F.col("__key"))
-    found = scan(own, forest, threshold, path).where("secret").select(F.col("doc_id").alias("__key"), "candidate").distinct()
-    found = settle(found.groupBy("__key").agg(F.collect_list("candidate").alias("__c")), "secrets")  # of one text
-    longest = F.array_sort("__c", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    text = F.when(F.col("__c").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, c: F.replace(t, c, F.lit(MASK))))
-    new = some.join(found, "__key", "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__c").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return docs.where(~has).unionByName(new.select(*docs.columns))
+    own = (path if path is not None else F.lit(None)).cast("string")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    some = docs.where(has).select(whole.alias("row"), F.md5(F.concat_ws(_OPEN, "text", own)).alias("key"), own.alias("path"), _parts(F.col("text")).alias("parts"))
+    some = settle(some, "with-candidates")
+    found = _judged(_findings(some.select(F.col("key").alias("doc_id"), "path", "parts")), forest, threshold, findings)
+    found = settle(found.select(F.col("doc_id").alias("key"), "place", "secret").distinct(), "verdicts")
+    flags = found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "secret"))), lambda x: x["secret"]).alias("flags"))  # of one text
+    flags = settle(flags.where(F.exists("flags", lambda x: x)), "secrets")
+    rest = lambda p: F.substring_index(p, _CLOSE, -1)
+    masked = F.transform("parts", lambda p, i: F.when(i == 0, p).when(F.element_at("flags", F.greatest(i, F.lit(1))), F.concat(F.lit(MASK), rest(p))).otherwise(F.translate(p, _CLOSE, "")))
+    text = F.when(F.col("flags").isNull(), F.col("row.text")).otherwise(F.array_join(masked, ""))
+    new = {"text": text, "n_chars": F.when(F.col("flags").isNull(), F.col("row.n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None}
+    out = [new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]
+    return docs.where(~has).unionByName(some.join(flags, "key", "left").select(*out))
