@@ -136,3 +136,53 @@ def test_ask_retries_and_reports(spark):
     got = {r.prompt: r.raw for r in judging.ask(df, judge).collect()}
     assert got == {"ok": "{}", "second": "{}", "never": "ERROR: down"}
     assert judging.token_budget(8192, 100, 256) == 8192 - 100 - 256 - 64 and judging.token_budget(100) == 64
+
+
+def test_ask_in_batches(spark):
+    class Model:
+        def __call__(self, p):
+            if p == "bad":
+                raise RuntimeError("down")
+            return f"one {p}"
+
+        def batch(self, prompts):
+            if "bad" in prompts:
+                raise RuntimeError("all down")
+            return [f"many {p}" for p in prompts]
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(6)] + [("bad",), ("p7",)], "prompt string").coalesce(1)
+    got = {r.prompt: r.raw for r in judging.ask(df, Model, retries=0, batch_size=3).collect()}
+    assert got == {f"p{i}": f"many p{i}" for i in range(6)} | {"bad": "ERROR: down", "p7": "one p7"}
+
+
+def test_models_see_rows_not_ids(spark):
+    rows = [(1, "a b c d"), (1, "a b c"), (None, "x y"), (None, "x"), (2, ""), (3, None), (4, "q " * 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = lambda: lambda windows: [sum(len(x) for x in w[1:]) / 10 for w in windows]
+    got = judging.perplexity(df, scorer, window=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+    def brute(text):
+        w = (text or "").split()
+        cut = [x for i in range(0, len(w), 3) if len(x := w[i : i + 3]) > 1]
+        return (None if text is None else len(w), len(cut), sum(len(x) - 1 for x in cut), round(sum(len(y) for x in cut for y in x[1:]) / 10, 6) if cut else None)
+
+    keys = sorted(((r.doc_id, r.n_tokens, r.n_windows, r.n_pred_tokens, r.neg_log_likelihood and round(r.neg_log_likelihood, 6)) for r in got.collect()), key=str)
+    assert keys == sorted(((i, *brute(x)) for i, x in rows), key=str)
+    listed = judging.perplexity(df, scorer, window=3, tokens=lambda c: F.filter(F.split(c, " "), lambda x: x != ""))
+    assert sorted(map(str, listed.collect())) == sorted(map(str, got.collect()))
+
+
+def test_grammar_by_rows(spark):
+    rows = [(1, "He go home."), (1, "They is here. It are so. All is well now."), (None, "We go. We go."), (5, "Fine."), (6, "go " * 300 + "end.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fix = lambda: lambda xs: [x.replace("go", "goes").replace("They is", "They are") for x in xs]
+    found = grammar.grammar_features(df, fix, details=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted(((r.doc_id, r.sentences, r.grammar_edits) for r in found.collect()), key=str)
+    assert got == sorted([(1, 1, 1), (1, 3, 1), (None, 2, 2), (5, 1, 0), (6, 1, 0)], key=str)  # an answer of 128 words is too short for 301
+    whole = grammar.grammar_features(df.where("doc_id = 6"), fix, max_tokens=400, max_new_tokens=400).first()
+    assert (whole.sentences, whole.grammar_edits) == (1, 0)  # a word three times in a row is a broken answer
+    assert grammar.grammar_features(df.limit(0), fix).count() == 0

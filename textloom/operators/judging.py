@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -64,24 +65,37 @@ def parse_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
     ).drop("__obj")
 
 
-def ask(prompts: DataFrame, judge: Callable[[], Callable[[str], str]], prompt_col: str = "prompt", retries: int = 2) -> DataFrame:
-    """Adds `raw`, the judge's answer, or an ERROR text after so many retries. judge() is called once per task."""
+def ask(prompts: DataFrame, judge: Callable[[], Callable[[str], str]], prompt_col: str = "prompt", retries: int = 2, batch_size: int = 16) -> DataFrame:
+    """Adds `raw`, the judge's answer, or an ERROR text after so many retries. judge() is called once per task.
+
+    A judge with a method `batch` gets batch_size prompts at a time; the prompts of a batch that fails are asked one by one.
+    """
     schema = StructType([*prompts.schema, StructField("raw", StringType())])
 
+    def single(model, prompt):
+        answer = None
+        for _ in range(retries + 1):
+            try:
+                return model(prompt)
+            except Exception as e:  # noqa: BLE001 a failed row is data
+                answer = f"ERROR: {e}"
+        return answer
+
+    def several(model, some):
+        if hasattr(model, "batch"):
+            try:
+                answers = list(model.batch(some))
+                if len(answers) == len(some):
+                    return answers
+            except Exception:  # noqa: BLE001 asked one by one below
+                pass
+        return [single(model, p) for p in some]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = judge()
         for frame in frames:
-            out = []
-            for prompt in frame[prompt_col]:
-                answer = None
-                for _ in range(retries + 1):
-                    try:
-                        answer = model(prompt)
-                        break
-                    except Exception as e:  # noqa: BLE001 a failed row is data
-                        answer = f"ERROR: {e}"
-                out.append(answer)
-            yield frame.assign(raw=out)
+            own = frame[prompt_col].tolist()
+            yield frame.assign(raw=[a for i in range(0, len(own), batch_size) for a in several(model, own[i : i + batch_size])])
 
     return prompts.mapInPandas(run, schema)
 
@@ -90,26 +104,35 @@ def token_budget(max_len: int = 8192, overhead: int = 0, new_tokens: int = 256,
     return max(least, max_len - overhead - new_tokens - reserve)
 
 
+#: Windows that a scorer gets at a time.
+SCORED = 512
+
+
 def perplexity(docs: DataFrame, scorer: Callable[[], Callable[[list[list[str]]], list[float]]], id_col: str = "doc_id", text_col: str = "text", window: int = 256, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
-    """n_tokens, n_windows, n_pred_tokens, neg_log_likelihood, perplexity and status of each document.
+    """n_tokens, n_windows, n_pred_tokens, neg_log_likelihood, perplexity and status of each row, repeated and null ids included.
 
     Windows are consecutive and have two tokens or more; scorer() is called once per task and returns, for each
-    window, the sum of the negative log likelihoods of all its tokens but the first.
+    window, the sum of the negative log likelihoods of all its tokens but the first. A text is cut and scored in
+    one pass over its row: tokens are what white space parts, or an array of them by `tokens`.
     """
-    own = (tokens or (lambda c: F.filter(F.split(t.squeeze(c), " "), lambda w: w != "")))(F.col(text_col))
-    base = docs.select(id_col, F.size(own).alias("n_tokens"), t.windows(own, window).alias("w"))
-    rows = base.select(id_col, F.posexplode("w").alias("pos", "tokens"))
+    own = tokens(F.col(text_col)) if tokens else t.squeeze(F.col(text_col))
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer()
-        for frame in frames:
-            lists = [list(x) for x in frame["tokens"]]
-            yield pd.DataFrame({id_col: frame[id_col], "n": [len(x) - 1 for x in lists], "nll": model(lists) if lists else []})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.mapInPandas(run, f"`{id_col}` {kind}, n long, nll double")
-    summed = scored.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_pred_tokens"), F.sum("nll").alias("neg_log_likelihood"))
-    out = base.select(id_col, "n_tokens").join(summed, id_col, "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_windows", "n_pred_tokens")}
+        for batch in batches:
+            rows = [x if x is None or tokens else x.split(" ") if x else [] for x in batch.column("own").to_pylist()]
+            cut = [(i, r[k : k + window]) for i, r in enumerate(rows) if r for k in range(0, len(r), window) if len(r) - k >= 2]
+            count, predicted, sums = [0] * len(rows), [0] * len(rows), [None] * len(rows)
+            for k in range(0, len(cut), SCORED):
+                part = cut[k : k + SCORED]
+                for (i, w), x in zip(part, model([w for _, w in part]), strict=True):
+                    count[i] += 1
+                    predicted[i] += len(w) - 1
+                    sums[i] = (sums[i] or 0.0) + float(x)
+            columns = [pa.array([None if r is None else len(r) for r in rows], pa.int32()), pa.array(count, pa.int64()), pa.array(predicted, pa.int64()), pa.array(sums, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "n_tokens", "n_windows", "n_pred_tokens", "neg_log_likelihood"])
+
+    scored = docs.select(id_col, own.alias("own")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens int, n_windows long, n_pred_tokens long, neg_log_likelihood double")
     status = F.when(F.col("n_tokens") < 1, "empty").when(F.col("neg_log_likelihood").isNull(), "too_short").otherwise("ok")
-    return out.withColumns(zero).withColumns({"perplexity": F.exp(F.col("neg_log_likelihood") / F.nullif("n_pred_tokens", F.lit(0))), "status": status})
+    return scored.withColumns({"perplexity": F.exp(F.col("neg_log_likelihood") / F.nullif("n_pred_tokens", F.lit(0))), "status": status})

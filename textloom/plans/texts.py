@@ -200,7 +200,7 @@ def swap_corrector():
 
 @query("grammar_edits")
 def grammar_edits(spark, folder):
-    return round_all(grammar.grammar_features(table(spark, folder, "documents").select("doc_id", "text"), swap_corrector, max_sentences=50))
+    return round_all(grammar.grammar_features(table(spark, folder, "documents").select("doc_id", "text"), swap_corrector))
 
 
 def length_scorer():
