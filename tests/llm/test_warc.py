@@ -67,5 +67,46 @@ def test_empty_table_and_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(warc.page_record(1, "u", b"abc") + warc.page_record(2, "u", b"abc", 1))
     (tmp_path / "b.warc.gz").write_bytes(warc.page_record(3, "u", b"abc") + b"\x1f\x8b broken")
     rows = warc.read_files(spark, f"file://{tmp_path}").collect()
-    assert [r.payload_bytes for r in rows if r.error is None] == [3, None, 3] or len([r for r in rows if r.error is None]) == 3
-    assert len([r for r in rows if r.error]) == 1
+    name = lambda r: r.archive.rpartition("/")[2]
+    assert sorted((name(r), r.record_id, r.payload_bytes) for r in rows if r.error is None) == [("a.warc.gz", "<urn:x-page:1>", 3), ("a.warc.gz", "<urn:x-page:2>", None), ("b.warc.gz", "<urn:x-page:3>", 3)]
+    assert [name(r) for r in rows if r.error] == ["b.warc.gz"]
+
+
+def test_files_are_read_a_piece_at_a_time():
+    class Slow(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            assert 0 < n <= warc.READ_BYTES
+            Slow.most += n
+            return super().read(n)
+
+    page = bytes(range(256)) * 4000
+    source = Slow(b"".join(warc.page_record(i, "u", page + bytes([i])) for i in range(3)))
+    found = warc.read_records(source)
+    assert next(found).payload == page + b"\0"
+    early = Slow.most
+    assert [r.payload[-1] for r in found] == [1, 2] and Slow.most >= early
+
+
+def test_damage_fails_the_round_trip(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string, x int")
+    settle = warc.settle
+    for harm, why in (
+        ("concat(substring(content, 1, length(content) - 9))", "damaged"),
+        ("concat(content, x'00')", "damaged"),
+        ("x''", "records were read"),
+    ):
+        monkeypatch.setattr(warc, "settle", lambda d, tag, h=harm: settle(d.selectExpr("archive", f"{h} as content") if tag == "warc" else d, tag))
+        with pytest.raises(warc.BrokenArchive, match=why):
+            warc.round_trip(df)
+    monkeypatch.setattr(warc, "settle", lambda d, tag: settle(d.where("record_id <> '<urn:x-page:2>'") if tag == "warc-records" else d, tag))
+    monkeypatch.setattr(warc, "checked", lambda records, n: records)
+    with pytest.raises(Exception, match="refers to no response"):
+        warc.round_trip(df).collect()
+
+
+def test_many_repeated_payloads_by_shuffle(spark):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string, x int")
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(warc.mark_revisits(df)) == rows(warc.mark_revisits(df, broadcast_digests=0))

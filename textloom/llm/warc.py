@@ -1,14 +1,15 @@
 """WARC archives: a writer of gzip-per-record archives with revisits, and a sequential reader.
 
 Archives are rows (archive string, content binary), each a whole `.warc.gz` file of about ARCHIVE_BYTES, so that
-any store that Spark writes to can hold them; `read_files` reads real `.warc.gz` files through Spark's binary
-source with the same reader. The reader inflates a record's gzip member piece by piece, frames the block by its
+any store that Spark writes to can hold them; `read_files` streams real `.warc.gz` files of any size, in the tasks, through the same
+reader, which holds one record at a time. The reader inflates a record's gzip member piece by piece, frames the block by its
 Content-Length, checks that the member ends with the record, and verifies the block and payload digests.
 
 Records whose payloads are equal and have at least `min_revisit_bytes` bytes: the one with the largest page_id is
 a response, the others are revisits that refer to it and store no payload. A null html is an empty payload, a null url an
 empty target, a null page_id never a revisit. Rows that repeat a page_id and its payload are responses each if
-that id is the largest; every row has its record. An empty table has no archive and no rows.
+that id is the largest; every row has its record. An empty table has no archive and no rows; extra columns don't reach the result. A payload has to fit
+in an Arrow batch (2 GB) and in a task's memory. `round_trip` fails if a record is damaged, missing or refers to nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 ARCHIVE_BYTES = 4 << 20
+#: Digests of repeated payloads that are broadcast to the pages (about 60 bytes each); with more, a shuffle join brings them.
+BROADCAST_DIGESTS = 300_000
 READ_BYTES = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -129,14 +132,15 @@ def _check(what: str, stated: str | None, raw: bytes) -> None:
         raise BrokenArchive(f"the {what} digest differs")
 
 
-def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, html (no nulls), refers_to. Only the digests of payloads that repeat meet in one place, one row each."""
+def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+    """page_id, url, html (no nulls), refers_to. Digests and ids meet by hash, payloads stay where they are unless very many repeat."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    own = own.withColumn("__digest", F.sha1(F.encode("html", "UTF-8")))
+    own = own.withColumn("__digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     enough = F.octet_length("html") >= min_revisit_bytes
     heads = own.where(enough).groupBy("__digest").agg(F.max("page_id").alias("__head"), F.count(F.lit(1)).alias("__n"))
-    heads = heads.where("__n > 1 and __head is not null").select("__digest", "__head")
-    return own.join(heads, "__digest", "left").select("page_id", "url", "html", F.when(enough & (F.col("__head") != F.col("page_id")), F.col("__head")).alias("refers_to"))
+    heads = settle(heads.where("__n > 1 and __head is not null").select("__digest", "__head"), "repeated-payloads")
+    joined = own.join(F.broadcast(heads) if heads.count() <= broadcast_digests else heads, "__digest", "left")
+    return joined.select("page_id", "url", "html", F.when(enough & (F.col("__head") != F.col("page_id")), F.col("__head")).alias("refers_to"))
 
 
 def write(marked: DataFrame) -> DataFrame:
@@ -169,28 +173,33 @@ def write(marked: DataFrame) -> DataFrame:
 _RECORD_SCHEMA = "archive string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, error string"
 
 
+def _rows(name: str, source: BinaryIO, with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """The page records of one archive, and a row with an error where it is damaged."""
+    rows, size = [], 0
+    try:
+        for r in read_records(source):
+            if r.kind not in ("response", "revisit"):
+                continue
+            own = (r.headers.get("warc-payload-digest") or "").removeprefix("sha1:")
+            full = len(r.payload) if r.kind == "response" else None
+            rows.append((name, r.kind, r.headers.get("warc-record-id"), r.headers.get("warc-refers-to"), r.headers.get("warc-target-uri"), own, full, r.payload if with_payload and r.kind == "response" else None, None))
+            size += len(r.payload) if with_payload else 0
+            if size > 8 << 20 or len(rows) >= 5000:
+                yield _batch(rows)
+                rows, size = [], 0
+    except BrokenArchive as e:
+        rows.append((name, *[None] * 7, str(e)))
+    if rows:
+        yield _batch(rows)
+
+
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The page records of archives. A damaged archive gives its records up to the damage and a row with an error."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column("archive").to_pylist(), batch.column("content")):
-                rows, size = [], 0
-                try:
-                    for r in read_records(io.BytesIO(content.as_py() or b"")):
-                        if r.kind not in ("response", "revisit"):
-                            continue
-                        own = (r.headers.get("warc-payload-digest") or "").removeprefix("sha1:")
-                        full = len(r.payload) if r.kind == "response" else None
-                        rows.append((name, r.kind, r.headers.get("warc-record-id"), r.headers.get("warc-refers-to"), r.headers.get("warc-target-uri"), own, full, r.payload if with_payload and r.kind == "response" else None, None))
-                        size += len(r.payload) if with_payload else 0
-                        if size > 8 << 20 or len(rows) >= 5000:
-                            yield _batch(rows)
-                            rows, size = [], 0
-                except BrokenArchive as e:
-                    rows.append((name, *[None] * 7, str(e)))
-                if rows:
-                    yield _batch(rows)
+                yield from _rows(name, io.BytesIO(content.as_py() or b""), with_payload)
 
     return archives.mapInArrow(run, _RECORD_SCHEMA)
 
@@ -202,27 +211,59 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def read_files(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """Records of `.warc.gz` files below a path of any store that Spark reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.warc.gz").load(path)
-    return read(files.select(F.col("path").alias("archive"), "content"), with_payload)
+def open_stream(path: str) -> BinaryIO:
+    """A file of any store that pyarrow knows, as a stream of bytes."""
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_stream(inside, compression=None)
+
+
+def read_files(spark, path: str, with_payload: bool = True, open_file: Callable[[str], BinaryIO] = open_stream) -> DataFrame:
+    """Records of `.warc.gz` files below a path. Spark lists the files; the tasks that open them read each from its beginning, a piece at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.warc.gz").load(path).select("path")
+    dealt = files.repartition(max(1, min(files.count(), 10_000)), "path")
+
+    def run(batches):
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with open_file(name) as source:
+                    yield from _rows(name, source, with_payload)
+
+    return dealt.mapInArrow(run, _RECORD_SCHEMA)
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit takes its length from the response it names, which must have its digest."""
+def resolve(records: DataFrame, strict: bool = False) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records without an error.
+
+    A revisit takes its length from the response it names, which must have its digest; strict: it is an error if there is none.
+    """
     number = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1)
     as_long = lambda c: F.when(number(c) != "", number(c).cast("long"))
     rows = records.where("error is null").select(as_long("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_long("refers_to").alias("refers_to"))
+    asked = rows.where("record_type = 'revisit'")
     whole = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("__bytes")).where("refers_to is not null").dropDuplicates(["refers_to", "payload_digest"])
-    found = rows.where("record_type = 'revisit'").join(whole, ["refers_to", "payload_digest"], "left")
+    found = asked.join(whole, ["refers_to", "payload_digest"], "left")
+    length = F.coalesce("__bytes", F.raise_error(F.lit("a revisit refers to no response with its digest")).cast("long")) if strict else F.col("__bytes")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return rows.where("record_type = 'response'").select(*names).unionByName(found.withColumn("payload_bytes", F.col("__bytes")).select(*names))
+    return rows.where("record_type = 'response'").select(*names).unionByName(found.withColumn("payload_bytes", length).select(*names))
+
+
+def checked(records: DataFrame, expected: int) -> DataFrame:
+    """The records, if none is damaged and there are as many as expected."""
+    n, bad, why = records.agg(F.count_if(F.col("error").isNull()), F.count("error"), F.min("error")).first()
+    if bad:
+        raise BrokenArchive(f"{bad} archives are damaged: {why}")
+    if n != expected:
+        raise BrokenArchive(f"{n} records were read where {expected} were written")
+    return records
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes the pages as archives into the shared folder, reads these back and resolves the revisits."""
+    """Writes the pages as archives into the shared folder, reads these back, checks that all are there and whole, and resolves the revisits."""
     archives = settle(write(mark_revisits(pages, min_revisit_bytes)), "warc")
-    return resolve(settle(read(archives, with_payload=False).drop("payload", "target_uri", "archive"), "warc-records"))
+    records = settle(read(archives, with_payload=False).drop("payload", "target_uri", "archive"), "warc-records")
+    return resolve(checked(records, pages.count()), strict=True)
 
 
 def oracle_sql() -> str:
