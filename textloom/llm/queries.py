@@ -59,7 +59,7 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return transport_stream.digests(docs).drop("text")
+    return transport_stream.digests(docs)
 
 
 QUERIES = {

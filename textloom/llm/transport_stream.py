@@ -1,15 +1,18 @@
-"""MPEG transport streams as a media column: multiplex a payload, read it back, compute features.
+"""MPEG transport streams as a media column: multiplex a payload, store it, read it back, compute features.
 
 `multiplex` lays a payload out as PES packets (ISO/IEC 13818-1) on one elementary PID behind a PAT and a PMT;
 the first transport packet of every PES packet carries the payload-unit-start flag, a random-access indicator
 and a PCR, and the PES header carries a PTS. `demultiplex` trusts nothing: it checks the sync bytes, the CRCs of the tables, finds
-the program's PID through PAT and PMT, checks the continuity counters, reassembles the PES packets by their
-lengths and returns the payload with all timestamps and random-access points.
+the program's PID through PAT and PMT, checks the continuity counters (where a packet doesn't announce a discontinuity), reassembles the PES packets by their
+lengths, or up to the next one where the length is 0, and returns the payload with all timestamps and random-access points.
+
+`digests` writes the streams as a binary column into the shared folder, reads that table and computes everything from what it read; a
+damaged stream, or one whose counters don't follow, fails the job.
 
 A null text is the empty text. Every payload is a positive multiple of 64 bytes, so an empty text has one PES
 packet of 64 zero bytes. A payload of any length is cut into PES packets of at most PES_BYTES, whose memory is
-all that grows besides the payload itself. Repeated rows give repeated results; other columns are kept, and of
-clashing names the operator's column wins.
+all that grows besides the payload itself; a stream has to fit in an Arrow batch (2 GB). Repeated rows give repeated results, an
+empty table an empty one; other columns are kept, but for the text in `digests`, and of clashing names the operator's column wins.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import text_slices
+from .common import settle, text_slices
 
 PACKET = 188
 PMT_PID, MEDIA_PID = 0x0100, 0x0101
@@ -173,7 +177,8 @@ def demultiplex(media: bytes) -> Stream:
         raise BrokenStream("the stream doesn't begin with a PES packet")
     has = (control & 1) == 1
     counter = own[has, 3] & 15
-    discontinuities = int((np.diff(counter.astype(np.int16)) % 16 != 1).sum())
+    announced = ((control & 2 != 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 != 0))[has]
+    discontinuities = int(((np.diff(counter.astype(np.int16)) % 16 != 1) & ~announced[1:]).sum())
     skip = np.where(control & 2, own[:, 4].astype(np.int32) + 1, 0)
     flagged = (control & 2 != 0) & (own[:, 4] > 0) & (own[:, 5] & 0x40 != 0)
     live = np.arange(PACKET) >= (4 + skip)[:, None]
@@ -186,7 +191,7 @@ def demultiplex(media: bytes) -> Stream:
     payload, stamps = [], []
     for a, b in zip(bounds[:-1], bounds[1:]):
         prefix, size, _, flags, extra = struct.unpack_from(">IHBBB", data, a)
-        if prefix >> 8 != 1 or b - a != size + 6:
+        if prefix >> 8 != 1 or size and b - a != size + 6:
             raise BrokenStream("a PES packet has a wrong start or length")
         if flags & 0x80:
             x, y, z = struct.unpack_from(">BHH", data, a + 9)
@@ -195,7 +200,7 @@ def demultiplex(media: bytes) -> Stream:
     return Stream(b"".join(payload), stamps, where[flagged].tolist(), len(p), stream_type, discontinuities)
 
 
-def feature(stream: Stream, unpadded: int) -> str:
+def feature(stream: Stream) -> str:
     """Type, packets, PES packets, first and last PTS, random-access points, discontinuities, mean and entropy of the samples."""
     counts = np.bincount(np.frombuffer(stream.payload, np.uint8), minlength=256)
     share = counts[counts > 0] / len(stream.payload)
@@ -204,19 +209,19 @@ def feature(stream: Stream, unpadded: int) -> str:
     return (
         f"type={stream.stream_type};packets={stream.packets};pes={len(stream.pts)};pts={stream.pts[0]}-{stream.pts[-1]};"
         f"random_access={len(stream.random_access)}@{stream.random_access[0]}-{stream.random_access[-1]};"
-        f"discontinuities={stream.discontinuities};unpadded={unpadded};mean={mean:.4f};entropy={abs(entropy):.4f}"
+        f"discontinuities={stream.discontinuities};mean={mean:.4f};entropy={abs(entropy):.4f}"
     )
 
 
-def _map(df: DataFrame, drop: str, added: str, rows) -> DataFrame:
+def _map(df: DataFrame, source: str, added: str, rows, keep: bool = True) -> DataFrame:
     new = _parse_datatype_string(added)
     names = {f.name.lower() for f in new}
-    kept = [f.name for f in df.schema if f.name.lower() not in names]
+    kept = [f.name for f in df.schema if f.name.lower() not in names and (keep or f.name != source)]
     schema = StructType([df.schema[c] for c in kept] + list(new))
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in text_slices(batch, drop, 4 << 20):
+            for part, data, offsets in text_slices(batch, source, 4 << 20):
                 raw = data.tobytes()
                 out = [rows(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 cols = [pa.array(list(c), t) for c, t in zip(zip(*out), types)]
@@ -247,21 +252,25 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Multiplexes each text, reads the stored bytes back and adds digests and features of what was read."""
+    """Stores the stream of each text, reads it back and adds digests and features of what was read. A damaged stream is an error."""
+    stored = settle(add_media(docs, text_col, "__media").drop(text_col), "media")
 
-    def rows(raw):
-        media = multiplex(pad(raw))
+    def rows(media):
         s = demultiplex(media)
+        if s.discontinuities:
+            raise BrokenStream(f"{s.discontinuities} packets are missing or out of order")
         got = s.payload
         return (
-            len(raw),
             len(got),
             hashlib.sha256(got).hexdigest(),
             zlib.crc32(got[-UNIT:]),
             len(media),
             hashlib.sha256(media).hexdigest(),
-            feature(s, len(raw)),
+            feature(s),
         )
 
-    added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _map(docs, text_col, added, rows)
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    read = _map(stored, "__media", added, rows, keep=False)
+    back = [F.col(f"`{c}`") for c in read.columns if c not in ("n_bytes", *[x.split()[0] for x in added.split(", ")])]
+    first, *rest = (x.split()[0] for x in added.split(", "))
+    return read.select(*back, "n_bytes", first, *rest[:-1], F.concat("feature", F.lit(";unpadded="), F.col("n_bytes").cast("string")).alias("feature"))
