@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding on length-bucketed padded numpy matrices.
 
 The ranks of a tiktoken file define the merges. Texts are cut by the public pattern; every distinct piece is
-encoded once per worker (a bounded cache keeps the ids). Pieces of like length form one padded matrix; in every
+encoded once per worker (a cache bounded by its pieces and ids keeps them). Pieces of like length form one padded matrix; in every
 round each row looks its adjacent pairs up in a hashed pair table, merges its leftmost pair of least rank and is
-compacted by one column; rows without a pair left leave the matrix. Pieces longer than MATRIX_BYTES go through a
-heap with the same order of merges, so that one piece of a million bytes takes n log n steps.
+compacted by one column; rows without a pair left leave the matrix. A piece longer than MATRIX_BYTES is a matrix of one row,
+which merges all places of its least pair in one round, leftmost first, unless one of these merges makes a pair of
+lower rank: then the leftmost alone. So its rounds are at most as many as the ranks that it uses, and the ids are those of one merge at a time.
 
-Nulls in the text column count as empty texts: no ids. Repeated rows give repeated results; other columns are
+Nulls in the text column count as empty texts: no ids. Null ids of rows, repeated rows and an empty table give the like in the result; a
+text of any length is cut whole, in one Python step. Other columns are
 kept as they are, and of clashing names (n_tokens, ids, decoded ...) the operator's column wins.
 """
 
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 
 from .common import text_slices
 
-#: Longest piece that is encoded in a padded matrix.
+#: Longest piece that shares a padded matrix with others.
 MATRIX_BYTES = 128
-#: Distinct pieces whose ids a worker keeps.
-CACHE_PIECES = 60_000
+#: Distinct pieces whose ids a worker keeps, and ids of all of them.
+CACHE_PIECES, CACHE_IDS = 60_000, 1_000_000
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -52,7 +53,6 @@ class Codec:
                     right.append(b)
                     made.append(rank)
         self._build(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int32))
-        self.merged = None
         self.forget()
 
     def forget(self) -> None:
@@ -128,31 +128,32 @@ class Codec:
             lens = lens - 1
         return out  # type: ignore[return-value]
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """Ids of one long piece: a heap of (rank, place) over a linked list."""
-        if self.merged is None:
-            full = self.keys != -1
-            self.merged = dict(zip(self.keys[full].tolist(), self.values[full].tolist()))
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merged = self.merged
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := merged.get((ids[i] << 32) | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue  # one side has merged since
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for p in (before[i], i):
-                q = after[p] if p >= 0 else n
-                if q < n and (r := merged.get((ids[p] << 32) | ids[q])) is not None:
-                    heapq.heappush(heap, (r, p, ids[p], ids[q]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def _row(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece: a matrix of one row that merges all places of its least pair at once where that is safe."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == least)
+            if len(at) > 1:
+                begins = np.concatenate([[True], np.diff(at) > 1])
+                first = np.maximum.accumulate(np.where(begins, at, 0))
+                at = at[(at - first) % 2 == 0]  # of places that overlap every other one, from the left
+            if len(at) > 1:
+                before, after = ids[at[at > 0] - 1], ids[at[at + 2 < len(ids)] + 2]
+                made = lambda x: np.full(len(x), least, np.int32)
+                lowest = min(self.pair_ranks(before, made(before)).min(initial=_NONE), self.pair_ranks(made(after), after).min(initial=_NONE))
+                if (np.diff(at) == 2).any():
+                    lowest = min(lowest, self.pair_ranks(made([0]), made([0]))[0])
+                if lowest < least:
+                    at = at[:1]
+            ids[at] = least
+            ids = np.delete(ids, at + 1)
+            ranks = np.delete(ranks, at)
+            near = at - np.arange(len(at))
+            near = np.unique(np.concatenate([near - 1, near]))
+            near = near[(near >= 0) & (near < len(ranks))]
+            ranks[near] = self.pair_ranks(ids[near], ids[near + 1])
+        return ids
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
@@ -160,7 +161,7 @@ class Codec:
         for i, p in enumerate(pieces):
             n = len(p)
             if n > MATRIX_BYTES:
-                out[i] = self._heap(p)
+                out[i] = self._row(p)
             else:
                 buckets.setdefault(n if n <= 16 else 16 + -(-(n - 16) // 8) * 8, []).append(i)
         for width, where in buckets.items():
@@ -173,7 +174,7 @@ class Codec:
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end to end, and the offsets of the texts in them."""
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > CACHE_PIECES or len(self.ids) > CACHE_IDS:
             self.forget()
         cut = [self.find(t) for t in texts]
         cache = self.cache
