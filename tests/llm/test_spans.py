@@ -88,3 +88,11 @@ def test_oracle(spark, tmp_path):
     want = con.execute(f"select doc_id, text, n_sentences, n_removed from ({s.oracle_sql()})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in s.remove_repeats(df).collect())
     assert sum(r[3] > 0 for r in want) >= 5
+
+
+def test_bounds_are_parameters(spark):
+    lone = "word " * 30 + "end. "
+    rows = [(1, "A b. " + lone + "C d."), (2, "E f. " + lone + "G h."), (3, "I j k. L m n. O p."), (4, "Q r. I j k. L m n. S t.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = lambda **bounds: {r.doc_id: r.n_removed for r in s.remove_repeats(df, **bounds).collect() if r.n_removed}
+    assert removed() == {2: 1} and removed(lone_words=s.NEVER) == {} and removed(lone_words=s.NEVER, min_words=6) == {4: 2}

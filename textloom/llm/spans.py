@@ -2,7 +2,7 @@
 
 A sentence ends with a word that ends in . ! or ?, or at the end of a line. From each sentence runs the shortest
 span of at least MIN_SENTENCES sentences and MIN_WORDS words (a first sentence of LONE_WORDS words is a span by
-itself, so that passages of one or two long sentences are found too); all spans of all documents meet by hash, and of
+itself, so that passages of one or two long sentences are found too; lone_words = NEVER leaves runs of several sentences alone); all spans of all documents meet by hash, and of
 each repeated span every occurrence but the first, in the order of (doc_id, sentence), has its sentences
 removed. Spans slide by one sentence, so a passage is found whatever stands around it, and two documents that
 share one ordinary sentence keep it. Where a text repeats itself without a gap, spans overlap the first one and its
@@ -28,6 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import mix, rows_of, settle, text_slices, words
 
 MIN_SENTENCES, MIN_WORDS, LONE_WORDS = 2, 16, 24
+NEVER = 1 << 62
 #: Spans to remove that are broadcast to the documents (about 24 bytes each); with more, a shuffle join brings them.
 BROADCAST_SPANS = 500_000
 
@@ -54,7 +55,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return row[first], starts[first], size, mix(np.add.reduceat(each, first) + size.astype(np.uint64))
 
 
-def spans(row: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(row: np.ndarray, size: np.ndarray, hashes: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, number of sentences and hash of each span."""
     n = len(row)
     total, count, out = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
@@ -70,21 +71,21 @@ def spans(row: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.nda
         count[live] += 1
         out[live] += mix(hashes[at] + _U(step * 0xA24BAED4963EE407 % (1 << 64)))
         step += 1
-        whole = (count[live] >= MIN_SENTENCES) & (total[live] >= MIN_WORDS) | (total[live] >= LONE_WORDS)
+        whole = (count[live] >= min_sentences) & (total[live] >= min_words) | (total[live] >= lone_words)
         done.append(live[whole])
         live = live[~whole]
     first = np.concatenate(done) if done else np.zeros(0, np.int64)
     return first, count[first], mix(out[first] + count[first].astype(np.uint64))
 
 
-def all_spans(docs: DataFrame) -> DataFrame:
+def all_spans(docs: DataFrame, **bounds: int) -> DataFrame:
     """span (hash), doc_id, at (place of the first sentence), n (sentences)."""
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 row, _, size, hashes = sentences(data, offsets)
-                first, count, h = spans(row, size, hashes)
+                first, count, h = spans(row, size, hashes, **bounds)
                 head = np.searchsorted(row, row)
                 ids = part.column("doc_id").take(pa.array(row[first]))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((first - head[first]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["span", "doc_id", "at", "n"])
@@ -93,20 +94,20 @@ def all_spans(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "span long, doc_id long, at int, n int")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, cuts: the non-first repeated spans of each document, as an array of (at, n)."""
-    found = settle(all_spans(docs), "spans")
+    found = settle(all_spans(docs, **bounds), "spans")
     seen = found.groupBy("span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "at")).alias("first")).where("c > 1")
     seen = settle(seen.select("span", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")), "repeated")
     later = found.join(seen, "span").where("doc_id <> first_doc or at <> first_at")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("cuts"))  # at most one for each sentence
 
 
-def remove_repeats(docs: DataFrame, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
-    """docs with the text without repeated spans, and n_sentences, n_removed."""
+def remove_repeats(docs: DataFrame, broadcast_spans: int = BROADCAST_SPANS, **bounds: int) -> DataFrame:
+    """docs with the text without repeated spans, and n_sentences, n_removed. bounds: min_sentences, min_words, lone_words."""
     kept = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "cuts")]
     own = docs.select(*[f"`{c}`" for c in kept])
-    cuts = settle(repeats(own), "cuts")
+    cuts = settle(repeats(own, **bounds), "cuts")
     small = (cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= broadcast_spans
     joined = own.join((F.broadcast(cuts) if small else cuts).withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
 
