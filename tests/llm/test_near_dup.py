@@ -116,3 +116,36 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: c for x, c in up.items() if x in got} and all(x == c for x, c in up.items() if x not in got)
+
+
+def test_matches_follow_from_the_similarity():
+    from math import comb
+
+    from textloom.llm import near_dup as n
+
+    miss = lambda m, p: sum(comb(n.COORDINATES, k) * p**k * (1 - p) ** (n.COORDINATES - k) for k in range(m))
+    for percent in (30, 50, 80, 95, 100):
+        m = n.matches_for(percent)
+        assert miss(m, percent / 100) <= n.MISS < (miss(m + 1, percent / 100) if m < n.COORDINATES else 1)
+    assert n.matches_for(80) == 22
+    with pytest.raises(ValueError):
+        n.matches_for(10)
+
+
+def test_pairs_of_half_similarity(spark):
+    r = random.Random(8)
+    rows = []
+    for g in range(40):
+        w = [f"g{g}w{k}" for k in range(90)]
+        rows += [(2 * g, " ".join(w[:60])), (2 * g + 1, " ".join(w[r.randrange(16, 21) :][: 62]))]
+    got = {x.doc_id: x.component_id for x in near_dup_of(spark, rows, 50)}
+    for g in range(40):
+        a, b = (set(zip(*[t.split()[k:] for k in range(4)])) for _, t in rows[2 * g : 2 * g + 2])
+        assert (got[2 * g] == got[2 * g + 1]) == (100 * len(a & b) >= 50 * len(a | b))
+    assert 0 < sum(got[2 * g] == got[2 * g + 1] for g in range(40)) < 40
+
+
+def near_dup_of(spark, rows, percent):
+    from textloom.llm import near_dup as n
+
+    return n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=percent).collect()

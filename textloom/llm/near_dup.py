@@ -3,26 +3,30 @@
 1. One pass makes each text's set of word shingles, a 16-byte name of that set and a signature of COORDINATES
    minima. Texts of equal sets form a class; the smallest doc_id stands for it. Copies go no further.
 2. Classes are posted under each (coordinate, value). Values that a single class holds can't collide. Of its
-   m shared values a class keeps the m - MATCHES + 1 rarest as its prefix (ties by key): two classes that agree in MATCHES
+   m shared values a class keeps the m - matches + 1 rarest as its prefix (ties by key): two classes that agree in `matches`
    coordinates have a prefix value in common. Frequent values, such as those of common passages, are skipped.
 3. Each posting list is worked off in rounds. Its pivot is compared with the others: collisions are counted on
-   the whole signatures, pairs with at least MATCHES are confirmed on the full sets, and links are joined to
+   the whole signatures, pairs with at least `matches` are confirmed on the full sets, and links are joined to
    components. A list whose other classes are in one component is done. This gives one pair per posting, never all pairs of a group.
 4. For lists that are left, shingles that only one of their classes has bound every overlap from above, which
    drops most of what can't link; pivots are then the classes with the most shared mass. After LATER_ROUNDS such
    rounds all pairs of different components that the bounds allow, now with bitmaps of the other shingles, are
    compared, so no link is lost to pivots.
 
-The chance that a pair of similarity 0.8 agrees in fewer than MATCHES = 22 of 48 coordinates is about 3e-8; every
+`matches` follows from the similarity asked for: the most for which a pair of just that similarity agrees in fewer of the
+COORDINATES coordinates with a chance of at most MISS (22 of 48 at 0.8, where that chance is 3.4e-8); similarities
+that not even one match would serve are refused. Every
 reported link has been confirmed on whole sets of 64-bit shingle hashes. There is no cap on partners.
 
 Nodes are doc_ids: rows that repeat a doc_id share its component. Null and word-less texts have an empty set and
 link with nothing; rows with a null doc_id take no part, keep a null component and are kept. An empty table
-gives an empty result; of clashing column names the operator's wins.
+gives an empty result; of clashing column names the operator's wins. A text of any length is one row in one Python step.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,14 +36,27 @@ from .common import release, settle, text_slices
 from .components import components
 from .shingles import overlap, set_digest, shingle_sets, signatures
 
-COORDINATES, MATCHES = 48, 22
+COORDINATES = 48
+MISS = 1e-7
 LATER_ROUNDS = 2
 #: Longs in a bitmap of shared shingles; a power of two.
 WORDS_64 = 16
-#: Pairs (24 bytes each) that are broadcast to fetch texts again; with more, a shuffle join does it.
-BROADCAST_PAIRS = 500_000
+#: Bytes of ids and pairs that are broadcast to fetch texts again; with more, a shuffle join does it.
+BROADCAST_BYTES = 8 << 20
 #: Classes that meet one copy of a pivot's set.
-PIVOT_SPLIT = 250
+PIVOT_SPLIT = 64
+
+
+def matches_for(percent: int) -> int:
+    """The coordinates in which a pair of that similarity agrees but for a chance of MISS."""
+    p, below = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if below > MISS:
+            if not k:
+                raise ValueError(f"{COORDINATES} coordinates can't find similarities of {percent} %")
+            return k
+    return COORDINATES
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
@@ -58,19 +75,19 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, signature array<int>")
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
+def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     """key, node: the postings of each class in its prefix. classes: node, signature."""
     posted = classes.select("node", F.posexplode("signature").alias("c", "v"))
     posted = posted.select("node", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     shared = settle(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     own = posted.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))  # COORDINATES at most
-    kept = own.where(F.size("own") >= MATCHES).select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))).alias("p"))
+    kept = own.where(F.size("own") >= matches).select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - (matches - 1))).alias("p"))
     return kept.select(F.col("p.key").alias("key"), "node")
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """docs joined with nodes(node, ...) on doc_id = node."""
-    few = count <= BROADCAST_PAIRS
+def _texts_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """docs joined with nodes(node, ...) of about `size` bytes on doc_id = node."""
+    few = size <= BROADCAST_BYTES
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     return own.join(F.broadcast(nodes) if few else nodes, "node")
 
@@ -129,8 +146,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
         release()
 
-    asked_for = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
-    sent = _texts_of(docs, asked, asked_for).select("node", "text", "asked").mapInArrow(sets, "pivot long, salt int, role int, node long, shingles binary")
+    rows, asked_for = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()
+    sent = _texts_of(docs, asked, 64 * rows + 48 * asked_for).select("node", "text", "asked").mapInArrow(sets, "pivot long, salt int, role int, node long, shingles binary")
     dealt = sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -151,7 +168,7 @@ def masses(docs: DataFrame, units: DataFrame, width: int) -> DataFrame:
                 kept = np.repeat(own, np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(owner[kept]), pa.array(values.view(np.int64)[kept])], names=["unit", "shingle"])
 
-    own = _texts_of(docs, units, units.count()).select("unit", "class", "text").mapInArrow(run, "unit long, shingle long")
+    own = _texts_of(docs, units, 80 * units.count()).select("unit", "class", "text").mapInArrow(run, "unit long, shingle long")
     own = settle(own.dropDuplicates(["unit", "shingle"]), "shingles")
     shared = settle(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle"), "shared-shingles")
     bit = F.shiftrightunsigned("shingle", 64 - 6 - WORDS_64.bit_length() + 1)
@@ -181,6 +198,7 @@ class _Work:
 
     def __init__(self, docs, classes, width, percent):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+        self.matches = matches_for(percent)
         self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
 
@@ -190,7 +208,7 @@ class _Work:
         both = pairs.distinct().join(side("node"), "node").join(side("pivot"), "pivot")
         both = both.where(100 * F.least("n_node", "n_pivot") >= self.percent * F.greatest("n_node", "n_pivot"))
         hits = F.aggregate(F.zip_with("s_node", "s_pivot", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        return settle(both.where(hits >= MATCHES).select("pivot", "node"), "pairs")
+        return settle(both.where(hits >= self.matches).select("pivot", "node"), "pairs")
 
     def link(self, pairs: DataFrame) -> None:
         found = settle(confirm(self.docs, self.retain(pairs), self.width, self.percent), "links")
@@ -207,7 +225,7 @@ class _Work:
 def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between classes that have the components of all links. classes: node, n_shingles, signature, class."""
     work = _Work(docs, classes, width, percent)
-    lists = settle(prefix_postings(classes), "prefix")
+    lists = settle(prefix_postings(classes, work.matches), "prefix")
     pivots = settle(lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), F.col("node").alias("p"))).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("p.p").alias("pivot")), "pivots")
     starred = lists.join(pivots, "key").where("node <> pivot")
     work.link(starred.select("pivot", "node"))
