@@ -71,6 +71,12 @@ def classify(df: DataFrame, text_col: str = "text", cfg: CleanConfig = CleanConf
     return out.withColumn("removal_reason", reason).drop("__words")
 
 
+def passed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: CleanConfig = CleanConfig()) -> DataFrame:
+    """id_col and clean_text of the rows that break no rule. The classified rows are written first: a filter on the reason would be pushed below the chain of cleaning expressions and repeat it for each use."""
+    rows = classify(df, text_col, cfg).select(id_col, "clean_text", "removal_reason")
+    return settle(rows, "classified").where("removal_reason = ''").drop("removal_reason")
+
+
 def exact_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "doc_id") -> DataFrame:
     """Ids of texts whose normal form a row with a smaller id has. Forms are counted before they meet; a form in most rows is never gathered."""
     own = settle(df.select(id_col, F.md5(t.duplicate_form(F.col(text_col))).alias("form")), "forms")

@@ -33,6 +33,30 @@ def with_running_sum(df: DataFrame, value: str, order: list[str], keys: list[str
     return joined.withColumn(name, F.col("__before") + F.col("__within")).select(*df.columns, name)
 
 
+def quantiles(values: DataFrame, value: str, probs: list[float], keys: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """keys, q0, q1 ... (or names): the exact quantiles of each group, with linear interpolation between neighbours.
+
+    Equal values are counted first and placed by running sums over ranges of the values, so no task holds a whole
+    feature; missing values don't count.
+    """
+    keys = keys or []
+    counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__count"))
+    ranked = with_running_sum(counted, "__count", [value], keys, "__below")
+    ends = F.col("__below") + F.col("__count")
+    sizes = ranked.groupBy(*[F.col(k).alias(f"__of{i}") for i, k in enumerate(keys)]).agg(F.max(ends).alias("__n"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__of{i}")) for i, k in enumerate(keys)), F.lit(True))
+    placed = ranked.join(F.broadcast(sizes), same) if not keys else ranked.join(sizes, same)
+    found = []
+    for i, p in enumerate(probs):
+        at = (F.col("__n") - 1) * F.lit(float(p))
+        here = lambda k: F.max(F.when((F.col("__below") <= k) & (k < ends), F.col(value).cast("double")))
+        found += [here(F.floor(at)).alias(f"low{i}"), here(F.ceil(at)).alias(f"high{i}")]
+    rows = placed.groupBy(*keys, "__n").agg(*found)
+    share = lambda i, p: (F.col("__n") - 1) * F.lit(float(p)) - F.floor((F.col("__n") - 1) * F.lit(float(p)))
+    mid = lambda i, p: F.when(F.col(f"low{i}") == F.col(f"high{i}"), F.col(f"low{i}")).otherwise(F.col(f"low{i}") * (1 - share(i, p)) + F.col(f"high{i}") * share(i, p))
+    return rows.select(*keys, *[mid(i, p).alias(names[i] if names else f"q{i}") for i, p in enumerate(probs)])
+
+
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Adds the place of each row, from 0, in a total order."""
     return with_running_sum(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, name=name).drop("__one")

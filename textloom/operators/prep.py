@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from .ordering import quantiles
 
 CITATION_EDGES = [-0.1, 0, 4, 12, 30, float("inf")]
 CITATION_LABELS = ["0", "1-4", "5-12", "13-30", "31+"]
@@ -63,9 +64,12 @@ def publication_flags(c: Column) -> dict[str, Column]:
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians in one pass; columns without values are left out."""
-    got = df.agg(*[F.median(s.finite(F.col(c))).alias(c) for c in columns]).first().asDict() if columns else {}
-    return {c: v for c, v in got.items() if v is not None}
+    """Exact medians; columns without values are left out. One row for each column reaches the driver."""
+    if not columns:
+        return {}
+    rows = df.select(*[s.finite(F.col(c)).alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    got = {r["feature"]: r["q0"] for r in quantiles(rows, "value", [0.5], ["feature"]).collect()}
+    return {c: got[c] for c in columns if c in got}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

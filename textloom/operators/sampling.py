@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from .ordering import with_position
+from .ordering import quantiles, with_position, with_running_sum
 
 # Research fields of the pool.
 FIELDS = ["Physics", "Computer Science", "Mathematics", "Engineering", "Materials Science", "Medicine", "Environmental Science", "Chemistry", "Economics", "Biology"]
@@ -17,16 +17,17 @@ FIELDS = ["Physics", "Computer Science", "Mathematics", "Engineering", "Material
 
 def iqr_cap(df: DataFrame, col: str, factor: float = 3.0) -> float:
     """max(Q3 + factor * IQR, p95) of the positive values; Q3 if the IQR is 0."""
-    q1, q3, p95 = df.where(F.col(col) > 0).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.95)))).first()[0] or (None, None, None)
-    if q1 is None:
+    found = quantiles(df.select(col).where(F.col(col) > 0), col, [0.25, 0.75, 0.95]).first()
+    if found is None:
         raise ValueError(f"{col} has no positive values")
+    q1, q3, p95 = found
     return float(q3) if q3 == q1 else float(max(q3 + factor * (q3 - q1), p95))
 
 
 def quantile_edges(df: DataFrame, col: str, n: int) -> list[float]:
     """Distinct rounded quantiles at 0, 1/n ... 1; round half to even."""
-    probs = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    got = df.agg(F.transform(F.percentile(col, probs), lambda x: F.bround(x))).first()[0]
+    found = quantiles(df.select(col), col, [i / n for i in range(n + 1)])
+    got = found.select(*[F.bround(c).alias(c) for c in found.columns]).first()
     return sorted(set(got)) if got else []
 
 
@@ -39,8 +40,8 @@ def plain_bins(df: DataFrame, col: str, n: int) -> Column:
 
 def zero_bins(df: DataFrame, col: str, points: int) -> Column:
     """Labels 0, a-b ..., last a+: zero alone, then quantile bins of the positive values."""
-    probs = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    got = df.where(F.col(col) > 0).agg(F.transform(F.percentile(col, probs), lambda x: F.bround(x))).first()[0]
+    found = quantiles(df.select(col).where(F.col(col) > 0), col, [i / (points - 1) for i in range(points)])
+    got = found.select(*[F.bround(c).alias(c) for c in found.columns]).first()
     edges = [-0.1, 0.0, *sorted(set(got or []))[1:]]
     labels = ["0"]
     for k in range(1, len(edges) - 1):
@@ -76,14 +77,31 @@ def seeded(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
+def _cuts(df: DataFrame, keys: list[str], id_col: str, seed: int, plan: DataFrame, counts: list[str]) -> DataFrame:
+    """keys, cut0, cut1 ...: the place in the random order, (hash, id), at which each group has had so many rows as plan's columns say, NULL for none.
+
+    Only keys, hashes and ids are put in order, by ranges, so a group in most rows is never one task's; the rows
+    themselves stay where they are.
+    """
+    own = df.select(*keys, seeded(id_col, seed).alias("__h"), F.col(id_col).alias("__id"), F.lit(1).cast("long").alias("__one"))
+    placed = with_running_sum(own, "__one", ["__h", "__id"], keys, "__before").join(plan, keys)
+    at = [F.max(F.when(F.col("__before") + 1 == F.col(c), F.struct("__h", "__id"))).alias(f"cut{i}") for i, c in enumerate(counts)]
+    hit = " or ".join(f"__before + 1 = {c}" for c in counts)
+    return placed.where(hit).groupBy(*keys).agg(*at)
+
+
+def _place(id_col: str, seed: int) -> Column:
+    return F.struct(seeded(id_col, seed).alias("__h"), F.col(id_col).alias("__id"))
+
+
 def stratified_sample(df: DataFrame, stratum_cols: list[str], total: int, id_col: str, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """Exactly `total` rows (for each value of `by`), allocated to the strata in proportion."""
-    by = by or []
+    """Exactly `total` rows (for each value of `by`), allocated to the strata in proportion. Rows that repeat an id are in or out together."""
+    keys = [*(by or []), "stratum"]
     keyed = df.withColumn("stratum", stratum(*[F.col(c).cast("string") for c in stratum_cols]))
-    counts = keyed.groupBy(*by, "stratum").agg(F.count(F.lit(1)).alias("capacity"))
-    plan = allocate(counts, total, by).select(*by, "stratum", "allocated")
-    place = F.row_number().over(Window.partitionBy(*by, "stratum").orderBy(seeded(id_col, seed), id_col))
-    return keyed.withColumn("__n", place).join(plan, [*by, "stratum"]).where("__n <= allocated").drop("__n", "allocated")
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("capacity"))
+    plan = allocate(counts, total, by or []).select(*keys, "allocated")
+    cuts = _cuts(keyed, keys, id_col, seed, plan, ["allocated"])
+    return keyed.join(cuts, keys).where(_place(id_col, seed) <= F.col("cut0")).select(*[F.col(f"`{c}`") for c in keys], *[F.col(f"`{c}`") for c in df.columns if c not in keys])
 
 
 def balanced_sample(df: DataFrame, class_col: str, per_class: int, stratum_cols: list[str], id_col: str, seed: int = 42) -> DataFrame:
@@ -93,17 +111,22 @@ def balanced_sample(df: DataFrame, class_col: str, per_class: int, stratum_cols:
 
 
 def split(df: DataFrame, stratum_col: str, id_col: str, seed: int = 42, test: float = 0.2, val: float = 0.25) -> DataFrame:
-    """Adds `split`: ceil(test * n) test rows, ceil(val * rest) of the others for validation, stratified by largest remainders."""
-    w = Window.partitionBy(stratum_col).orderBy(seeded(id_col, seed), id_col)
-    counts = df.groupBy(F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")).agg(F.count(F.lit(1)).alias("capacity"))
+    """Adds `split`: ceil(test * n) test rows, ceil(val * rest) of the others for validation, stratified by largest remainders.
+
+    Rows that repeat an id stay together.
+    """
+    keyed = df.withColumn("stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
+    counts = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("capacity"))
     n = df.count()
     n_test = -(-n * round(test * 1000) // 1000)
     n_val = -(-(n - n_test) * round(val * 1000) // 1000)
     plan = allocate(counts, n_test).withColumnRenamed("allocated", "n_test").withColumn("capacity", F.col("capacity") - F.col("n_test"))
-    plan = allocate(plan, n_val).withColumnRenamed("allocated", "n_val").select(F.col("stratum").alias("__s"), "n_test", "n_val")
-    placed = df.withColumn("__n", F.row_number().over(w)).withColumn("__s", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
-    part = F.when(F.col("__n") <= F.col("n_test"), "test").when(F.col("__n") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train")
-    return placed.join(plan, "__s").withColumn("split", part).drop("__n", "__s", "n_test", "n_val")
+    plan = allocate(plan, n_val).select("stratum", "n_test", (F.col("n_test") + F.col("allocated")).alias("n_both"))
+    cuts = _cuts(keyed, ["stratum"], id_col, seed, plan, ["n_test", "n_both"]).withColumnRenamed("stratum", "__s")
+    own = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
+    here = _place(id_col, seed)
+    part = F.when(here <= F.col("cut0"), "test").when(here <= F.col("cut1"), "val").otherwise("train")
+    return df.join(cuts, own == F.col("__s"), "left").withColumn("split", part).drop("__s", "cut0", "cut1")
 
 
 def shard(df: DataFrame, order: list[str], shards: int, contiguous: bool = True) -> DataFrame:

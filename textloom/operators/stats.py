@@ -5,12 +5,14 @@ Families of columns are unpivoted and aggregated in one pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.scalars import finite
-from .ordering import average_ranks, with_running_sum
+from .ordering import average_ranks, quantiles, with_running_sum
 
 
 def long_form(df: DataFrame, columns: list[str], ids: list[str] | None = None) -> DataFrame:
@@ -29,21 +31,28 @@ def _summary_aggs() -> list[Column]:
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
-        F.percentile(v, F.lit(0.25)).alias("p25"),
-        F.median(v).alias("median"),
-        F.percentile(v, F.lit(0.75)).alias("p75"),
         F.max(v).alias("max"),
     ]
 
 
 def summary(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """n, missing, mean, std, quartiles and extremes of each feature, by group if asked for."""
-    return long_form(df, columns, by).groupBy(*(by or []), "feature").agg(*_summary_aggs())
+    rows, keys = long_form(df, columns, by), [*(by or []), "feature"]
+    out = _with_quantiles(rows.groupBy(*keys).agg(*_summary_aggs()), rows, "value", {"p25": 0.25, "median": 0.5, "p75": 0.75}, keys)
+    return out.select(*keys, "n", "missing", "missing_rate", "mean", "std", "min", "p25", "median", "p75", "max")
+
+
+def _with_quantiles(groups: DataFrame, rows: DataFrame, value: str, names: dict[str, float], keys: list[str]) -> DataFrame:
+    """Adds quantiles of rows to a row for each group; NULL for groups without values."""
+    found = quantiles(rows, value, list(names.values()), keys, list(names)).withColumnsRenamed({k: f"__q_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__q_{k}")) for k in keys))
+    return groups.join(found, same, "left").drop(*[f"__q_{k}" for k in keys])
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """value, n, share; the total is one row."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__all")))).select("value", "n", (F.col("n") / F.col("__all")).alias("share"))
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, log: bool = False) -> Dat
 def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR of the box) and outliers of each group."""
     own = df.select(F.col(by), finite(F.col(col)).alias("v")).where("v is not null")
-    boxes = own.groupBy(by).agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.median("v").alias("median"), F.percentile("v", F.lit(0.75)).alias("q3"))
+    boxes = quantiles(own, "v", [0.25, 0.5, 0.75], [by], ["q1", "median", "q3"])
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(low, high)
     joined = own.join(boxes.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
@@ -101,7 +110,10 @@ def rank_sums(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     ranked = with_running_sum(counted.withColumn("t", F.col("c0") + F.col("c1")), "t", ["value"], ["feature"], "below").withColumn("rank", F.col("below") + (t + 1) / 2.0)
     sums = ranked.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum(F.col("rank") * F.col("c0")).alias("r0"), F.sum((t * t * t - t).cast("double")).alias("ties"))
     of = lambda k: F.when(first if k == 0 else ~first, F.col("value"))
-    means = rows.groupBy("feature").agg(*[f(of(k)).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("median", F.median))])
+    means = rows.groupBy("feature").agg(*[F.avg(of(k)).alias(f"mean{k}") for k in (0, 1)])
+    halves = quantiles(rows, "value", [0.5], ["feature", group])
+    middle = halves.groupBy("feature").agg(*[F.max(F.when(F.col(group) == k, F.col("q0"))).alias(f"median{k}") for k in (0, 1)])
+    means = means.join(middle, "feature")
     u = F.col("r0") - F.col("n0") * (F.col("n0") + 1) / 2.0
     out = sums.withColumn("u", u).withColumn("rank_biserial", F.try_divide(2 * F.col("u"), (F.col("n0") * F.col("n1")).cast("double")) - 1)
     return out.join(means, "feature").withColumns({"mean_difference": F.col("mean1") - F.col("mean0"), "median_difference": F.col("median1") - F.col("median0")}).drop("r0")

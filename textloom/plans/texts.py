@@ -79,7 +79,7 @@ def removal_reasons(spark, folder):
 
 @query("kept_abstracts", _STATS + "select doc_id, t as text, length(t)::bigint as abstract_length, md5(t) as abstract_md5_hash from x where removal_reason = ''")
 def kept_abstracts(spark, folder):
-    own = cleaning.classify(table(spark, folder, "documents")).where("removal_reason = ''")
+    own = cleaning.passed(table(spark, folder, "documents"))
     return own.select("doc_id", F.col("clean_text").alias("text"), F.length("clean_text").cast("long").alias("abstract_length"), F.md5("clean_text").alias("abstract_md5_hash"))
 
 
@@ -90,12 +90,12 @@ def dup_normal_form_md5(spark, folder):
 
 @query("exact_dedup", _STATS + f", f as (select doc_id, {_FORM} as form from x where removal_reason = '') select doc_id from f qualify row_number() over (partition by form order by doc_id) > 1")
 def exact_dedup(spark, folder):
-    return cleaning.exact_duplicates(cleaning.classify(table(spark, folder, "documents")).where("removal_reason = ''"))
+    return cleaning.exact_duplicates(cleaning.passed(table(spark, folder, "documents")))
 
 
 @query("near_dup")
 def near_dup(spark, folder):
-    passed = cleaning.classify(table(spark, folder, "documents")).where("removal_reason = ''")
+    passed = cleaning.passed(table(spark, folder, "documents"))
     return cleaning.near_duplicates(passed.join(cleaning.exact_duplicates(passed), "doc_id", "left_anti"))
 
 

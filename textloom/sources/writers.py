@@ -31,13 +31,12 @@ def pending(inputs: DataFrame, done: DataFrame, key: str, failed: str | None = N
 
 
 def append_missing(inputs: DataFrame, stage, path: str, key: str, failed: str | None = None) -> int:
-    """Runs stage over what is pending at path and appends its output; returns how many rows were pending."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        todo = pending(inputs, inputs.sparkSession.read.parquet(path), key, failed)
-    except AnalysisException:
-        todo = inputs
+    """Runs stage over what is pending at path and appends its output; returns how many rows were pending. A path without files has nothing done."""
+    spark = inputs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = store.exists(place) and any(not f.getPath().getName().startswith(("_", ".")) for f in store.listStatus(place))
+    todo = pending(inputs, spark.read.parquet(path), key, failed) if written else inputs
     n = todo.count()
     if n:
         stage(todo).write.mode("append").parquet(path)
