@@ -40,7 +40,7 @@ def test_near_duplicates_with_state(spark, tmp_path):
     got = {r.id for r in drained(spark, stages.near_duplicate_stream(live)) if r.dropped}
     clean = batch.select("doc_id", t.clean_text(F.col("text")).alias("clean_text"))
     alone = {r.doc_id for r in cleaning.near_duplicates(clean).collect()}
-    assert got == alone == {2, 4} or got == alone
+    assert got == alone and got
 
 
 def test_windowed_counts(spark, tmp_path):
