@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.staging import settle, shared_dir  # noqa: F401
+from ..sources.staging import discard, settle, shared_dir  # noqa: F401
 
 #: Bytes of text that one Python step holds in numpy arrays at a time.
 CHUNK_BYTES = 1 << 19

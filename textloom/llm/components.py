@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Each step groups by node with partial minima and sends one row per edge, so a node with very many edges never
     has them collected; the joins are plain equi-joins that adaptive execution may split. Steps are written to
-    the shared folder. max_rounds guards against a fault only: rounds grow with the logarithm of the longest path.
+    the shared folder, and deleted from it when the next has been written. max_rounds guards against a fault only: rounds grow with the logarithm of the longest path.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = settle(edges.select(high.alias("a"), low.alias("b")).where("a <> b").distinct(), "edges")
@@ -25,9 +25,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = settle(large.where("a <> b").distinct(), "large")
-        least = settle(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = settle(small.where("a <> b").distinct(), "small")
+        lower = settle(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        done, now = (now, least, large, lower), settle(small.where("a <> b").distinct(), "small")
+        discard(*done)
         before, state = state, _state(now)
         if before == state:
             break

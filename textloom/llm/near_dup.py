@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle, text_slices
+from .common import discard, release, settle, text_slices
 from .components import components
 from .shingles import overlap, set_digest, shingle_sets, signatures
 
@@ -92,8 +92,8 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return own.join(F.broadcast(nodes) if few else nodes, "node")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(pivot, node) whose full sets have 100 * intersection >= percent * union.
+def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs(pivot, node) whose full sets have 100 * intersection >= percent * union; and the tables that this reads.
 
     Each text is read once and sent, as a set, once for each of its pairs; a pivot's own set goes ahead of each
     PIVOT_SPLIT of its partners.
@@ -149,7 +149,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     rows, asked_for = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()
     sent = _texts_of(docs, asked, 64 * rows + 48 * asked_for).select("node", "text", "asked").mapInArrow(sets, "pivot long, salt int, role int, node long, shingles binary")
     dealt = sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long"), [splits, asked]
 
 
 def masses(docs: DataFrame, units: DataFrame, width: int) -> DataFrame:
@@ -211,7 +211,10 @@ class _Work:
         return settle(both.where(hits >= self.matches).select("pivot", "node"), "pairs")
 
     def link(self, pairs: DataFrame) -> None:
-        found = settle(confirm(self.docs, self.retain(pairs), self.width, self.percent), "links")
+        kept = self.retain(pairs)
+        confirmed, read = confirm(self.docs, kept, self.width, self.percent)
+        found = settle(confirmed, "links")
+        discard(kept, *read, *([self.comps] if self.comps is not None else []))
         self.links = found if self.links is None else self.links.unionByName(found)
         self.comps = settle(components(self.links), "components")
 
