@@ -190,22 +190,28 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
         (2, sized(digest), "far"), (2, uuid, "far"), (1, uuid, "none"), (2, digits, "none"), (1, slug, "none"), (1, camel, "none"), (1, snake, "none"), (1, filler, "near"), (1, F.concat_ws("/", word("p1"), word("p2"), word("p3"), digits), "none"),
         (2, prose, "near"), (2, holder, "near"), (2, code, "near"), (1, slug, "near"), (1, F.concat_ws(".", word("p1"), word("p2"), word("p3")), "near"), (1, camel, "near"),
     ]
-    kinds = [(c, where, 1.0) for n, c, where in positive for _ in range(n)] + [(c, where, 0.0) for n, c, where in negative for _ in range(n)]
-    kind = F.pmod(F.col("id"), F.lit(len(kinds)))
+    forms = [(n, c, where, y) for own, y in ((positive, 1.0), (negative, 0.0)) for n, c, where in own]
+    dealt = [k for k, (n, *_) in enumerate(forms) for _ in range(n)]
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("form") + 1)
+    choose = lambda values, c: reduce(lambda case, x: case.when(c == x[0], x[1]), list(values.items())[1:], F.when(c == next(iter(values)), next(iter(values.values()))))
+    rows = spark.range(n).withColumn("form", F.element_at(F.array(*[F.lit(k) for k in dealt]), F.pmod(F.col("id"), F.lit(len(dealt))).cast("int") + 1))
+    where = of([w for _, _, w, _ in forms])
     before = {"near": F.concat(lead, key, sign, quote), "far": F.concat(lead, far, sign, quote), "url": F.concat(lead, url), "bare": lead, "none": lead}
     after = {"near": F.concat(quote, trail), "far": F.concat(quote, trail), "url": F.concat(F.lit("@"), word("h"), F.lit("."), word("t1")), "bare": trail, "none": trail}
-    choose = lambda values: reduce(lambda case, x: case.when(kind == x[0], x[1]), list(enumerate(values))[1:], F.when(kind == 0, values[0]))
     path = pick("path", ["src0", "src1", "src2", "config/app.yml", "tests/data/sample.txt", "docs/example.md"])
-    made = spark.range(n).select(choose([c for c, _, _ in kinds]).alias("candidate"), choose([before[w] for _, w, _ in kinds]).alias("before"), choose([after[w] for _, w, _ in kinds]).alias("after"), path.alias("path"), choose([F.lit(x) for _, _, x in kinds]).alias("label"))
-    return made
+    candidate = choose({k: c for k, (_, c, _, _) in enumerate(forms)}, F.col("form"))
+    return rows.select(candidate.alias("candidate"), choose(before, where).alias("before"), choose(after, where).alias("after"), path.alias("path"), of([y for *_, y in forms]).alias("label"))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
-    """A random forest (JVM) on the features of labelled findings; one partition, so that the same findings give the same forest."""
+    """A random forest (JVM) on the features of labelled findings; one partition, so that the same findings give the same forest.
+
+    The features are written first: the passes of the fit read them, and don't plan or make them again.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = with_features(findings).coalesce(1)
+    rows = settle(with_features(findings).select(*FEATURES, "label").coalesce(1), "labelled-features").coalesce(1)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(ready)
 
