@@ -185,6 +185,26 @@ def test_near_duplicates_and_clean_corpus(spark, tmp_path):
     assert sum(counts.values()) == spark.read.parquet(f"{folder}/documents.parquet").count()
 
 
+def test_near_duplicates_of_a_shared_prefix(spark):
+    r = np.random.default_rng(5)
+    start = "a shared beginning of every text that is longer than the prefix by which texts meet so that all of them meet in one group "
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(120):
+        if rows and r.random() < 0.6:
+            own = rows[r.integers(len(rows))][1].split(" ")
+            own[-int(r.integers(1, 4))] = str(r.integers(9))
+        else:
+            own = (start + " ".join(r.choice(words, 60))).split(" ")
+        rows.append((int(k * 37 % 120), " ".join(own)))
+    df = spark.createDataFrame(rows + [(500, "alone"), (501, None)], "doc_id long, clean_text string")
+    want = greedy(rows)
+    assert 10 < len(want) < 100
+    for batch in (7, 300):
+        got = [x.doc_id for x in cleaning.near_duplicates(df, batch=batch).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def paper(text):
     squeeze = lambda x: re.sub(r"[\s\x1c-\x1f]+", " ", x).strip(" ")
     lines = [x.strip(" ") for x in text.split("\n")]

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -84,35 +84,68 @@ def exact_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str =
     return own.join(firsts, "form").where(F.col(id_col) != F.col("first")).select(id_col)
 
 
-def near_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "doc_id", cfg: CleanConfig = CleanConfig()) -> DataFrame:
+#: Texts of one prefix that are decided in order by one task at a time, and texts that one task then holds against those it kept.
+BATCH, SLICE = 300, 1000
+
+
+def _like(form: str, other: str, limit: float) -> bool:
+    """Whether SequenceMatcher's ratio reaches the limit; two sound upper bounds spare most comparisons."""
+    total = len(form) + len(other)
+    if total and 2 * min(len(form), len(other)) / total < limit:
+        return False
+    m = SequenceMatcher(None, form, other)
+    return m.quick_ratio() >= limit and m.ratio() >= limit
+
+
+def near_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "doc_id", cfg: CleanConfig = CleanConfig(), batch: int = BATCH) -> DataFrame:
     """Ids that a greedy pass in id order drops: the normal form is at least near_dup_ratio like one kept before it with the same prefix.
 
-    The pass depends on its order, so a prefix is worked off by one task; texts alone with their prefix never
-    reach Python, and two sound upper bounds spare most comparisons.
+    The pass goes by rounds. In each, the first `batch` undecided texts of every prefix are decided in order among
+    themselves, and then all the others of that prefix are held against those kept, SLICE to a task. So a prefix
+    that very many texts share costs a round for each batch of texts kept, and no task sees more than a batch and a
+    slice; texts alone with their prefix never reach Python.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), t.duplicate_form(F.col(text_col)).alias("form"))
     own = settle(own.withColumn("prefix", F.substring("form", 1, cfg.near_dup_prefix)), "prefixes")
     shared = own.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     limit = cfg.near_dup_ratio
+    verdicts = "id long, form string, prefix string, kept boolean"
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[str] = []
-        dropped = []
-        for i, form in group.sort_values("id")[["id", "form"]].itertuples(index=False):
-            for other in kept:
-                total = len(form) + len(other)
-                if total and 2 * min(len(form), len(other)) / total < limit:
-                    continue
-                m = SequenceMatcher(None, form, other)
-                if m.quick_ratio() >= limit and m.ratio() >= limit:
-                    dropped.append(i)
-                    break
-            else:
+        flags = []
+        group = group.sort_values("id")
+        for form in group["form"]:
+            flags.append(not any(_like(form, k, limit) for k in kept))
+            if flags[-1]:
                 kept.append(form)
-        return pd.DataFrame({"id": pd.Series(dropped, dtype="int64")})
-
-    crowd = own.join(shared.select("prefix"), "prefix", "left_semi")
-    return crowd.groupBy("prefix").applyInPandas(greedy, "id long").withColumnRenamed("id", id_col)
+        return group[["id", "form", "prefix"]].assign(kept=pd.Series(flags, index=group.index, dtype="bool"))
+
+    def hold_against(rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        forms = kept.sort_values("id")["form"].tolist()
+        flags = [not any(_like(form, k, limit) for k in forms) for form in rows["form"]]
+        return rows[["id", "form", "prefix"]].assign(kept=pd.Series(flags, index=rows.index, dtype="bool"))
+
+    crowd = own.join(shared.select("prefix"), "prefix", "left_semi").select("id", "form", "prefix")
+    place = F.rank().over(Window.partitionBy("prefix").orderBy("id"))  # rows of one id stay together
+    dropped = None
+    while True:
+        heads = settle(crowd.withColumn("place", place).where(F.col("place") <= batch).groupBy("prefix").applyInPandas(decide, verdicts), "decided")
+        lost = heads.where("not kept").select("id")
+        dropped = lost if dropped is None else dropped.unionByName(lost)
+        last = heads.groupBy("prefix").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= batch).drop("n")
+        rest = settle(crowd.join(last, "prefix").where(F.col("id") > F.col("last")).drop("last"), "undecided")
+        if rest.isEmpty():
+            return dropped.withColumnRenamed("id", id_col)
+        parts = settle(rest.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts")), "parts")
+        salted = rest.join(parts, "prefix").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        forms = heads.where("kept").join(parts, "prefix").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "kept")
+        judged = salted.groupBy("prefix", "part").cogroup(forms.groupBy("prefix", "part")).applyInPandas(hold_against, verdicts)
+        judged = settle(judged, "held")
+        dropped = dropped.unionByName(judged.where("not kept").select("id"))
+        crowd = judged.where("kept").drop("kept")
+        if crowd.isEmpty():
+            return dropped.withColumnRenamed("id", id_col)
 
 
 def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:
