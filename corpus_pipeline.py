@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: quality, near-duplicates, benchmark leaks, secrets, tokens."""
+"""A training-data pipeline over `documents`: quality, near-duplicates, benchmark leaks, secrets, tokens.
+
+What the stages do with nulls, empty and long texts, repeated rows, empty tables and clashing names stands in
+textloom/llm/stages.py. Each works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 

@@ -73,3 +73,18 @@ def test_stages_return_the_columns_of_documents(spark, folder):
 
 def test_the_stages():
     assert [n for n, _ in pipeline.STAGES] == ["quality classifier", "near-duplicates", "benchmark decontamination", "secret scan", "byte-level BPE"]
+
+
+def test_very_long_texts_and_repeated_rows(spark, folder):
+    path, docs = folder
+    long = " ".join(prose(9000 + i, 2000) for i in range(40)) + f' password = "{SECRET}" ' + prose(1)
+    rows = [*docs[:30], *docs[:5], (900, long, "en", "src0", len(long)), (901, long, "en", "src0", len(long))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = df
+    for _, stage in pipeline.STAGES[1:-1]:
+        kept = stage(spark, kept, path)
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert set(got) == {r[0] for r in docs[:30]} | {900}
+    assert got[900] == long.replace(SECRET, "[SECRET]")
+    last = {r.doc_id: r for r in pipeline.STAGES[-1][1](spark, kept, path).collect()}
+    assert last[900].decoded_sha256 == hashlib.sha256(got[900].encode()).hexdigest()

@@ -12,7 +12,9 @@ broadcast weights.
 
 Null texts count as empty and have a score like all others. Labels other than 0 and 1 and labels without a
 document are passed over; with no labels at all every score is 0.5. Several labels of one document count each. Other
-columns are kept and of clashing names the operator's wins; repeated rows get equal scores.
+columns are kept and of clashing names the operator's wins; repeated rows get equal scores, ties in a score the same prediction,
+and an empty table an empty result. A text of any length is scored whole, as one row in one Python step. As inputs of the
+machine the mean length of words counts up to 50 bytes and standardised statistics up to 4 either way; no row or word is left out.
 """
 
 from __future__ import annotations

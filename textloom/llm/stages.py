@@ -1,4 +1,11 @@
-"""Stages of a corpus pipeline: (spark, docs, sf_dir) -> the rows of docs that stay, with the columns of documents."""
+"""Stages of a corpus pipeline: (spark, docs, sf_dir) -> the rows of docs that stay, with the columns of documents.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and ids, an empty table and extra columns,
+also of names that operators use inside: columns come out as they went in, but for what the last stage adds, and an
+empty table stays empty. What becomes of the rows: the classifier scores null and empty texts like all others; near-duplicates
+keep rows without an id, without a text and without words (they link with nothing), and of rows that repeat an id one; decontamination and
+masking keep null texts, as they hold nothing, and judge each row with a null id by its text; null texts encode to no ids. Texts are worked on in whole.
+"""
 
 from __future__ import annotations
 

@@ -10,7 +10,12 @@ distrust exceeds its trust by more than `margin`; hosts that neither reaches are
 Links are the absolute or protocol-relative `href`s of `a` elements; relative links stay on their host and count
 as none. Edges are counted per pair of hosts before they meet, so neither a hot host nor repeated pages give
 large groups; each round is written to the shared folder. Null or unparsable URLs have an empty host, which no
-rule fits and which takes no part in the graph; null html has no links. Extra columns don't reach the result.
+rule fits and which takes no part in the graph; null html has no links, and of html of any length all links count. An empty
+table gives an empty result, null and repeated page_ids their rows. Extra and clashing columns don't reach the result.
+
+`rounds`, `damping` and `margin` are parameters, and the SQL writes the same rounds out. Hosts more than `rounds` links from
+a seed count as not reached; the mass of hosts without out-links isn't handed back to the seeds, and scores shrink
+with the number of seeds, so that on graphs with millions of seeds `margin` has to be set with them in mind.
 """
 
 from __future__ import annotations
