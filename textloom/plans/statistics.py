@@ -260,8 +260,10 @@ def strongest_correlations(spark, folder):
 
 @query("windowed_events", "select event_type, time_bucket(interval '1 hour', ts) as hour, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by all")
 def windowed_events(spark, folder):
-    own = table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
-    return own.agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 4).alias("total"))
+    from ..streaming import stages
+
+    own = stages.windowed_counts(table(spark, folder, "events"))  # the same on a batch as on a stream
+    return own.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", rounded("total", 4).alias("total"))
 
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "days"]
