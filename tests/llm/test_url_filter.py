@@ -73,3 +73,17 @@ def test_oracle(spark, rows, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     want = sorted(map(str, con.execute(f"select page_id, host, path, rule, verdict from ({ORACLE_SQL['op4_url_filter']})").fetchall()))
     assert sorted(str(tuple(r)) for r in u.judge(df, RULES).collect()) == want
+
+
+def test_many_rules_by_a_join(spark):
+    import random
+
+    r = random.Random(2)
+    host = lambda: ".".join(r.choice(["a", "b", "net", "org", "x1"]) for _ in range(r.randrange(1, 4)))
+    rules = list({u.Rule(r.choice(["allow", "block"]), host(), "/" + r.choice(["", "a", "ab/", "c/d"])) for _ in range(300)})
+    df = spark.createDataFrame([(i, f"http://{host()}/{r.choice(['', 'a', 'ab/c', 'c/d', 'zz'])}") for i in range(300)] + [(1, None), (1, "http://b.net/a")], "page_id long, url string")
+    pages = df.select("page_id", u.urls.host(df.url).alias("host"), u.urls.path(df.url).alias("path"))
+    rows = lambda d: sorted(str((x.page_id, x.host, x.path, x.rule, x.verdict)) for x in d.collect())
+    joined = u.with_rules(pages, rules)
+    assert len(rules) > u.CASE_RULES and rows(joined) == rows(u.with_rules(pages, rules, case_rules=1000))
+    assert joined.where("rule is not null").count() > 100

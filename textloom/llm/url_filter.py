@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from . import urls
 from .common import settle
 
+#: Rules that are compiled into one CASE; with more, the hosts' suffixes meet the rules' hosts by a join.
+CASE_RULES = 100
+
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -53,6 +56,21 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def with_rules(pages: DataFrame, rules: list[Rule], case_rules: int = CASE_RULES) -> DataFrame:
+    """Adds rule and verdict, of the rule that wins or null, to pages with host and path."""
+    if len(rules) <= case_rules:
+        found = pages.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules))
+        return found.withColumns({"rule": F.col("__best.rule"), "verdict": F.col("__best.verdict")}).drop("__best")
+    order = sorted(rules, key=lambda r: (-len(r.name), -len(r.host), r.verdict != "block", r.name))
+    table = pages.sparkSession.createDataFrame([(i, r.host, r.path, r.name, r.verdict) for i, r in enumerate(order)], "place int, suffix string, start string, rule string, verdict string")
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    asked = pages.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+    fits = asked.join(table, "suffix").where(F.col("path").startswith(F.col("start")))
+    best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), "place").alias("__best"))
+    return pages.join(best, ["host", "path"], "left").withColumns({"rule": F.col("__best.rule"), "verdict": F.col("__best.verdict")}).drop("__best")
+
+
 def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """src, dst, weight: on how many pages of src some link leads to dst; no loops."""
     links = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(_LINK), 1), lambda x: F.lower(F.regexp_replace(x, r"^[^@]*@|:\d*$", ""))))
@@ -89,8 +107,7 @@ def blocked_hosts(ruled: DataFrame, edges: DataFrame, rounds: int = 8, damping:
 def judge(pages: DataFrame, rules: list[Rule], rounds: int = 8, damping: float = 0.85, margin: float = 1e-9) -> DataFrame:
     """page_id, host, path, rule, verdict of every page (page_id, url, html)."""
     parsed = pages.select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), "html")
-    ruled = parsed.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules))
-    ruled = ruled.select("page_id", "host", "path", F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("verdict"), "html")
+    ruled = with_rules(parsed, rules)
     edges = settle(host_edges(ruled), "edges")
     bad = settle(blocked_hosts(ruled.drop("html"), edges, rounds, damping, margin).withColumn("__bad", F.lit(True)), "blocked")
     judged = ruled.drop("html").join(bad, "host", "left")
