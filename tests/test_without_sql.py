@@ -235,6 +235,18 @@ def test_paragraphs(spark):
         assert (r.paragraphs, r.digest) == (len(want[r.doc_id].split("\n\n")), hashlib.md5(want[r.doc_id].encode()).hexdigest()), r.doc_id
 
 
+def test_paragraphs_of_odd_lines(spark):
+    r = np.random.default_rng(9)
+    bits = ["one co-", "operation goes", "on-", "and Up", "", "x9-", "a9b-", "References", "  ", "ends -", "é-", "Two words- ", "b-", "\u00ad", "2 references"]
+    rows = [(k, "\n".join(r.choice(bits, r.integers(0, 14), p=[0.12, 0.12, 0.12, 0.1, 0.05, 0.05, 0.05, 0.02, 0.05, 0.06, 0.06, 0.06, 0.06, 0.06, 0.02]))) for k in range(300)]
+    rows += [(900, None), (901, ""), (902, "\n".join(["half of a bro-", "ken line that"] * 5000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from textloom.operators import papers
+
+    got = {x.doc_id: x.t for x in df.select("doc_id", papers.paper_text(papers.lines_as_pages(F.col("text"))).alias("t")).collect()}
+    assert got == {i: paper(x or "") for i, x in rows}
+
+
 def broken(o, c):
     o, c = o.strip(), c.strip()
     ends = lambda x: x[-1:] in ".!?" and x

@@ -37,32 +37,47 @@ def cut_references(items: Column) -> Column:
     return F.when(at > 0, F.slice(items, F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0)))).otherwise(items)
 
 
+_NEXT, _KIND = "\u0001", "\u0002"
+
+
+def _once(items: Column, use) -> Column:
+    """use(items) with the items made once, however often it names them."""
+    return F.element_at(F.transform(F.array(items), use), 1)
+
+
 def repair_hyphens(items: Column) -> Column:
-    """Joins a text line that ends in a broken word to the text line behind it if that goes on in lower case."""
+    """Joins a text line that ends in a broken word to the text line behind it if that goes on in lower case.
+
+    Each line looks at its neighbours only; lines are put together as one string and cut again, in time in proportion to them.
+    """
+    text_line = lambda x: F.coalesce(x["kind"] == "text", F.lit(False))
+    goes_on = lambda x, y: text_line(x) & text_line(y) & x["text"].rlike(r"^.*\b[A-Za-z]+-\s*$") & y["text"].rlike("^[a-z]")
 
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["kind"] == "text") & (x["kind"] == "text") & F.get(done, F.size(done) - 1)["text"].rlike(r"^.*\b[A-Za-z]+-\s*$") & x["text"].rlike("^[a-z]")
-        merged = F.struct(F.concat(F.regexp_replace(last["text"], r"-\s*$", ""), x["text"]).alias("text"), last["kind"].alias("kind"))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(x)))
+    def joined(xs):
+        def line(x, i):
+            plain = F.translate(x["text"], _NEXT + _KIND, "  ")
+            head = F.when((i > 0) & goes_on(F.get(xs, i - 1), x), F.lit("")).otherwise(F.concat(F.lit(_NEXT), x["kind"], F.lit(_KIND)))
+            return F.concat(head, F.when(F.coalesce(goes_on(x, F.get(xs, i + 1)), F.lit(False)), F.regexp_replace(plain, r"-\s*$", "")).otherwise(plain))
 
-    return F.aggregate(items, F.array().cast(_ITEM), step)
+        whole = F.array_join(F.transform(xs, line), "")
+        cut = F.filter(F.split(whole, _NEXT), lambda x: x != "")
+        return F.transform(cut, lambda x: F.struct(F.substring_index(x, _KIND, -1).alias("text"), F.substring_index(x, _KIND, 1).alias("kind")))
+
+    return _once(items, joined)
 
 
 def paragraphs(items: Column) -> Column:
-    """Consecutive text lines as one paragraph; headers stand alone and blank lines end a paragraph."""
-    acc = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-    def step(a, x):
-        line = F.trim(x["text"])
-        out = a["out"]
-        grown = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(F.get(out, F.size(out) - 1), F.lit(" "), line)))
-        longer = F.concat(out, F.array(line))
-        text = x["kind"] == "text"
-        new = F.when(line == "", out).when(text & a["open"], grown).otherwise(longer)
-        return F.struct(new.alias("out"), (text & (line != "")).alias("open"))
-
-    return F.aggregate(items, acc, step, lambda a: a["out"])
+    """Consecutive text lines as one paragraph; headers stand alone and blank lines end a paragraph. One string is made and cut, as above."""
+
+    def joined(xs):
+        def line(x, i):
+            own, before = F.trim(F.translate(x["text"], _NEXT, " ")), F.get(xs, i - 1)
+            more = (i > 0) & (x["kind"] == "text") & (before["kind"] == "text") & (F.trim(before["text"]) != "")
+            return F.when(own == "", "").when(F.coalesce(more, F.lit(False)), F.concat(F.lit(" "), own)).otherwise(F.concat(F.lit(_NEXT), own))
+
+        return F.filter(F.split(F.array_join(F.transform(xs, line), ""), _NEXT), lambda x: x != "")
+
+    return _once(items, joined)
 
 
 def paper_text(pages: Column) -> Column:
