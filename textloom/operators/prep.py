@@ -84,7 +84,7 @@ def impute_all(df: DataFrame, ids: list[str], named: list[str] | None = None, re
         for x in some[1:]:
             gone = gone | x
         df = df.withColumn("abstract_readability_missing", gone.cast("int"))
-    numbers = [c for c in s.numeric_columns(df) if c not in ids]
+    numbers = [c for c in s.numeric_columns(df) if c not in ids and c != "abstract_readability_missing"]
     df = impute(df, medians(df, list(dict.fromkeys([*s.existing(df, named or []), *numbers]))))
     texts = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name not in ids]
     return df.withColumns({c: s.missing_as(F.col(c)) for c in texts})

@@ -1,4 +1,4 @@
 """Named queries over the driver's tables."""
 
-from . import statistics, tabular, texts  # noqa: F401
+from . import files, statistics, tabular, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
