@@ -79,7 +79,23 @@ def mann_whitney_u(spark, folder):
     return own.select("feature", "n0", "n1", rounded("u", 3).alias("u"), rounded("rank_biserial").alias("rank_biserial"), rounded("ties", 0).alias("ties"), rounded("mean_difference").alias("mean_difference"), rounded("median_difference").alias("median_difference"))
 
 
-@query("mann_whitney_tests")
+def _two_sided(bound, density):
+    """What a symmetric density leaves beyond +-bound, by Simpson's rule of 2000 steps."""
+    return f"1 - 2 * {bound} / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * {density(f'(i * {bound} / 2000)')}))"
+
+
+_NORMAL = lambda x: f"exp(-{x} * {x} / 2) / sqrt(2 * pi())"
+_STUDENT = lambda x: f"exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + {x} * {x} / v, -(v + 1) / 2)"
+
+
+@query(
+    "mann_whitney_tests",
+    "with l as (" + _union(NUMBERS, "select '{c}' as feature, {c} as v, (l_returnflag = 'R')::int as y from lineitem") + f"""),
+k as (select *, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0 as rk, count(*) over (partition by feature, v) as t from l),
+s as (select feature, count(*) filter (y = 0) as n0, count(*) filter (y = 1) as n1, sum(rk::double) filter (y = 0) - n0 * (n0 + 1) / 2.0 as u, avg(v) filter (y = 0) as m0, avg(v) filter (y = 1) as m1, median(v) filter (y = 0) as d0, median(v) filter (y = 1) as d1, sum((t * t - 1)::double) as ties from k group by feature),
+z as (select *, least(40.0, greatest(0, abs(u - n0 * n1 / 2) - 0.5) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))))::double as z from s)
+select feature, n0, n1, {r('u')} as u, {r('2 * u / (n0 * n1) - 1')} as rank_biserial, {r('m0')} as mean0, {r('m1')} as mean1, {r('d0')} as median0, {r('d1')} as median1, {r('m1 - m0')} as mean_difference, {r('d1 - d0')} as median_difference, {r(_two_sided('z', _NORMAL))} as p_value from z where n0 >= 5 and n1 >= 5""",
+)
 def mann_whitney_tests(spark, folder):
     return round_all(stats.mann_whitney(lines(spark, folder), NUMBERS, "y"))
 
@@ -95,7 +111,14 @@ def spearman(spark, folder):
     return round_all(stats.spearman(own, ["l_quantity", "l_discount", "l_tax"], "target"))
 
 
-@query("spearman_tests")
+@query(
+    "spearman_tests",
+    "with l as (" + _union(["l_quantity", "l_discount", "l_tax"], "select '{c}' as feature, {c} as x, l_extendedprice as t from lineitem") + f"""),
+k as (select *, rank() over (partition by feature order by x) + (count(*) over (partition by feature, x) - 1) / 2.0 as rx, rank() over (partition by feature order by t) + (count(*) over (partition by feature, t) - 1) / 2.0 as ry from l),
+c as (select feature, count(*) as n, corr(rx::double, ry::double) as rho from k group by feature having count(*) >= 10),
+z as (select *, (n - 2)::double as v, least(60.0, abs(rho) * sqrt((n - 2) / (1 - rho * rho)))::double as z from c)
+select feature, n, {r('rho')} as rho, {r(_two_sided('z', _STUDENT))} as p_value from z""",
+)
 def spearman_tests(spark, folder):
     return round_all(stats.spearman_tests(lines(spark, folder), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"))
 
