@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import cleaning, grammar, prep, sampling, stats
+from textloom.operators import cleaning, grammar, models, prep, sampling, stats
 from textloom.operators.ordering import quantiles
 from textloom.plans import QUERIES
 from textloom.plans import statistics as plans
@@ -124,6 +124,34 @@ def test_boosted(spark):
     assert rows[0].feature == "l_quantity"  # most of what the label is made of
 
 
+def test_stop_on_auc(spark):
+    own, train, val = plans._fitted(spark, FOLDER)
+    val.persist()
+    grow = {"rounds": 9, "depth": 3, "rate": 0.8, "subsample": 0.5}
+    whole = models.boosted(train, **grow)
+    stages = dict(models.staged_auc(whole, val, block=4))
+    assert list(stages) == list(range(1, 10))
+    rows = val.toPandas()
+    margin = np.zeros(len(rows))
+    for k, (tree, weight) in enumerate(zip(whole.trees, whole.treeWeights), 1):
+        margin += weight * np.array([tree.predict(x) for x in rows["features"]])
+        assert abs(stages[k] - auc(rows["label"].to_numpy(), margin)) < 1e-9
+    for patience in (1, 50):
+        best = 0
+        for k in stages:  # the rule, step by step
+            if best and k - best > patience:
+                break
+            if not best or stages[k] > stages[best]:
+                best = k
+        kept = models.best_by_auc(whole, val, patience)
+        assert kept.getNumTrees == best
+        assert abs(models.evaluate(models.probabilities(kept, val))["roc_auc"] - stages[best]) < 1e-9
+    assert models.boosted(train, **grow, validation=val, stop="auc").getNumTrees == best
+    assert models.importances(kept, own.columns).count() == len(own.columns)
+    assert models.best_by_auc(whole, val.where("label = 1")).getNumTrees == 9
+    assert models.best_by_auc(whole, val.limit(0)).getNumTrees == 9
+
+
 def test_sweep(spark):
     rows = QUERIES["model_sweep"](spark, FOLDER).collect()
     assert {(r.model, r.threshold) for r in rows} == {(m, t) for m in ("logistic", "boosted") for t in (10, 20)}

@@ -174,14 +174,15 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return out.withColumns({"macro_f1": (F.col("f1_0") + F.col("f1_1")) / 2, "weighted_f1": d(F.col("f1_0") * F.col("support_0") + F.col("f1_1") * F.col("support_1"), total)})
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """roc_auc from rank sums, exact with ties; equal scores are counted before they are ranked."""
-    own = df.select((F.col(label) == 1).alias("y"), F.col(score).cast("double").alias("value")).where("value is not null")
-    counted = own.groupBy("value").agg(F.count_if(F.col("y")).alias("c1"), F.count(F.lit(1)).alias("t"))
-    ranked = with_running_sum(counted, "t", ["value"], name="below").withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
-    row = ranked.agg(F.sum(F.col("r") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("t").alias("n"))
+def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """roc_auc from rank sums, of each group if asked for, exact with ties; equal scores are counted before they are ranked."""
+    by = by or []
+    own = df.select(*by, (F.col(label) == 1).alias("y"), F.col(score).cast("double").alias("value")).where("value is not null")
+    counted = own.groupBy(*by, "value").agg(F.count_if(F.col("y")).alias("c1"), F.count(F.lit(1)).alias("t"))
+    ranked = with_running_sum(counted, "t", ["value"], by, "below").withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
+    row = ranked.groupBy(*by).agg(F.sum(F.col("r") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("t").alias("n"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    return row.select(F.try_divide(u, (F.col("n1") * (F.col("n") - F.col("n1"))).cast("double")).alias("roc_auc"))
+    return row.select(*by, F.try_divide(u, (F.col("n1") * (F.col("n") - F.col("n1"))).cast("double")).alias("roc_auc"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
