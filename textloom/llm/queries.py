@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fim, html_text, near_dup, quality, secret_scan, spans, transport_stream, url_filter, warc
+from . import bpe, decontaminate, fim, html_text, near_dup, phrases, quality, secret_scan, spans, transport_stream, url_filter, warc
 from .common import table
 
 OP4_RULES = [
@@ -62,6 +62,10 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(docs)
 
 
+def op12_phrase_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), min_count=30, max_words=4, percent=80, top=2000)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), fim.Rule(seed=7, rate=100, spm_rate=50))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_transport_stream": op10_transport_stream,
+    "op12_phrase_sketches": op12_phrase_sketches,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL = {
@@ -84,5 +89,6 @@ ORACLE_SQL = {
     "op4_url_filter": url_filter.oracle_sql(OP4_RULES),
     "op7_sentence_spans": spans.oracle_sql(),
     "op9_minhash_near_dup": near_dup.oracle_sql(width=4, percent=80),
+    "op12_phrase_sketches": phrases.oracle_sql(),
     "op13_fill_in_middle": fim.oracle_sql(),
 }
