@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fim, html_text, near_dup, phrases, quality, secret_scan, spans, transport_stream, url_filter, warc
+from . import bpe, decontaminate, fim, html_text, near_dup, phrases, quality, secret_scan, spans, toxicity, transport_stream, url_filter, warc
 from .common import table
 
 OP4_RULES = [
@@ -62,6 +62,10 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(docs)
 
 
+def op11_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op12_phrase_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), min_count=30, max_words=4, percent=80, top=2000)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_transport_stream": op10_transport_stream,
+    "op11_text_cnn": op11_text_cnn,
     "op12_phrase_sketches": op12_phrase_sketches,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
