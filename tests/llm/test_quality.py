@@ -67,3 +67,17 @@ def test_odd_rows(spark):
     assert q.judge(df.limit(0), labels).count() == 0
     machine = q.train(df, labels, metadata=["source"])
     assert q.classify(df, machine, metadata=["source"]).columns == ["doc_id", "text", "source", "score", "predicted"]
+
+
+def test_the_sample_is_bounded_and_full(spark, monkeypatch):
+    """2,000 documents among 100,000 labels fill all places, and one id 20,000 times takes no more than its distinct texts."""
+    docs = spark.range(2_000).selectExpr("id * 50 as doc_id", "concat('word', id) as text").unionByName(spark.range(20_000).selectExpr("8L as doc_id", "concat('copy ', id % 3) as text"))
+    labels = spark.range(100_000).selectExpr("id as doc_id", "int(id % 2) as quality")
+    kept = []
+    monkeypatch.setattr(q, "fit", lambda f, y, meta=None: kept.append((len(y), len(f.stats))))
+    for most in (1_000, 4_000):
+        q.train(docs, labels, max_rows=most)
+    q.train(docs, labels, max_rows=4_000, max_bytes=200_000)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    whole = sum(not held(i) for i in range(0, 100_000, 50)) + (0 if held(8) else 3)
+    assert kept[:2] == [(1_000, 1_000), (whole, whole)] and 0 < kept[2][0] < 2_000

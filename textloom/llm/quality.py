@@ -7,11 +7,11 @@ if metadata columns are named, one hashed indicator for each of them. The machin
     bias + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
 in time linear in the words. It is fitted on the driver, by Adam on the log loss, on at most TRAIN_ROWS labelled
-rows (those whose id hashes lowest), which bounds what is collected; all documents are scored, in whole, where they lie, with the
-broadcast weights.
+documents (those whose id hashes lowest) with at most TRAIN_BYTES of features, counted after labels have met their documents, see sample.py;
+all documents are scored, in whole, where they lie, with the broadcast weights.
 
 Null texts count as empty and have a score like all others. Labels other than 0 and 1 and labels without a
-document are passed over; with no labels at all every score is 0.5. Several labels of one document count each. Other
+document are passed over; with no labels at all every score is 0.5. Different labels of one document count each, equal ones once. Other
 columns are kept and of clashing names the operator's wins; repeated rows get equal scores, ties in a score the same prediction,
 and an empty table an empty result. A text of any length is scored whole, as one row in one Python step. As inputs of the
 machine the mean length of words counts up to 50 bytes and standardised statistics up to 4 either way; no row or word is left out.
@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .common import _Tables, mix, rows_of, text_slices, words
+from .sample import labelled_rows
 
 BUCKET_BITS = 14
 RANK = 8
 BINS = 8
-#: Labelled rows that are collected for fitting, at most.
-TRAIN_ROWS = 4_000
+#: Labelled rows, and bytes of their features, that are collected for fitting, at most.
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 64 << 20
 #: Training rows whose gradients are held at a time.
 FIT_ROWS = 400
 STEPS, RATE, DECAY = 90, 0.05, 1e-3
@@ -231,26 +232,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metadata: list[str] | None = None, max_rows: int = TRAIN_ROWS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metadata: list[str] | None = None, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Machine:
     """Fits on the labelled rows that aren't held out."""
     metadata = metadata or []
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = known.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text", *metadata)
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 f = features(data, offsets)
-                at = np.concatenate([[0], np.cumsum(np.bincount(f.row, minlength=part.num_rows))])
+                at = np.searchsorted(f.row, np.arange(part.num_rows + 1))
+                raw = lambda v, kind: [v[i:j].astype(kind).tobytes() for i, j in zip(at[:-1], at[1:])]
+                bucket, weight, stats = raw(f.bucket, "<u2"), raw(f.weight, "<f4"), [s.astype("<f8").tobytes() for s in f.stats]
                 meta = _meta(part, metadata)
-                meta = np.zeros((part.num_rows, 0), np.int64) if meta is None else meta
-                raw = lambda v, kind: pa.array([v[i:j].astype(kind).tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
-                stats = pa.array([s.astype("<f8").tobytes() for s in f.stats], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("__id").cast(pa.int64()), part.column("__y"), raw(f.bucket, "<u2"), raw(f.weight, "<f4"), stats, pa.array([r.tobytes() for r in meta.astype("<i8")], pa.binary())], names=["id", "y", "bucket", "weight", "stats", "meta"])
+                own = [b""] * part.num_rows if meta is None else [r.astype("<i8").tobytes() for r in meta]
+                size = [len(b) + len(w) + len(s) for b, w, s in zip(bucket, weight, stats)]
+                made = [pa.array(size, pa.int64()), *(pa.array(v, pa.binary()) for v in (bucket, weight, stats, own))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("digest"), *made], names=["id", "y", "digest", "n_bytes", "bucket", "weight", "stats", "meta"])
 
-    got = rows.mapInArrow(run, "id long, y int, bucket binary, weight binary, stats binary, meta binary").collect()
-    got.sort(key=lambda r: (r.id, r.y, r.stats))
+    got = labelled_rows(docs, labels, label_col, held_out, run, "bucket binary, weight binary, stats binary, meta binary", metadata, max_rows, max_bytes)
     flat = lambda name, kind: np.frombuffer(b"".join(r[name] for r in got), kind)
     size = np.array([len(r.bucket) // 2 for r in got], np.int64)
     f = Features(flat("stats", "<f8").reshape(-1, _N), np.repeat(np.arange(len(got)), size), flat("bucket", "<u2").astype(np.int64), flat("weight", "<f4"))
