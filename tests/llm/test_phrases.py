@@ -54,16 +54,15 @@ def collected(df):
 def test_against_plain(spark, seed, min_count, percent, top):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "lang string, text string")
-    got = collected(p.collocations(df, min_count=min_count, percent=percent, top=top))
+    got = collected(p.collocations(df, min_count=min_count, percent=percent, top=top, bits=18))
     assert got == plain(rows, min_count, percent, top) and len(got) > 10
 
 
-def test_narrow_sketch_and_sql(spark, monkeypatch):
+def test_narrow_sketch_and_sql(spark):
     """A sketch in which all n-grams collide changes nothing; the SQL says the same."""
     rows = corpus(4)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
-    monkeypatch.setattr(p, "MIN_BITS", 3)
-    got = collected(p.collocations(df, min_count=6, max_bits=3))
+    got = collected(p.collocations(df, min_count=6, bits=3))
     con = duckdb.connect()
     con.register("documents", df.toArrow())
     cursor = con.execute(p.oracle_sql(min_count=6))

@@ -4,9 +4,9 @@ A-Z are lower-cased; BREAKS cut a text into pieces, spaces and tabs a piece into
 within a piece. All counts are per language (null: `und`). First each task adds its n-grams to a sketch of DEPTH rows; tasks'
 sketches are merged block by block in Spark and clipped at min_count, so the merged one takes DEPTH bytes a column. A cell is never less than the
 count of any n-gram in it: what stays below min_count can't be frequent, and is left out of the second pass, which counts all
-others exactly, as strings, by a partial and a final aggregation. The sketch's width follows from the bytes of text and min_count, up to
-2**MAX_BITS columns, which bounds what is broadcast (64 MB) and what a task holds (256 MB); beyond it (a gigabyte of text at a count of 30)
-more infrequent n-grams reach the second pass, and the result stays the same. For more, give more bits or a min_count that grows with the corpus.
+others exactly, as strings, by a partial and a final aggregation. A sketch has 2**BITS columns at every size of input, which bounds what is
+broadcast (64 MB) and what a task holds (256 MB), and makes what tasks send grow with their number. Over about min_count * 2**BITS bytes of text (a gigabyte
+at a count of 30) more infrequent n-grams reach the second pass, and the result stays the same: for more give more bits, or a min_count that grows with the corpus.
 
 A candidate of 2 or more words with a >= min_count is cut after its first k words into parts of l and r occurrences and scores
 floor(SCALE * a / (l + r)); its lowest cut counts, ties to the smallest k. Parts of a frequent phrase are frequent, so the counted ones suffice. A candidate
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _Tables, discard, mix, rows_of, settle, span_hashes, text_slices
+from .common import _Tables, mix, rows_of, settle, span_hashes, text_slices
 
 MIN_COUNT, MAX_WORDS, PERCENT, SCALE, TOP = 30, 4, 80, 2_000_000, 2_000
-MIN_BITS, MAX_BITS, DEPTH = 16, 25, 2
+BITS, DEPTH = 25, 2
 STRETCH = 1 << 20
 #: Cells of a sketch that travel as one row.
 BLOCK = 1 << 16
@@ -145,7 +145,7 @@ def _cell_type(min_count: int):
     return next(t for t in (np.uint8, np.uint16, np.uint32) if min_count <= np.iinfo(t).max)
 
 
-def sketch(docs: DataFrame, bits: int, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, depth: int = DEPTH) -> np.ndarray:
+def sketch(docs: DataFrame, bits: int = BITS, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, depth: int = DEPTH) -> np.ndarray:
     """The merged sketch of docs(lang, text): (depth, 2**bits) counts, never too small, clipped at min_count."""
     kind, block = _cell_type(min_count), min(BLOCK, 1 << bits)
 
@@ -154,51 +154,44 @@ def sketch(docs: DataFrame, bits: int, min_count: int = MIN_COUNT, max_words: in
         for grams, _ in _grams(batches, max_words):
             for row, at in zip(cells, columns(grams.hash, bits, depth)):
                 np.add.at(row, at, np.uint32(1))
-        flat, rows = cells.reshape(-1, block), []
-        for k, own in enumerate(flat):
-            some = np.flatnonzero(own)
-            if not len(some):
-                continue
-            few = np.minimum(own[some], min_count).astype(kind)
-            sparse = 2 * len(some) + few.nbytes < block * few.itemsize
-            rows.append((k, some.astype(np.uint16).tobytes(), few.tobytes()) if sparse else (k, None, np.minimum(own, min_count).astype(kind).tobytes()))
-            if len(rows) == 64:
-                yield _blocks(rows)
-                rows = []
-        if rows:
-            yield _blocks(rows)
+        yield from _blocks((k, np.minimum(own, min_count).astype(kind)) for k, own in enumerate(cells.reshape(-1, block)) if own.any())
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, at, few in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "counts"))):
+            for k, few in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
                 own = sums.setdefault(k, np.zeros(block, np.uint32))
-                if at is None:
-                    own += np.frombuffer(few, kind)
-                else:
-                    own[np.frombuffer(at, np.uint16)] += np.frombuffer(few, kind)
-                np.minimum(own, min_count, out=own)
-        for k, own in sums.items():
-            yield _blocks([(k, None, own.astype(kind).tobytes())])
-
-    shape = "block int, at binary, counts binary"
-    parts = _texts(docs).mapInArrow(count, shape)
-    merged = parts.repartition("block").mapInArrow(merge, shape).select("block", "counts").toArrow()
+                np.minimum(own + np.frombuffer(zlib.decompress(few), kind), min_count, out=own)
+        yield from _blocks((k, own.astype(kind)) for k, own in sums.items())
+
+    shape = "block int, counts binary"
+    merged = _texts(docs).mapInArrow(count, shape).repartition("block").mapInArrow(merge, shape).toArrow()
     out = np.zeros(((depth << bits) // block, block), kind)
     for k, few in zip(merged.column("block").to_pylist(), merged.column("counts").to_pylist()):
-        out[k] = np.frombuffer(few, kind)
+        out[k] = np.frombuffer(zlib.decompress(few), kind)
     return out.reshape(depth, -1)
 
 
-def _blocks(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "at", "counts"])
+def _blocks(cells: Iterator[tuple[int, np.ndarray]], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Blocks of a sketch as rows; counts are small and mostly 0, so runs and code lengths take a few bits a cell."""
+    held: list[tuple[int, bytes]] = []
+    for k, own in cells:
+        coder = zlib.compressobj(1, strategy=zlib.Z_RLE)
+        held.append((k, coder.compress(own.tobytes()) + coder.flush()))
+        if len(held) == rows:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "counts"])
 
 
-def counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, bits: int = BITS) -> DataFrame:
     """lang, phrase, words, f of every n-gram with f >= min_count, and a row of words = 0 with the number of all words for each language. Written."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(MIN_BITS, min(max_bits, int(size / min_count).bit_length()))
     known = spark.sparkContext.broadcast(sketch(docs, bits, min_count, max_words))
 
     def count(batches):
@@ -244,9 +237,9 @@ def subsumed(counted: DataFrame) -> DataFrame:
     return counted.where("words >= 3").select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, percent: int = PERCENT, top: int = TOP, scale: int = SCALE, max_bits: int = MAX_BITS) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, percent: int = PERCENT, top: int = TOP, scale: int = SCALE, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language of docs(lang, text)."""
-    counted = counts(docs, min_count, max_words, max_bits)
+    counted = counts(docs, min_count, max_words, bits)
     inside = subsumed(counted).withColumnsRenamed({"lang": "__lang", "phrase": "__phrase"})
     kept = scored(counted, scale).join(inside, F.expr("lang = __lang and phrase = __phrase"), "left")
     kept = kept.where(F.expr(f"longest is null or 100 * cast(longest as decimal(20, 0)) < {percent} * cast(a as decimal(20, 0))")).drop("__lang", "__phrase", "longest")
