@@ -1,14 +1,14 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame and SQL functions only.
 
 A candidate is, in this order: what is assigned to a name with a word of ASSIGNED (`db_password = "..."`, `Authorization: Bearer ...`), MIN_VALUE
-characters or more; the password of a URL; a private key block; a JSON web token; a whole run of at least MIN_CHARS of [A-Za-z0-9_+/-], with
-up to two = behind it, that holds a digit. Its features: length; shares of digits, capitals, small letters and signs; runs of one kind of character,
+characters or more, in quotes up to the closing quote on the line; the password of a URL; a private key block; a JSON web token; a whole run of at least
+MIN_CHARS of [A-Za-z0-9_+/-], with up to two = behind it, that holds a digit or a capital behind a small letter. None has an upper bound. Its features: length; shares of digits, capitals, small letters and signs; runs of one kind of character,
 that is transitions; distinct characters; kinds of characters; its shape (hexadecimal, decimal, UUID, key block or web token, issuer's
 prefix, placeholder, piece of code); how much of it dictionary words cover; the words of both kinds before and after it; an assignment in front; a
 path around it or in the path column. Lengths count up to 512 and distinct characters are held against 64 at most; the candidate itself is never cut.
 
 The forest is trained on a table of labelled findings (candidate, before, after, path, label), which `scan` and
-`redact` take as `findings`; without one, on `labelled_findings`, TRAIN_ROWS made findings whose labels are known by construction.
+`redact` take as `findings`, of any size; without one, once in an application on `labelled_findings`, TRAIN_ROWS made findings whose labels are known by construction.
 
 Texts are whole; null and empty ones have no findings. Findings carry their place (start_at, in code points from
 0), so equal candidates of one text stay apart; repeated rows repeat their findings, null ids are kept. An empty
@@ -19,17 +19,20 @@ proportion to its length and findings. The control characters U+0001 and U+0002
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 MIN_CHARS, MIN_VALUE = 16, 6
-AROUND = 48
+AROUND = 96
 TRAIN_ROWS = 3_000
 TREES, DEPTH, SEED = 24, 7, 11
+#: Rows of labelled findings that one task of the fit reads.
+FIT_ROWS = 100_000
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -37,11 +40,13 @@ _RUN = "[A-Za-z0-9_+/\\-]"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 #: Names that secrets are assigned to, as parts of patterns.
 ASSIGNED = "token secret passwo?r?d passwd pwd passphrase api[_-]?key access[_-]?key auth bearer credential private[_-]?key signing[_-]?key session[_-]?key encryption[_-]?key".split()
-_BLOCK = r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s]*+-(?!-)){0,8}[A-Za-z0-9+/=:,\s]*+-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----"
+# Loops are possessive and without bounds, so each text is read in time in proportion to its length and no long finding is lost.
+_BLOCK = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:[^\-]++|-(?!----))*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 _TOKEN = r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]*+)?"
-_NAME = r"(?i:(?<![a-z])(?:" + "|".join(ASSIGNED) + r")[a-z0-9_\-]{0,24}+)[\"'`\]]{0,2}\s{0,3}+(?::=|=>|[:=])\s{0,3}+(?i:(?:bearer|basic)\s{1,2})?+[\"'`]?+"
-_VALUE = rf"(?!-----BEGIN)[^\s\"'`<>(){{}}\[\],;]{{{MIN_VALUE},}}+(?<![.:])|(?!-----BEGIN)[^\s\"'`<>(){{}}\[\],;]{{{MIN_VALUE - 1},}}[^\s\"'`<>(){{}}\[\],;.:]"
-CANDIDATE = rf"({_NAME})({_VALUE})|(://[^\s/:@\"'<>]{{1,64}}+:)([^\s/@\"'<>]{{3,256}}+)(?=@)|({_BLOCK})|({_TOKEN})|((?<!{_RUN})(?=[A-Za-z_+/\-]*+[0-9]){_RUN}{{{MIN_CHARS},}}+={{0,2}})"
+_NAME = r"(?i:(?<![a-z0-9_\-])(?=[a-z0-9_\-]*?(?<![a-z])(?:" + "|".join(ASSIGNED) + r"))[a-z0-9_\-]++)[\"'`\]]{0,2}\s*+(?::=|=>|[:=])\s*+(?i:(?:bearer|basic)\s++)?+[\"'`]?+"
+_QUOTED = "|".join(rf"(?<={q})(?!-----BEGIN)[^{q}\n]{{{MIN_VALUE},}}+(?={q})" for q in "\"'`")
+_VALUE = rf"{_QUOTED}|(?!-----BEGIN)[^\s\"'`<>(){{}}\[\],;]{{{MIN_VALUE},}}+(?<![.:])|(?!-----BEGIN)[^\s\"'`<>(){{}}\[\],;]{{{MIN_VALUE - 1},}}[^\s\"'`<>(){{}}\[\],;.:]"
+CANDIDATE = rf"({_NAME})({_VALUE})|(://[^\s/:@\"'<>]++:)([^\s/@\"'<>]{{3,}}+)(?=@)|({_BLOCK})|({_TOKEN})|((?<!{_RUN})(?={_RUN}*?(?:[0-9]|[a-z][A-Z])){_RUN}{{{MIN_CHARS},}}+={{0,2}})"
 _MARKED = f"$1$3{_OPEN}$2$4$5$6$7{_CLOSE}"
 #: Words that stand near secrets, words that stand near what merely looks like one, and words of which names are made. Fixed values.
 NEAR = "token secret password passwd pwd passphrase apikey api_key api-key api key access_key accesskey auth authorization bearer credential credentials private_key client_secret signing_key session".split()
@@ -139,81 +144,100 @@ def _findings(cut: DataFrame) -> DataFrame:
     return rows.select("doc_id", "place", F.col("f.start_at").alias("start_at"), F.col("f.candidate").alias("candidate"), before.alias("before"), F.col("f.after").alias("after"), "path")
 
 
-def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
-    """n made findings with labels: random keys where keys stand, and what is mistaken for them. The same for every call."""
-    r = lambda tag: F.xxhash64("id", F.lit(tag))
-    pick = lambda tag, values: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(r(tag), F.lit(len(values))).cast("int") + 1)
-    hexa = F.sha2(F.concat(F.col("id").cast("string"), F.lit("h")), 256)
-    upper = F.pmod(r("up"), F.lit(8)) == 0
-    digest = F.when(upper, F.upper(hexa)).otherwise(hexa)
-    base = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit("b")), 384))), "=+$", "")
-    base = F.when(~base.rlike("^.{0,19}[0-9]"), F.concat(F.lit("7"), base)).otherwise(base)
-    word = lambda t: pick(t, DICTIONARY)
-    slug = F.concat_ws("-", word("a"), word("b"), word("c"), word("d"), F.pmod(r("year"), F.lit(3000)).cast("string"))
-    camel = F.concat(F.initcap(word("e")), F.initcap(word("f")), F.initcap(word("g")), F.initcap(word("h")), F.pmod(r("v"), F.lit(90)).cast("string"))
-    snake = F.concat_ws("_", word("i"), word("j"), word("k"), F.lit("v2"), word("l"))
-    digits = F.left(F.regexp_replace(F.concat(F.abs(r("n1")).cast("string"), F.abs(r("n2")).cast("string")), "^0", "4"), F.lit(12) + F.pmod(r("len"), F.lit(9)).cast("int") + 4)
-    uuid = F.regexp_replace(F.left(hexa, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    filler = F.concat(pick("fill", ["xxxxxxxxxxxxxxxxxxxx1", "0000000000000000000000", "1234567890123456789012", "aaaaaaaaaaaaaaaaaaa111", "abcdef0123456789abcdef"]), F.pmod(r("z"), F.lit(9)).cast("string"))
-    sized = lambda c: F.left(c, F.element_at(F.array(*[F.lit(x) for x in (20, 24, 32, 40, 40, 40, 48, 64)]), F.pmod(r("size"), F.lit(8)).cast("int") + 1))
-    issued = F.concat(pick("prefix", ["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG7", "npm_"]), F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(32)))
-    alone = F.concat(pick("access", ["AKIA", "ASIA"]), F.upper(F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(16))))
-    parted = F.concat(pick("app", ["xoxb-", "xoxp-"]), F.left(F.lpad(F.abs(r("n3")).cast("string"), 11, "4"), F.lit(11)), F.lit("-"), F.left(F.lpad(F.abs(r("n4")).cast("string"), 12, "7"), F.lit(12)), F.lit("-"), F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(24)))
-    marked = F.concat(pick("prefix", ["ghp_", "gho_", "sk_live_", "glpat-", "npm_", "hf_", "pypi-", "ghs_"]), F.left(hexa, F.lit(20)), F.left(F.regexp_replace(base, "[+/]", "x"), F.lit(16)))
-    prefixed = F.when(F.pmod(r("issuer"), F.lit(4)) == 0, alone).when(F.pmod(r("issuer"), F.lit(4)) == 1, parted).when(F.pmod(r("issuer"), F.lit(4)) == 2, marked).otherwise(issued)
-    lead = F.concat(word("w1"), F.lit(" "), word("w2"), F.lit(" "), word("w3"), F.lit(" "))
-    key = pick("key", ["token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "TOKEN", "api-key", "credential", "private_key", "db_password", "SECRET_KEY", "passwd", "pwd", "passphrase", "auth"])
-    far = pick("far", ["sha256", "commit", "checksum", "md5", "digest", "uuid", "etag", "build", "revision", "integrity", "hash", "order", "tracking"])
-    sign = pick("sign", [" = ", "=", ": ", " := ", " => ", "="])
-    quote = pick("quote", ['"', "'", "", ""])
-    trail = F.concat(F.lit(" "), word("t1"), F.lit(" "), word("t2"))
-    number = lambda t, n: F.pmod(r(t), F.lit(n)).cast("string")
-    mark = lambda t: pick(t, ["!", "@", "#", "$", "&", "_", ".", "-", "%", "*", "?", "+"])
-    plain = F.regexp_replace(base, "[+/]", "x")
-    between = lambda c, low, high: F.left(c, F.lit(low) + F.pmod(r("cut"), F.lit(high - low + 1)).cast("int"))
-    leet = F.when(F.pmod(r("leet"), F.lit(2)) == 0, F.translate(word("m"), "aeos", "4305")).otherwise(F.initcap(word("m")))
-    human = F.array(F.concat(leet, mark("s1"), number("d1", 9999), F.initcap(word("n"))), F.concat(leet, number("d2", 99), mark("s2"), F.initcap(F.left(word("n"), F.lit(2))), number("d3", 99)), F.concat(mark("s3"), word("n"), F.initcap(leet), mark("s4"), number("d4", 999)))
-    password = F.rpad(F.element_at(human, F.pmod(r("human"), F.lit(3)).cast("int") + 1), 8, "9!")
-    web = F.concat(F.lit("eyJ"), F.left(plain, F.lit(33)), F.lit("."), F.reverse(plain), F.lit("."), F.left(F.reverse(plain), F.lit(43)))
-    kind_of_key = pick("pem", ["", "RSA ", "EC ", "OPENSSH "])
-    block = F.concat(F.lit("-----BEGIN "), kind_of_key, F.lit("PRIVATE KEY-----\n"), base, F.lit("\n"), F.reverse(base), F.lit("\n"), base, F.lit("\n-----END "), kind_of_key, F.lit("PRIVATE KEY-----"))
-    letters = between(F.regexp_replace(F.concat(base, F.reverse(base)), "[^A-Za-z]", ""), 16, 40)
-    url = F.concat(pick("scheme", ["postgres", "mysql", "https", "amqp", "redis"]), F.lit("://"), word("u"), F.lit(":"))
-    holder = pick("holder", ["changeme", "your_api_key_here", "xxxxxxxx", "********", "example-token", "REPLACE_ME_NOW", "placeholder", "dummy_secret", "<password>", "required", "undefined", "string", "password", "secret", "test-token", "todo-set-this", "your-password"])
-    code = pick("code", ["os.environ", "process.env.TOKEN", "self.token", "config.password", "getToken()", "request.form.password", "settings.SECRET_KEY", "${TOKEN}", "$PASSWORD", "args.password", "user.password", "data.token", "form.password.value", "https://example.org/login", "/etc/app/secret.txt", "./keys/id", "function", "input.value"])
-    prose = F.when(F.pmod(r("long"), F.lit(2)) == 0, F.concat(word("o"), word("q"))).otherwise(F.rpad(word("o"), 6, "ing"))
-    positive = [
-        (3, F.concat(sized(digest)), "near"), (2, sized(base), "near"), (8, prefixed, "bare"), (2, prefixed, "near"), (1, web, "near"), (1, web, "bare"), (1, block, "bare"),
-        (1, password, "url"), (3, password, "near"), (1, letters, "near"), (2, between(plain, 8, 18), "near"), (1, between(plain, 8, 30), "url"),
+def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
+    """n made findings with labels: random keys where keys stand, and what is mistaken for them. The same for every call; a bounded table that is written."""
+    r = random.Random(seed)
+    low, up, num, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    of = lambda chars, a, b=None: "".join(r.choices(chars, k=r.randint(a, b or a)))
+    word = lambda: r.choice(DICTIONARY)
+    coined = lambda: "".join(r.choice("bcdfglmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    plain, base = low + up + num, low + up + num + "+/"
+    cased = lambda text: text.upper() if r.random() < 0.12 else text
+    digest = lambda: cased(of(hexa, r.choice((20, 24, 32, 40, 40, 40, 48, 64))))
+    key64 = lambda: of(base, r.choice((20, 24, 32, 40, 40, 48, 64))) + r.choice(("", "", "=", "=="))
+    issued = lambda: r.choice((
+        lambda: r.choice(("AKIA", "ASIA")) + of(up + num, 16),
+        lambda: f"{r.choice(('xoxb-', 'xoxp-'))}{of(num, 11)}-{of(num, 12)}-{of(plain, 24)}",
+        lambda: r.choice(("ghp_", "gho_", "sk_live_", "glpat-", "npm_", "hf_", "pypi-", "ghs_")) + of(plain, 36),
+        lambda: r.choice(("AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG7", "npm_")) + of(plain, 32),
+    ))()
+    leet = lambda: word().translate(str.maketrans("aeos", "4305")) if r.random() < 0.5 else word().capitalize()
+    mark = lambda: r.choice("!@#$&_.-%*?+")
+    human = lambda: r.choice((f"{leet()}{mark()}{of(num, 1, 4)}{word().capitalize()}", f"{leet()}{of(num, 1, 2)}{mark()}{word()[:2].capitalize()}{of(num, 1, 2)}", f"{mark()}{word()}{leet().capitalize()}{mark()}{of(num, 1, 3)}")).ljust(8, "9")
+    phrase = lambda: " ".join(r.choice((coined, coined, word))() for _ in range(r.randint(4, 6)))
+    web = lambda: f"eyJ{of(plain, 33)}.{of(plain, 50)}.{of(plain + '_-', 43)}"
+
+    def block() -> str:
+        kind = r.choice(("", "RSA ", "EC ", "OPENSSH "))
+        head = "" if r.random() < 0.7 else f"Comment: {word()}.{word()}\n"
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{head}" + "".join(of(base, 64) + "\n" for _ in range(r.randint(2, 5))) + f"-----END {kind}PRIVATE KEY-----"
+
+    uuid = lambda: "-".join(of(hexa, k) for k in (8, 4, 4, 4, 12))
+    digits = lambda: r.choice("123456789") + of(num, 15, 23)
+    slug = lambda: "-".join(word() for _ in range(4)) + "-" + of(num, 1, 4)
+    camel = lambda: "".join(word().capitalize() for _ in range(4)) + of(num, 1, 2)
+    mixed = lambda: word() + "".join(word().capitalize() for _ in range(r.randint(3, 6)))
+    pathlike = lambda: "/".join([*(word() for _ in range(3)), "".join(word().capitalize() for _ in range(2))])
+    filler = lambda: r.choice(("xxxxxxxxxxxxxxxxxxxx1", "0000000000000000000000", "1234567890123456789012", "aaaaaaaaaaaaaaaaaaa111", "abcdef0123456789abcdef")) + of(num, 1)
+    holder = lambda: r.choice(("changeme", "your_api_key_here", "xxxxxxxx", "********", "example-token", "REPLACE_ME_NOW", "placeholder", "dummy_secret", "<password>", "required", "undefined", "string", "password", "secret", "test-token", "todo-set-this", "your-password"))
+    code = lambda: r.choice(("os.environ", "process.env.TOKEN", "self.token", "config.password", "getToken()", "request.form.password", "settings.SECRET_KEY", "${TOKEN}", "$PASSWORD", "args.password", "user.password", "data.token", "form.password.value", "https://example.org/login", "/etc/app/secret.txt", "./keys/id", "function", "input.value"))
+    prose = lambda: r.choice((word() + word(), word().ljust(6, "g")))
+    says = lambda: r.choice(("must be ", "is the ", "enter your ", "should not be ", "please type the ")) + " ".join(word() for _ in range(r.randint(2, 5)))
+    dotted = lambda: f"{word()}.{word()}.{word()}"
+    secrets = [  # how often, what, where
+        (3, digest, "near"), (2, key64, "near"), (8, issued, "bare"), (2, issued, "near"), (1, web, "near"), (1, web, "bare"), (1, block, "bare"), (1, human, "url"), (3, human, "near"),
+        (2, lambda: of(low + up, 16, 40), "near"), (1, lambda: of(low, 8, 26) + of(up, 4, 16), "near"), (1, lambda: of(low + up, 24, 44), "bare"), (3, lambda: leet() + of(num, 2, 4), "url"), (2, lambda: of(plain, 8, 18), "near"), (1, lambda: of(plain, 8, 30), "url"), (1, lambda: of(plain, 64, 320), "url"), (1, phrase, "quoted"),
     ]
-    negative = [
-        (2, sized(digest), "far"), (2, uuid, "far"), (1, uuid, "none"), (2, digits, "none"), (1, slug, "none"), (1, camel, "none"), (1, snake, "none"), (1, filler, "near"), (1, F.concat_ws("/", word("p1"), word("p2"), word("p3"), digits), "none"),
-        (2, prose, "near"), (2, holder, "near"), (2, code, "near"), (1, slug, "near"), (1, F.concat_ws(".", word("p1"), word("p2"), word("p3")), "near"), (1, camel, "near"),
+    others = [
+        (2, digest, "far"), (2, uuid, "far"), (1, uuid, "none"), (2, digits, "none"), (1, slug, "none"), (1, camel, "none"), (2, mixed, "none"), (1, pathlike, "none"), (1, lambda: "_".join((word(), word(), word(), "v2", word())), "none"), (1, filler, "near"),
+        (1, lambda: "/".join((word(), word(), word(), digits())), "none"), (2, prose, "near"), (2, holder, "near"), (2, code, "near"), (1, slug, "near"), (1, dotted, "near"), (1, camel, "near"), (1, mixed, "near"), (1, says, "quoted"),
     ]
-    forms = [(n, c, where, y) for own, y in ((positive, 1.0), (negative, 0.0)) for n, c, where in own]
-    dealt = [k for k, (n, *_) in enumerate(forms) for _ in range(n)]
-    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("form") + 1)
-    choose = lambda values, c: reduce(lambda case, x: case.when(c == x[0], x[1]), list(values.items())[1:], F.when(c == next(iter(values)), next(iter(values.values()))))
-    rows = spark.range(n).withColumn("form", F.element_at(F.array(*[F.lit(k) for k in dealt]), F.pmod(F.col("id"), F.lit(len(dealt))).cast("int") + 1))
-    where = of([w for _, _, w, _ in forms])
-    before = {"near": F.concat(lead, key, sign, quote), "far": F.concat(lead, far, sign, quote), "url": F.concat(lead, url), "bare": lead, "none": lead}
-    after = {"near": F.concat(quote, trail), "far": F.concat(quote, trail), "url": F.concat(F.lit("@"), word("h"), F.lit("."), word("t1")), "bare": trail, "none": trail}
-    path = pick("path", ["src0", "src1", "src2", "config/app.yml", "tests/data/sample.txt", "docs/example.md"])
-    candidate = choose({k: c for k, (_, c, _, _) in enumerate(forms)}, F.col("form"))
-    return rows.select(candidate.alias("candidate"), choose(before, where).alias("before"), choose(after, where).alias("after"), path.alias("path"), of([y for *_, y in forms]).alias("label"))
+    dealt = [(make, where, y) for own, y in ((secrets, 1.0), (others, 0.0)) for k, make, where in own for _ in range(k)]
+    keys = "token secret password api_key auth_token access_key client_secret TOKEN api-key credential private_key db_password SECRET_KEY passwd pwd passphrase auth".split()
+    apart = "sha256 commit checksum md5 digest uuid etag build revision integrity hash order tracking".split()
+    rows = []
+    for i in range(n):
+        make, where, y = dealt[i % len(dealt)]
+        quote = r.choice("\"'") if where == "quoted" else r.choice(('"', "'", "", ""))
+        lead, trail = f"{word()} {word()} {word()} ", f" {word()} {word()}"
+        key = r.choice(apart if where == "far" else keys)
+        if where in ("near", "far", "quoted"):
+            before, after = f"{lead}{key}{'' if r.random() < 0.8 else '_' + word() + '_' + word()}{r.choice((' = ', '=', ': ', ' := ', ' => ', '='))}{quote}", quote + trail
+        elif where == "url":
+            before, after = f"{lead}{r.choice(('postgres', 'mysql', 'https', 'amqp', 'redis'))}://{word()}:", f"@{word()}.{word()}"
+        else:
+            before, after = lead, trail
+        rows.append((make(), before[-AROUND:], after, r.choice(("src0", "src1", "src2", "config/app.yml", "tests/data/sample.txt", "docs/example.md")), y))
+    return spark.createDataFrame(rows, "candidate string, before string, after string, path string, label double")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
-    """A random forest (JVM) on the features of labelled findings; one partition, so that the same findings give the same forest.
+    """A random forest (JVM) on the features of labelled findings; rows are dealt and ordered by their values, so that the same findings give the same forest.
 
     The features are written first: the passes of the fit read them, and don't plan or make them again.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = settle(with_features(findings).select(*FEATURES, "label").coalesce(1), "labelled-features").coalesce(1)
+    made = settle(with_features(findings).select(*FEATURES, "label"), "labelled-features")
+    parts = 1 + made.count() // FIT_ROWS
+    rows = made.repartition(parts, *FEATURES).sortWithinPartitions(*FEATURES, "label")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(ready)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(ready)
+    discard(made)
+    return forest
+
+
+_FORESTS: dict[str, object] = {}
+
+
+def own_forest(spark: SparkSession):
+    """The forest of `labelled_findings`, fitted once in an application: its rows are made by a rule and never change."""
+    app = spark.sparkContext.applicationId
+    if app not in _FORESTS:
+        _FORESTS.clear()
+        _FORESTS[app] = train(labelled_findings(spark))
+    return _FORESTS[app]
 
 
 def score(findings: DataFrame, forest) -> DataFrame:
@@ -232,7 +256,7 @@ def scan(docs: DataFrame, forest=None, threshold: float = THRESHOLD, path: Colum
 
 def _judged(found: DataFrame, forest, threshold: float, labelled: DataFrame | None) -> DataFrame:
     if forest is None:
-        forest = train(labelled if labelled is not None else labelled_findings(found.sparkSession))
+        forest = train(labelled) if labelled is not None else own_forest(found.sparkSession)
     return score(found, forest).withColumn("secret", F.col("score") >= threshold)
 
 
@@ -241,7 +265,7 @@ def redact(docs: DataFrame, forest=None, threshold: float = THRESHOLD, path: Col
 
     Texts meet their verdicts by a digest of the text and its path, so null and repeated ids do no harm; texts without a candidate aren't moved.
     """
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    has = F.coalesce(F.translate("text", _OPEN + _CLOSE, "  ").rlike(CANDIDATE), F.lit(False))
     own = (path if path is not None else F.lit(None)).cast("string")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     some = docs.where(has).select(whole.alias("row"), F.md5(F.concat_ws(_OPEN, "text", own)).alias("key"), own.alias("path"), _parts(F.col("text")).alias("parts"))
