@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import cleaning, grammar, models, prep, sampling, stats
+from textloom.operators import boosting, cleaning, grammar, models, prep, sampling, stats
 from textloom.operators.ordering import quantiles
 from textloom.plans import QUERIES
 from textloom.plans import statistics as plans
@@ -347,3 +347,80 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared_dir(at("hdfs:/a/", "yarn")) == "hdfs:/a"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(at(None, "spark://host:7077"))
+
+
+def plain_boosting(bins, y, w, base, p, columns_of, drawn):
+    """Best-first trees on given bins in numpy: the margins, and each feature's gain and splits."""
+    margin, gain_of, split_of = np.full(len(y), base), np.zeros(bins.shape[1]), np.zeros(bins.shape[1], int)
+    score = lambda g, h: g * g / np.maximum(h + p.l2, 1e-300)
+
+    def best(rows, g, h, columns, depth):
+        if p.depth and depth >= p.depth or not len(rows):
+            return None
+        found = None
+        for f in columns:
+            b = bins[rows, f]
+            sums = [np.bincount(b, weights=v, minlength=256) for v in (g[rows], h[rows], np.ones(len(rows)))]
+            for side in (False, True):
+                if side and not sums[2][0]:
+                    continue
+                left = [np.cumsum(s[1:])[:-1] + (s[0] if side else 0) for s in sums]
+                right = [s.sum() - x for s, x in zip(sums, left)]
+                gain = (score(left[0], left[1]) + score(right[0], right[1]) - score(sums[0].sum(), sums[1].sum())) / 2
+                ok = (np.minimum(left[2], right[2]) >= max(1, p.min_rows)) & (np.minimum(left[1], right[1]) >= p.min_hessian) & (sums[2][1:-1] > 0)
+                gain = np.where(ok, gain, -np.inf)
+                k = int(gain.argmax())
+                if gain[k] > p.min_gain and (found is None or gain[k] > found[0] * (1 + 1e-9)):
+                    found = (float(gain[k]), f, np.where(b == 0, side, b <= k + 1))
+        return found
+
+    for t in range(p.rounds):
+        chance = 1 / (1 + np.exp(-margin))
+        g, h = w * (chance - y), w * chance * (1 - chance)
+        take, columns = drawn(t), columns_of(t)
+        used = [(np.flatnonzero(take), np.arange(len(y)), 0)]
+        leaves = [(*used[0], best(used[0][0], g, h, columns, 0))]
+        while not p.leaves or len(leaves) < p.leaves:
+            k = max((i for i, x in enumerate(leaves) if x[3]), key=lambda i: leaves[i][3][0], default=None)
+            if k is None:
+                break
+            rows, every, depth, (gain, f, _) = leaves.pop(k)
+            gain_of[f] += gain
+            split_of[f] += 1
+            again = best(rows, g, h, [f], 0)  # the same cut, to be laid on all rows
+            b = bins[rows, f]
+            cut = b[again[2] & (b > 0)].max(initial=0)
+            side = bool(again[2][b == 0].any())
+            left = np.where(bins[:, f] == 0, side, bins[:, f] <= cut)
+            for m in (left, ~left):
+                own, whole = rows[m[rows]], every[m[every]]
+                leaves.append((own, whole, depth + 1, best(own, g, h, columns, depth + 1)))
+        for rows, every, _, _ in leaves:
+            margin[every] -= p.rate * g[rows].sum() / max(h[rows].sum() + p.l2, 1e-300)
+    return margin, gain_of, split_of
+
+
+@pytest.mark.parametrize("name", ["leaf_wise_boosting", "second_order_boosting"])
+def test_boosting_queries(spark, name):
+    p = {"leaf_wise_boosting": plans.LEAF_WISE, "second_order_boosting": plans.SECOND_ORDER}[name]
+    got = (QUERIES["leaf_wise_boosting"] if name == "leaf_wise_boosting" else QUERIES["second_order_boosting"])(spark, FOLDER).collect()
+    train, val = plans.gappy(spark, FOLDER)
+    edges = boosting.find_edges(train, plans.FEATURES)
+    rows = [d.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(plans.FEATURES)], F.col("y").cast("double").alias("y")).withColumn("key", F.xxhash64("y", *[f"f{i}" for i in range(len(plans.FEATURES))])).toPandas() for d in (train, val)]
+    both = [boosting.quantise(d[[f"f{i}" for i in range(len(plans.FEATURES))]].to_numpy(float), edges) for d in rows]
+    y, n = rows[0]["y"].to_numpy(), len(rows[0])
+    pos = y.sum()
+    pair = {"balanced": (n / (2 * (n - pos)), n / (2 * pos)), "positive": (1.0, (n - pos) / pos)}[p.weights]
+    w = np.where(y == 1, pair[1], pair[0])
+    base = math.log(pair[1] * pos / (pair[0] * (n - pos)))
+    columns_of = lambda t: sorted(np.random.default_rng([p.seed, t]).permutation(len(plans.FEATURES))[: max(1, round(p.columns * len(plans.FEATURES)))].tolist())
+    drawn = lambda t: boosting._drawn(rows[0]["key"].to_numpy(), t, p)
+    trees = got[0].trees
+    margin, gain, splits = plain_boosting(both[0], y, w, base, boosting.replace(p, rounds=trees), columns_of, drawn)
+    assert {r.feature: r.splits for r in got} == dict(zip(plans.FEATURES, splits.tolist()))
+    assert {r.feature: r.gain for r in got} == {c: pytest.approx(g, rel=1e-5, abs=1e-4) for c, g in zip(plans.FEATURES, gain)}
+    assert [r.gain for r in got] == sorted((r.gain for r in got), reverse=True) and sum(r.percent for r in got) == pytest.approx(100, abs=1e-3)
+    model = boosting.fit(train, plans.FEATURES, "y", boosting.replace(p, rounds=trees))
+    scores = boosting.predict(model, train).select("score").toPandas()["score"].to_numpy()
+    assert np.sort(scores) == pytest.approx(np.sort(1 / (1 + np.exp(-margin))), abs=1e-7)
+    assert 0.7 < got[0].validation_auc < 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -114,7 +114,19 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, max_leve
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    return df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first().asDict() if columns else {}
+    """Distinct values of each column, exactly up to two, and 3 for more: extremes tell one from more, values between them two from more.
+
+    Two aggregates without an expanded row for each column. NULL is no value.
+    """
+    if not columns:
+        return {}
+    row = df.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("low", F.min), ("high", F.max))]).first()
+    wide = [i for i in range(len(columns)) if row[f"low{i}"] is not None and row[f"low{i}"] != row[f"high{i}"]]
+    between = {}
+    if wide:
+        inner = lambda i: F.count_if((F.col(f"`{columns[i]}`") != F.lit(row[f"low{i}"])) & (F.col(f"`{columns[i]}`") != F.lit(row[f"high{i}"])))
+        between = df.agg(*[inner(i).alias(f"n{i}") for i in wide]).first().asDict()
+    return {c: 0 if row[f"low{i}"] is None else 1 if i not in wide else 3 if between[f"n{i}"] else 2 for i, c in enumerate(columns)}
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -139,17 +151,21 @@ def scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
 
 def highly_correlated(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:
     """Columns that an earlier column, dropped or not, correlates with beyond the limit."""
-    if len(columns) < 2:
-        return []
-    pairs = [(i, j) for j in range(len(columns)) for i in range(j)]
-    row = df.agg(*[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    return [c for j, c in enumerate(columns) if any(abs(row[f"c{i}_{j}"] or 0.0) > limit for i in range(j))]
+    from .stats import _correlations
+
+    gone = {j for _, j, _, _, _, r in _correlations(df, columns) if abs(r or 0.0) > limit}
+    return [c for j, c in enumerate(columns) if j in gone]
 
 
 def cap_classes(df: DataFrame, label: str, most: int, id_col: str, seed: int = 42) -> DataFrame:
-    """At most `most` rows of each class, by md5 order."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed)))), id_col)
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+    """At most `most` rows of each class, by md5 order; rows that repeat an id at the cut are in or out together. No class is put in order in one task."""
+    from .sampling import _cuts, _place
+
+    plan = df.groupBy(label).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("__most")).where(f"`{label}` is not null")
+    cuts = _cuts(df.where(f"`{label}` is not null"), [label], id_col, seed, plan, ["__most"]).withColumnRenamed(label, "__class")
+    known = df.join(cuts, F.col(label) == F.col("__class")).where(_place(id_col, seed) <= F.col("cut0")).select(*df.columns)
+    gone = df.where(f"`{label}` is null")  # a group of its own
+    return known if gone.isEmpty() else known.unionByName(gone.orderBy(_place(id_col, seed)).limit(most))
 
 
 def drop_leaky(df: DataFrame, columns: list[str]) -> DataFrame:

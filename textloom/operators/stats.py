@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.scalars import finite
+from ..sources.staging import settle
 from .ordering import average_ranks, quantiles, with_running_sum
 
 
@@ -106,16 +107,16 @@ def rank_sums(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     rows = long_form(df, columns, [group]).where(f"value is not null and `{group}` in (0, 1)")
     first = F.col(group) == 0
     counted = rows.groupBy("feature", "value").agg(F.count_if(first).alias("c0"), F.count_if(~first).alias("c1"))
-    t = F.col("t")
+    t, d = F.col("t"), lambda c: F.col(c).cast("double")  # products of counts leave 64 bits at 2.1 million ties
     ranked = with_running_sum(counted.withColumn("t", F.col("c0") + F.col("c1")), "t", ["value"], ["feature"], "below").withColumn("rank", F.col("below") + (t + 1) / 2.0)
-    sums = ranked.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum(F.col("rank") * F.col("c0")).alias("r0"), F.sum((t * t * t - t).cast("double")).alias("ties"))
+    sums = ranked.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum(F.col("rank") * F.col("c0")).alias("r0"), F.sum(d("t") * d("t") * d("t") - d("t")).alias("ties"))
     of = lambda k: F.when(first if k == 0 else ~first, F.col("value"))
     means = rows.groupBy("feature").agg(*[F.avg(of(k)).alias(f"mean{k}") for k in (0, 1)])
     halves = quantiles(rows, "value", [0.5], ["feature", group])
     middle = halves.groupBy("feature").agg(*[F.max(F.when(F.col(group) == k, F.col("q0"))).alias(f"median{k}") for k in (0, 1)])
     means = means.join(middle, "feature")
-    u = F.col("r0") - F.col("n0") * (F.col("n0") + 1) / 2.0
-    out = sums.withColumn("u", u).withColumn("rank_biserial", F.try_divide(2 * F.col("u"), (F.col("n0") * F.col("n1")).cast("double")) - 1)
+    u = F.col("r0") - d("n0") * (d("n0") + 1) / 2.0
+    out = sums.withColumn("u", u).withColumn("rank_biserial", F.try_divide(2 * F.col("u"), d("n0") * d("n1")) - 1)
     return out.join(means, "feature").withColumns({"mean_difference": F.col("mean1") - F.col("mean0"), "median_difference": F.col("median1") - F.col("median0")}).drop("r0")
 
 
@@ -132,8 +133,18 @@ def mann_whitney(df: DataFrame, columns: list[str], group: str, least: int = 5)
 def spearman(df: DataFrame, columns: list[str], target: str, least: int = 10) -> DataFrame:
     """feature, n, rho of each feature with the target over the rows where both are known."""
     rows = long_form(df.withColumn("__t", finite(F.col(target))), columns, ["__t"]).where("value is not null and __t is not null")
-    ranked = rows.join(average_ranks(rows, "value", ["feature"], name="rx"), ["feature", "value"]).join(average_ranks(rows, "__t", ["feature"], name="ry"), ["feature", "__t"])
-    return ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least)
+    return _rank_correlation(rows, ["feature"], "value", "__t").where(F.col("n") >= least).select("feature", "n", "rho")
+
+
+def _rank_correlation(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, n, rho: Spearman's of two columns. Equal pairs are counted before they meet their ranks."""
+    pairs = settle(rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__n")), "pairs")
+    ranked = pairs.join(average_ranks(pairs, x, keys, "__n", "rx"), [*keys, x]).join(average_ranks(pairs, y, keys, "__n", "ry"), [*keys, y])
+    w, middle = F.col("__n").cast("double"), ranked.groupBy(*keys).agg(((F.sum("__n").cast("double") + 1) / 2).alias("__mid")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__k_{k}") for k in keys))
+    dx, dy = F.col("rx") - F.col("__mid"), F.col("ry") - F.col("__mid")
+    sums = ranked.join(middle, same).groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    return sums.select(*keys, "n", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("rho"))
 
 
 def spearman_tests(df: DataFrame, columns: list[str], target: str, least: int = 10, top: int | None = None) -> DataFrame:
@@ -142,18 +153,86 @@ def spearman_tests(df: DataFrame, columns: list[str], target: str, least: int =
     return df.sparkSession.createDataFrame(rows[:top], "feature string, n long, rho double, p_value double")
 
 
+def masked_gram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """i, j, n, sx, sxx, sxy of every pair of columns over the rows where both are known: sums of x_i, its square and x_i x_j, less the columns' means.
+
+    Each task multiplies batches of rows, with zeros for missing values, with themselves and with their masks, and hands on one row for each
+    pair; Spark sums those of the tasks. So the work on rows is four matrix products, whatever the number of pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = [f"x{i}" for i in range(len(columns))]
+    own = df.select(*[finite(F.col(f"`{c}`")).alias(x) for c, x in zip(columns, names)])
+    means = own.agg(*[F.avg(x).alias(x) for x in names]).first()
+    shift = np.array([means[x] or 0.0 for x in names])
+
+    def run(batches):
+        p, sums = len(names), None
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
+            known = (~np.isnan(x)).astype(float)
+            x = np.where(known > 0, x - shift, 0.0)
+            made = np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+            sums = made if sums is None else sums + made
+        if sums is not None:
+            i, j = np.divmod(np.arange(p * p, dtype=np.int32), p)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(s.ravel()) for s in sums)], names=["i", "j", "n", "sx", "sxx", "sxy"])
+
+    parts = own.mapInArrow(run, "i int, j int, n double, sx double, sxx double, sxy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
+
+
+def _correlations(df: DataFrame, columns: list[str]) -> list[tuple[int, int, float, float, float, float | None]]:
+    """(i, j, n_i, n_j, n, r) of all pairs i < j; a few numbers for each pair reach the driver."""
+    if len(columns) < 2:
+        return []
+    got = {(r.i, r.j): r for r in masked_gram(df, columns).collect()}
+    out = []
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            if (i, j) not in got:  # no rows
+                out.append((i, j, 0.0, 0.0, 0.0, None))
+                continue
+            a, b = got[i, j], got[j, i]
+            xx, yy, n = a.n * a.sxx - a.sx**2, a.n * b.sxx - b.sx**2, a.n
+            flat = min(xx, yy) <= 0 or xx <= 1e-12 * n * a.sxx or yy <= 1e-12 * n * b.sxx
+            out.append((i, j, got[i, i].n, got[j, j].n, n, None if flat else (n * a.sxy - a.sx * b.sx) / xx**0.5 / yy**0.5))
+    return out
+
+
 def correlation_matrix(df: DataFrame, columns: list[str], ranks: bool = False) -> DataFrame:
-    """a, b, r of all pairs of columns over the rows where both are known; ranks: Spearman's."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    """a, b, r of all pairs of columns over the rows where both are known, NULL where one doesn't vary; ranks: Spearman's."""
     if not ranks:
-        row = df.agg(*[F.corr(finite(F.col(a)), finite(F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
-        out = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-        return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
-    own = df.select(*[finite(F.col(c)).alias(c) for c in columns])
-    stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs]))
-    rows = own.select(stacked.alias("p")).select("p.*").where("x is not null and y is not null")
-    ranked = rows.join(average_ranks(rows, "x", ["a", "b"], name="rx"), ["a", "b", "x"]).join(average_ranks(rows, "y", ["a", "b"], name="ry"), ["a", "b", "y"])
-    return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("r"))
+        rows = [(columns[i], columns[j], r) for i, j, _, _, _, r in _correlations(df, columns)]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    own = settle(df.select(*[finite(F.col(f"`{c}`")).alias(c) for c in columns]), "numbers")
+    pairs = _correlations(own, columns)
+    alike = [(i, j) for i, j, n, m, both, _ in pairs if n == m == both]  # missing in the same rows: each column has one ranking
+    rest = [(columns[i], columns[j]) for i, j, n, m, both, _ in pairs if not n == m == both]
+    out = df.sparkSession.createDataFrame([], "a string, b string, r double")
+    if alike:
+        used = sorted({k for pair in alike for k in pair})
+        ranked = _ranked_columns(own, [columns[k] for k in used])
+        place = {k: at for at, k in enumerate(used)}
+        wanted = {(place[i], place[j]) for i, j in alike}
+        found = [(columns[used[i]], columns[used[j]], r) for i, j, _, _, _, r in _correlations(ranked, [f"r{k}" for k in range(len(used))]) if (i, j) in wanted]
+        out = out.unionByName(df.sparkSession.createDataFrame(found, "a string, b string, r double"))
+    if rest:
+        stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in rest]))
+        rows = own.select(stacked.alias("p")).select("p.*").where("x is not null and y is not null")
+        out = out.unionByName(_rank_correlation(rows, ["a", "b"], "x", "y").select("a", "b", F.col("rho").alias("r")))
+    return out
+
+
+def _ranked_columns(own: DataFrame, columns: list[str]) -> DataFrame:
+    """r0, r1 ...: the mean rank of each value within its column, NULL for missing ones."""
+    out = own.select(*[F.col(f"`{c}`").alias(f"v{k}") for k, c in enumerate(columns)])
+    ranks = settle(average_ranks(long_form(out, out.columns).where("value is not null"), "value", ["feature"]), "ranks")
+    for k in range(len(columns)):
+        one = ranks.where(F.col("feature") == f"v{k}").select(F.col("value").alias(f"__v{k}"), F.col("rank").alias(f"r{k}"))
+        out = out.join(one, F.col(f"v{k}") == F.col(f"__v{k}"), "left").drop(f"__v{k}")
+    return out.select(*[f"r{k}" for k in range(len(columns))])
 
 
 def strongest(df: DataFrame, by: str = "rho", k: int = 30) -> DataFrame:
@@ -181,8 +260,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     counted = own.groupBy(*by, "value").agg(F.count_if(F.col("y")).alias("c1"), F.count(F.lit(1)).alias("t"))
     ranked = with_running_sum(counted, "t", ["value"], by, "below").withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
     row = ranked.groupBy(*by).agg(F.sum(F.col("r") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("t").alias("n"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    return row.select(*by, F.try_divide(u, (F.col("n1") * (F.col("n") - F.col("n1"))).cast("double")).alias("roc_auc"))
+    n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
+    return row.select(*by, F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2.0, n1 * (n - n1)).alias("roc_auc"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
