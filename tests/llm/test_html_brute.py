@@ -65,7 +65,24 @@ class Tree(HTMLParser):
 
 def gone(node):
     words = " ".join((node.attrs.get(k) or "") for k in ("class", "id", "role")).split()
-    return node.tag in GONE or "hidden" in node.attrs or not {"ad", "sidebar", "comments", "menu"}.isdisjoint(words)
+    return node.tag in GONE or "hidden" in node.attrs or not {"ad", "sidebar", "comments", "menu", "site-menu", "ad-slot", "comments-list"}.isdisjoint(words) or doubted(node)
+
+
+def doubted(node):
+    """Whether a block with a mark beside other words holds more links than half of its text."""
+    if node.tag not in ENDS_P or not {"ad-hoc", "menu-engineering", "comments-on-law"} & set((node.attrs.get("class") or "").split()):
+        return False
+    size = links = 0
+    todo = [(node, False)]
+    while todo:
+        own, inside = todo.pop()
+        for x in own.children:
+            if isinstance(x, str):
+                size += len("".join(x.split()))
+                links += len("".join(x.split())) * inside
+            else:
+                todo.append((x, inside or x.tag == "a"))
+    return 2 * links > size
 
 
 def blocks(root):
@@ -155,6 +172,9 @@ MADE = [
     ("b", '<p title="the hidden valley" data-note="class=ad">{0}</p><aside>no<p>no</aside><form><p>no</form><p>{0}'),
     ("c", "<nav><ul><li>no</ul></nav><a>only links</a>"),
     ("c", "<nav>no</nav>"),
+    ("e", "<article><p class='ad-hoc'>{0}</p><section class='menu-engineering'><p>{0} two</section><div class='site-menu'>no</div><p>{0}</article>"),
+    ("e", "<article><p>{0}<div class='comments-on-law'><p>{0} law</div><div class='comments-list'><p>no</div><ul class='menu-engineering'><li><a href='x'>{0}</a><li><a href='y'>no</a></ul></article>"),
+    ("e", "<article><p>{0} {0}</article><div class='ad-hoc'><p>apart</div><div class='ad-slot'>no</div>"),
     ("d", "<main><h1>T</h1><blockquote>{0}</blockquote><p>x <span>y</span>z</main><div id='comments'><p>no {0}</div>"),
 ]
 

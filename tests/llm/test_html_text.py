@@ -83,3 +83,22 @@ def test_depth_costs_no_squares():
 )
 def test_dropped_elements_end(html, want):
     assert h.extract(html, None) == want
+
+
+@pytest.mark.parametrize("element", ['<p class="ad-hoc">{}</p>', '<section id="menu-engineering"><p>{}</p></section>', '<div class="related-work"><p>{}</p></div>', '<p class="comment-on-law">{}</p>', '<div class="alert-fatigue"><p>{} <a href="x">see</a></p></div>'])
+def test_a_mark_beside_other_words_keeps_the_article(element):
+    body = "This paragraph belongs to the article and says a good deal about its subject."
+    page = f"<article><h1>Title</h1><p>Some first words of the article that are long enough.</p>{element.format(body)}</article>"
+    assert body in h.extract(page, None)
+    assert body in h.extract(f"<div class='c'>{element.format(body * 9)}</div>", None)
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "site-footer", "comment-list", "cookie-notice", "sidebar_left", "nav-wrapper", "related-articles", "comments-section", "newsletter-signup", "share-buttons"])
+def test_marks_among_words_of_layout_are_left_out(name):
+    page = f"<article><p>Some first words of the article that are long enough.</p><div class='{name}'><p>gone</p><a href='x'>gone too</a></div></article>"
+    assert h.extract(page, None) == "Some first words of the article that are long enough."
+
+
+def test_a_weak_mark_over_links_is_left_out():
+    page = "<article><p>Some first words of the article that are long enough.</p><ul class='related-stories-of-today'><li><a href='x'>Another story</a><li><a href='y'>One more story</a></ul></article>"
+    assert h.extract(page, None) == "Some first words of the article that are long enough."

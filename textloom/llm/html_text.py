@@ -8,7 +8,9 @@ on its host's path is the result; a page without such text falls back to its own
 
 Left out wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments and markup comments. An element is left out by its tag, by hidden or aria-hidden, or by a mark: a
-class, id or role that is a word of MARKS, or whose first or last word is one, but not behind has-, with-, without- or no-.
+class, id or role that is a word of MARKS, or whose first or last word is one while all its words are of MARKS or FRAME
+(`site-footer`), but not behind has-, with-, without- or no-. Beside other words (`ad-hoc`, `related-work`) a mark is weak: such a block goes only where most of its text
+is links, or outside the winning containers.
 Where elements with one mark hold most of a page's text, that mark counts for nothing on this page
 (`search-results`), unless it is one of FIRM or stands alone as the whole class. A left-out element ends where the standard ends
 it, also without an end tag of its own. Character references are decoded, white space in a block becomes one
@@ -45,6 +47,8 @@ CONTAINER = frozenset("article main section div td body blockquote center dd det
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg math canvas object button select option textarea input dialog menu head title audio video noembed noframes xmp".split())
 MARKS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu topbar header masthead footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus replies respond share sharing social subscribe newsletter signup login related recommended breadcrumb breadcrumbs pagination pager skip toolbar widget contentinfo complementary search".split())
 FIRM = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu footer sidebar cookie cookies consent gdpr comment comments disqus replies respond hidden".split())
+#: Words that say where or how an element stands, and nothing of what it says.
+FRAME = frozenset("site page main global top bottom left right upper lower inner outer first last primary secondary sticky fixed float floating mobile desktop wrapper wrap container box block list item items bar strip area zone slot section panel pane column col row group holder root body inner button buttons link links icon icons form field text title heading image img label unit units post entry article content blog user reader wp js ui js fb bs md lg sm xs".split())
 KEPT = frozenset("html body article main".split())
 #: Longest container path that is written out.
 PATH_CHARS = 400
@@ -61,13 +65,15 @@ _SAME = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "
 
 
 def _mark(value: str) -> str:
-    """The mark of a class, id or role: a word of MARKS, with = before it if it stands alone; empty if there is none."""
+    """The mark of a class, id or role: a word of MARKS, with = before it if it stands alone and ? if its name has other words than FRAME's; empty if there is none."""
     found = ""
     for name in _ABOUT.sub(" ", value).split():
         if name in MARKS:
             return "=" + name
         words = _WORD.findall(name)
-        found = found or next((w for w in (words[:1] + words[-1:]) if w in MARKS), "")
+        if own := next((w for w in (words[:1] + words[-1:]) if w in MARKS), ""):
+            sure = all(w in MARKS or w in FRAME or w.isdigit() for w in words)
+            found = own if sure and found[:1] in ("", "?") else found or "?" + own
     return found
 
 
@@ -81,7 +87,7 @@ def _attributes(raw: str) -> tuple[str, str]:
     first = own.get("class", "").split()
     marks = ["hidden"] if "hidden" in own or own.get("aria-hidden") == "true" else []
     marks += [m for k in ("class", "id", "role") if (m := _mark(own.get(k, "")))]
-    return _DIGITS.sub("0", first[0]) if first else "", next((m for m in marks if _is_firm(m)), marks[0] if marks else "")
+    return _DIGITS.sub("0", first[0]) if first else "", next((m for m in marks if _is_firm(m)), next((m for m in marks if not _is_weak(m)), marks[0] if marks else ""))
 
 
 _ASKED = frozenset("class id role hidden aria-hidden".split())
@@ -91,6 +97,10 @@ def _is_firm(mark: str) -> bool:
     return mark[0] == "=" or mark in FIRM
 
 
+def _is_weak(mark: str) -> bool:
+    return mark[:1] == "?"
+
+
 class Page:
     """What a page holds: its containers, each with its path and the place of the one around it, and its blocks of text."""
 
@@ -100,6 +110,7 @@ class Page:
         self.texts: list[str] = []
         self.linked: list[int] = []  # characters of each block that are in links
         self.homes: list[int] = []  # the innermost container of each block
+        self.doubts: list[int] = []  # the number of the weakly marked element that each block is in, 0 for none
         self.held: dict[str, int] = {}  # characters left out for each mark that isn't firm
 
     def open(self, home: int, tag: str, first: str) -> int:
@@ -120,6 +131,7 @@ def parse(html: str, spared: frozenset[str] = frozenset()) -> Page:
     count: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = 0
+    weak = doubt = 0  # the place of the outermost weakly marked block that is open, and how many there have been
     at, skip, firm, held = 0, 0, 0, ""  # skip, firm: the places of the outermost left-out elements that are open, 0 for none
 
     def last(tag: str, least: int) -> int:
@@ -139,11 +151,12 @@ def parse(html: str, spared: frozenset[str] = frozenset()) -> Page:
                 page.texts.append(text)
                 page.linked.append(linked)
                 page.homes.append(homes[-1])
+                page.doubts.append(doubt if weak else 0)
             parts.clear()
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal links, skip, firm
+        nonlocal links, skip, firm, weak
         ended = names[depth : skip + 1] if skip else names[depth:]  # what a dropped element holds ends no block
         if depth <= firm:
             firm = 0
@@ -151,6 +164,8 @@ def parse(html: str, spared: frozenset[str] = frozenset()) -> Page:
             skip = 0
         if not BLOCK.isdisjoint(ended):
             flush()
+        if depth <= weak:
+            weak = 0
         gone = names[depth:]
         links -= gone.count("a")
         count.subtract(gone)
@@ -231,6 +246,10 @@ def parse(html: str, spared: frozenset[str] = frozenset()) -> Page:
             mark = ""
         if tag in BLOCK:
             flush()
+        if _is_weak(mark):
+            if tag in BLOCK and tag not in DROPPED and not skip and not weak:
+                weak, doubt = len(names), doubt + 1
+            mark = ""
         if tag in DROPPED or mark:
             if not firm and (tag in DROPPED or _is_firm(mark)):
                 firm = len(names)
@@ -241,9 +260,21 @@ def parse(html: str, spared: frozenset[str] = frozenset()) -> Page:
         links += tag == "a"
         homes.append(page.open(homes[-1], tag, first) if tag in CONTAINER and not skip else homes[-1])
     flush()
+    _settle_doubts(page)
     return page
 
 
+def _settle_doubts(page: Page) -> None:
+    """Takes out the blocks of weakly marked elements of which most is links."""
+    size: Counter[int] = Counter()
+    for text, linked, d in zip(page.texts, page.linked, page.doubts):
+        size[d] += 2 * linked - len(text)
+    gone = {d for d, n in size.items() if d and n > 0}
+    if gone:
+        kept = [i for i, d in enumerate(page.doubts) if d not in gone]
+        page.texts, page.linked, page.homes = ([own[i] for i in kept] for own in (page.texts, page.linked, page.homes))
+
+
 def read(html: str) -> Page:
     """The page parsed, without the marks that most of its text stands under."""
     page, spared = parse(html), frozenset()
