@@ -98,3 +98,12 @@ def test_rich_in_slots_and_long_runs(spark):
 def test_numbers_word_by_word_beside_a_template(spark):
     item = "every farmer sold 7 large sacks of very fresh corn to his old neighbour 1 2 3 4 7 5 6 8"
     assert set(found(spark, [(1, item.replace("7", "9", 1))], [(1, item)])) == {(1, 1)}
+
+
+def test_windows_out_of_order_are_no_run(spark):
+    """13 windows of an item in reverse order, each among other words, and the same windows in order but apart, are no leak; a run of 20 words is."""
+    words = [f"w{k}" for k in range(100)]
+    apart = lambda places: " ".join(" ".join([f"x{p}{i}" for i in range(9)] + words[p : p + d.WINDOW]) for p in places)
+    texts = [(1, apart(range(40, 27, -1))), (2, apart(range(28, 41))), (3, "so " + " ".join(words[28 : 28 + d.RUN]) + " end")]
+    got = found(spark, texts, [(7, " ".join(words))])
+    assert set(got) == {(3, 7)} and got[3, 7].first_word == 1 and got[3, 7].covered_words == d.RUN

@@ -351,11 +351,13 @@ class Judge:
         """Takes the runs of RUN words and more from the places of WINDOW words that are equal word by word; the longest run."""
         if not len(places):
             return 0
-        order = np.lexsort((positions, places))
-        places, positions = places[order], positions[order]
-        first = np.concatenate([[True], places[1:] != places[:-1]])
-        places, positions = places[first], positions[first]
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(places) > 1, [True]]))
+        shifts = positions.astype(np.int64) - places  # in a row in the item and in the text as well: along one diagonal
+        order = np.lexsort((places, shifts))
+        places, shifts = places[order], shifts[order]
+        same = shifts[1:] == shifts[:-1]
+        first = np.concatenate([[True], (places[1:] != places[:-1]) | ~same])
+        places, shifts = places[first], shifts[first]
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(places) > 1) | (shifts[1:] != shifts[:-1]), [True]]))
         longest = 0
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             n = y - x + WINDOW - 1
@@ -363,7 +365,7 @@ class Judge:
             if n >= RUN:
                 mask = np.zeros(self.size, bool)
                 mask[places[x] : places[x] + n] = True
-                self._take(mask, np.zeros(self.size, bool), int(positions[x] - places[x]))
+                self._take(mask, np.zeros(self.size, bool), int(shifts[x]))
         return longest
 
     def verdict(self, pos, place, width, plain, alone, ours, theirs, kinds) -> tuple | None:
