@@ -5,7 +5,7 @@ within a piece. All counts are per language (null: `und`). First each task adds
 sketches are merged block by block in Spark and clipped at min_count, so the merged one takes DEPTH bytes a column. A cell is never less than the
 count of any n-gram in it: what stays below min_count can't be frequent, and is left out of the second pass, which counts all
 others exactly, as strings, by a partial and a final aggregation. A sketch has 2**BITS columns at every size of input, which bounds what is
-broadcast (64 MB) and what a task holds (256 MB), and makes what tasks send grow with their number. Over about min_count * 2**BITS bytes of text (a gigabyte
+broadcast (64 MB) and what a task holds (128 MB), and makes what tasks send grow with their number. Over about min_count * 2**BITS bytes of text (a gigabyte
 at a count of 30) more infrequent n-grams reach the second pass, and the result stays the same: for more give more bits, or a min_count that grows with the corpus.
 
 A candidate of 2 or more words with a >= min_count is cut after its first k words into parts of l and r occurrences and scores
@@ -34,6 +34,8 @@ from .common import _Tables, mix, rows_of, settle, span_hashes, text_slices
 MIN_COUNT, MAX_WORDS, PERCENT, SCALE, TOP = 30, 4, 80, 2_000_000, 2_000
 BITS, DEPTH = 25, 2
 STRETCH = 1 << 20
+#: n-grams that a task adds to its sketch before it clips their cells, which are of 16 bits.
+STRIDE = 1 << 15
 #: Cells of a sketch that travel as one row.
 BLOCK = 1 << 16
 #: Groups into which a language's candidates are dealt before they are ranked.
@@ -150,10 +152,13 @@ def sketch(docs: DataFrame, bits: int = BITS, min_count: int = MIN_COUNT, max_wo
     kind, block = _cell_type(min_count), min(BLOCK, 1 << bits)
 
     def count(batches):
-        cells = np.zeros((depth, 1 << bits), np.uint32)
+        cells = np.zeros((depth, 1 << bits), np.uint16 if min_count < STRIDE else np.uint32)
         for grams, _ in _grams(batches, max_words):
             for row, at in zip(cells, columns(grams.hash, bits, depth)):
-                np.add.at(row, at, np.uint32(1))
+                for i in range(0, len(at), STRIDE):  # between clips no cell can run over
+                    own = at[i : i + STRIDE]
+                    np.add.at(row, own, cells.dtype.type(1))
+                    row[own] = np.minimum(row[own], min_count)
         yield from _blocks((k, np.minimum(own, min_count).astype(kind)) for k, own in enumerate(cells.reshape(-1, block)) if own.any())
 
     def merge(batches):
