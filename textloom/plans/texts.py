@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import cleaning, grammar, judging, papers, readability
+from ..operators import cleaning, grammar, judging, language_model, papers, readability
 from ..sources.readers import table
 from .registry import query, r, round_all
 
@@ -215,6 +215,16 @@ c as (select doc_id, count(*) as n_windows, sum(len(w) - 1)::bigint as n_pred_to
 """
 
 
+_PART = lambda test: f"(select doc_id, text from documents where doc_id % 5 {test} 0)"
+
+
+@query("kneser_ney_perplexity", f"with {language_model.oracle_sql('documents', _PART('<>'))} select doc_id, n_tokens, n_pred_tokens, {r('neg_log_likelihood', 4)} as neg_log_likelihood, {r('perplexity', 4)} as perplexity, status from scored")
+def kneser_ney_perplexity(spark, folder):
+    """All documents under a model of four fifths of them, so that a fifth is unseen."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return round_all(language_model.perplexity(docs, language_model.fit(docs.where("doc_id % 5 <> 0"))), 4)
+
+
 @query("perplexity_windows", _WINDOWS + f"select a.doc_id, len(a.w)::bigint as n_tokens, coalesce(n_windows, 0)::bigint as n_windows, coalesce(n_pred_tokens, 0)::bigint as n_pred_tokens, {r('nll')} as neg_log_likelihood, {r('exp(nll / n_pred_tokens)')} as perplexity, case when len(a.w) < 1 then 'empty' when nll is null then 'too_short' else 'ok' end as status from a left join c using (doc_id)")
 def perplexity_windows(spark, folder):
     own = judging.perplexity(table(spark, folder, "documents").select("doc_id", "text"), length_scorer, window=64)
