@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import cleaning, judging, papers, prep, sampling, stats
-from ..sources import readers, writers
+from ..sources import readers, versions, writers
 from ..sources.readers import table
 from ..sources.staging import discard, settle, shared_dir
 from .registry import query, r, round_all
@@ -107,6 +107,28 @@ def run_counters(spark, folder):
     return writers.run_counts(judging.perplexity(own, length_scorer, window=64))
 
 
+@query("versioned_sink", "select o_orderkey, o_orderstatus from orders")
+def versioned_sink(spark, folder):
+    """Orders through a sink of versions: an overwrite, batches of a resumed run of which one comes twice, and the last version read back."""
+    path = _place(spark, "versions")
+    own = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    versions.overwrite(own.where("o_orderstatus = 'none'"), path)
+    stage = lambda d: d
+    versions.resume(own, stage, path, "o_orderkey", parts=3)
+    versions.append(own.where("o_orderkey % 2 = 0"), path, "run/3/1")
+    versions.resume(own, stage, path, "o_orderkey", parts=3)
+    return versions.read(spark, path)
+
+
+@query("counted_write", "select 'rows' as status, count(*) as n from orders union all select o_orderstatus, count(*) from orders group by 1")
+def counted_write(spark, folder):
+    """Rows by status, counted in the pass that writes them."""
+    path = _place(spark, "counted")
+    own = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    found = versions.write_counted(own, lambda d: d.write.parquet(path), {x: F.col("o_orderstatus") == x for x in "FOP"})
+    return spark.createDataFrame(sorted(found.items()), "status string, n long")
+
+
 @query("renamed_columns", "select o_orderkey as paper_id, o_orderstatus as status, o_totalprice as price from orders where o_orderkey % 4 <> 0")
 def renamed_columns(spark, folder):
     """Renamed, without columns that would give the target away, without rows that lack a price."""
