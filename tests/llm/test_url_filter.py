@@ -39,7 +39,7 @@ def page(i, host, *to):
 def test_distrust_flows_back_and_trust_forward(spark):
     rows = [page(1, "bad.net"), page(2, "spam.com", "bad.net", "BAD.net:80"), page(3, "farm.com", "spam.com"), page(4, "news.com"), (5, "http://good.org/fr/", '<a href="http://news.com/">n</a><a href="http://mixed.com">m</a>'), page(6, "mixed.com", "bad.net", "a.com", "b.com", "c.com", "d.com"), page(6, "mixed.com", "bad.net"), (None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as verdict")
-    got = {r.page_id: r.verdict for r in u.judge(df.drop("verdict"), RULES).collect()}
+    got = {r.page_id: r.verdict for r in u.judge(df, RULES).collect()}
     assert got[1] == "block" and got[2] == "block" and got[3] == "block" and got[4] == "allow" and got[5] == "allow" and got[None] == "allow"
     # a plain power iteration over the same graph
     edges = {("spam.com", "bad.net"): 1, ("farm.com", "spam.com"): 1, ("good.org", "news.com"): 1, ("good.org", "mixed.com"): 1, ("mixed.com", "bad.net"): 2} | {("mixed.com", f"{x}.com"): 1 for x in "abcd"}
@@ -87,3 +87,22 @@ def test_many_rules_by_a_join(spark):
     joined = u.with_rules(pages, rules)
     assert len(rules) > u.CASE_RULES and rows(joined) == rows(u.with_rules(pages, rules, case_rules=1000))
     assert joined.where("rule is not null").count() > 100
+
+
+def test_walks_until_nothing_changes(spark):
+    """Distrust of a seed reaches the end of a chain of 30 hosts, and 10,000 seeds don't wash it out."""
+    chain = [page(i, f"c{i}.com", f"c{i + 1}.com") for i in range(30)] + [page(30, "c30.com", "seed.net"), page(31, "seed.net")]
+    df = spark.createDataFrame(chain, "page_id long, url string, html string")
+    many = spark.range(10_000).selectExpr("id + 1000 as page_id", "concat('http://s', id, '.net/') as url", "'' as html")
+    edges = u.host_edges(df.selectExpr("page_id", "split(url, '/')[2] as host", "html"))
+    assert u.propagate(edges.selectExpr("dst as src", "src as dst", "weight"), spark.createDataFrame([("seed.net",)], "host string"), u.EXACT).count() == 32
+    exact = {r.page_id: r.verdict for r in u.judge(df.unionByName(many), RULES, u.EXACT, margin=1e-6, relative=True).collect()}
+    fixed = {r.page_id: r.verdict for r in u.judge(df.unionByName(many), RULES).collect()}
+    assert all(exact[i] == "block" for i in range(32)) and fixed[0] == "allow" and fixed[30] == "block"
+
+
+def test_ports_users_long_html_and_repeated_rows(spark):
+    far = '<a href="//x.com/">x</a> ' * 40_000 + '<a href="//spam.com:8080/">s</a>'
+    rows = [page(1, "bad.net"), page(2, "spam.com:8080", "bad.net"), page(2, "spam.com:8080", "bad.net"), (3, "http://me@far.com/", far), (4, "http://far.com/other", None)]
+    got = [(r.page_id, r.host, r.verdict) for r in u.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).orderBy("page_id").collect()]
+    assert got == [(1, "bad.net", "block"), (2, "spam.com:8080", "block"), (2, "spam.com:8080", "block"), (3, "me@far.com", "block"), (4, "far.com", "block")]
