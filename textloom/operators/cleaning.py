@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..sources.staging import settle
+from ..sources.staging import discard, settle
 
 EXACT, NEAR = "exact_duplicate_abstract", "near_duplicate_abstract"
 
@@ -128,24 +129,29 @@ def near_duplicates(df: DataFrame, text_col: str = "clean_text", id_col: str = "
 
     crowd = own.join(shared.select("prefix"), "prefix", "left_semi").select("id", "form", "prefix")
     place = F.rank().over(Window.partitionBy("prefix").orderBy("id"))  # rows of one id stay together
-    dropped = None
+    lost, before = [], own  # narrow tables of dropped ids; what the round before left, which goes when it has been read
     while True:
         heads = settle(crowd.withColumn("place", place).where(F.col("place") <= batch).groupBy("prefix").applyInPandas(decide, verdicts), "decided")
-        lost = heads.where("not kept").select("id")
-        dropped = lost if dropped is None else dropped.unionByName(lost)
         last = heads.groupBy("prefix").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= batch).drop("n")
         rest = settle(crowd.join(last, "prefix").where(F.col("id") > F.col("last")).drop("last"), "undecided")
+        discard(before)
+        done = heads.where("not kept").select("id")
         if rest.isEmpty():
-            return dropped.withColumnRenamed("id", id_col)
+            lost.append(settle(done, "dropped"))
+            discard(heads, rest)
+            break
         parts = settle(rest.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts")), "parts")
         salted = rest.join(parts, "prefix").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         forms = heads.where("kept").join(parts, "prefix").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "kept")
         judged = salted.groupBy("prefix", "part").cogroup(forms.groupBy("prefix", "part")).applyInPandas(hold_against, verdicts)
         judged = settle(judged, "held")
-        dropped = dropped.unionByName(judged.where("not kept").select("id"))
-        crowd = judged.where("kept").drop("kept")
+        lost.append(settle(done.unionByName(judged.where("not kept").select("id")), "dropped"))
+        discard(heads, rest, parts)
+        crowd, before = judged.where("kept").drop("kept"), judged
         if crowd.isEmpty():
-            return dropped.withColumnRenamed("id", id_col)
+            discard(before)
+            break
+    return reduce(DataFrame.unionByName, lost).withColumnRenamed("id", id_col)
 
 
 def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,15 @@ def ranked_lists(spark: SparkSession, sources: dict[str, list[str]]) -> DataFram
     return spark.createDataFrame(rows, "source string, feature string, rank int, rank_score int")
 
 
+def ranked_scores(scores: DataFrame, most: int) -> DataFrame:
+    """source, feature, rank, rank_score of the `most` features of each source with the highest importance; equal ones by name."""
+    from pyspark.sql import Window
+
+    of = Window.partitionBy("source")
+    placed = scores.withColumn("rank", F.row_number().over(of.orderBy(F.desc("importance"), "feature"))).where(F.col("rank") <= most)
+    return placed.select("source", "feature", "rank", (F.max("rank").over(of) - F.col("rank") + 1).alias("rank_score"))
+
+
 def _has(c: Column, words: list[str]) -> Column:
     return c.rlike("|".join(words))
 

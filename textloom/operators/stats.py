@@ -65,10 +65,12 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """feature_group, expected, available: how many columns of each group df has."""
-    own = set(df.columns)
-    rows = [(g, len(cols), sum(c in own for c in cols)) for g, cols in groups.items()]
-    return df.sparkSession.createDataFrame(rows, "feature_group string, expected int, available int")
+    """feature_group, expected, available, known: how many columns of each group df has, and in how many rows one of them is known."""
+    own = {g: [c for c in cols if c in df.columns] for g, cols in groups.items()}
+    some = {g: reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNotNull() for c in cols), F.lit(False)) for g, cols in own.items()}
+    row = df.agg(*[F.count_if(some[g]).alias(f"g{i}") for i, g in enumerate(groups)]).first() if groups else []
+    rows = [(g, len(cols), len(own[g]), row[i]) for i, (g, cols) in enumerate(groups.items())]
+    return df.sparkSession.createDataFrame(rows, "feature_group string, expected int, available int, known long")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, log: bool = False) -> DataFrame:

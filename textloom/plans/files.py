@@ -146,10 +146,14 @@ _LAYOUT = {
 }
 
 
-@query("column_layout", " union all ".join(f"select '{k}' as layout, {i}::bigint as place, '{c}' as name" for k, names in _LAYOUT.items() if k != "prefix" for i, c in enumerate(names)) + " union all select 'prefix', (row_number() over ()) - 1, column_name from (describe orders) where starts_with(column_name, 'o_order')")
+_COUNTED = lambda c: f"(select count({c}) from orders)" if c.startswith("o_") else "null::bigint"
+
+
+@query("column_layout", " union all ".join(f"select '{k}' as layout, {i}::bigint as place, '{c}' as name, {_COUNTED(c)} as known" for k, names in _LAYOUT.items() if k != "prefix" for i, c in enumerate(names)) + " union all select 'prefix', (row_number() over ()) - 1, column_name, case column_name " + " ".join(f"when '{c}' then {_COUNTED(c)}" for c in ("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")) + " end from (describe orders) where starts_with(column_name, 'o_order')")
 def column_layout(spark, folder):
-    """Orders of columns, numeric columns, columns with a prefix, feature names made unique."""
+    """Orders of columns, numeric columns, columns with a prefix, feature names made unique; and in how many rows a column is known."""
     own = table(spark, folder, "orders")
+    known = own.agg(*[F.count(c).alias(c) for c in own.columns]).first().asDict()
     laid = {
         "targets last": prep.targets_last(own, ["o_totalprice", "absent", "o_orderstatus"]).columns,
         "moved": prep.move_after(own, "o_orderdate", "o_orderkey").columns,
@@ -157,7 +161,7 @@ def column_layout(spark, folder):
         "prefix": s.with_prefix(own, "o_order"),
         "features": prep.unique_feature_names(["a b", "a[b", "<>", "a_b"]),
     }
-    return spark.createDataFrame([(k, i, c) for k, names in laid.items() for i, c in enumerate(names)], "layout string, place long, name string")
+    return spark.createDataFrame([(k, i, c, known.get(c)) for k, names in laid.items() for i, c in enumerate(names)], "layout string, place long, name string, known long")
 
 
 _FIELD = "case o_orderkey % 4 when 0 then ' physics ' when 1 then 'BIOLOGY' when 2 then 'Poetry' end"
@@ -198,7 +202,10 @@ def missing_flags(spark, folder):
 _GROUPS = {"keys": ["l_orderkey", "l_partkey", "l_nothing"], "money": ["l_extendedprice", "l_tax"], "gone": ["x"]}
 
 
-@query("feature_overview", " union all ".join(f"select '{g}' as feature_group, {len(c)}::bigint as expected, count(*) as available from (describe lineitem) where column_name in ({', '.join(repr(x) for x in c)})" for g, c in _GROUPS.items()))
+_KNOWN = {"keys": "l_orderkey is not null or l_partkey is not null", "money": "l_extendedprice is not null or l_tax is not null", "gone": "false"}
+
+
+@query("feature_overview", " union all ".join(f"select '{g}' as feature_group, {len(c)}::bigint as expected, (select count(*) from (describe lineitem) where column_name in ({', '.join(repr(x) for x in c)})) as available, count(*) filter ({_KNOWN[g]}) as known from lineitem" for g, c in _GROUPS.items()))
 def feature_overview(spark, folder):
     return round_all(stats.overview(table(spark, folder, "lineitem"), _GROUPS))
 

@@ -204,18 +204,24 @@ def topk_head(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30)
 
 
-#: Ranked lists as five models of this package might give them; the operators take any.
-LISTS = {
-    "gain": ["year", "reference count", "max_author_hindex", "abstract_perplexity", "flesch_mean", "primary_category_Physics", "n_words", "grammar_edits", "confidence", "title_length"],
-    "split": ["reference_count", "year", "abstract_flesch_mean", "n_words", "native_like_score", "mean_author_hindex", "publication_source_Other", "dale_chall_mean", "paper_age", "is_review"],
-    "boost gain": ["paper_age", "max_author_hindex", "reference_count", "abstract_length", "ari_mean", "verdict", "primary_category_Biology", "num_authors", "grammar_error_rate", "influence"],
-    "boost split": ["n_characters", "year", "reference_count", "abstract_ari_mean", "abstract_log_perplexity", "chars_per_word", "last_author_hindex", "is_conference", "linsear_write_mean", "confidence"],
-    "logistic": ["primary_category_Medicine", "has_MAG", "year", "max_author_hindex", "coleman_liau_mean", "words_per_sentence", "abstract_readability_missing", "reference_count", "verdict", "n_sentences"],
-}
-
-
-def fused(spark):
-    return importance.with_groups(importance.ranked_lists(spark, LISTS))
+#: Columns of papers as line items have them, in SQL that Spark and DuckDB share, and what five rankings of them are by.
+PAPER_COLUMNS = {
+    "year": "year(l_shipdate)", "paper_age": "month(l_shipdate)", "reference_count": "l_quantity", "max_author_hindex": "l_suppkey % 37", "num_authors": "l_linenumber",
+    "abstract_perplexity": "l_partkey % 101", "flesch_mean": "l_discount", "abstract_flesch_mean": "l_tax", "n_words": "l_partkey", "title_length": "l_orderkey % 53",
+    "grammar_edits": "l_quantity * l_tax", "confidence": "l_discount * l_quantity", "native_like_score": "l_suppkey % 11", "influence": "day(l_shipdate)",
+    "primary_category_Physics": "case when l_returnflag = 'R' then 1 else 0 end", "publication_source_Other": "case when l_linestatus = 'O' then 1 else 0 end", "is_review": "case when l_returnflag = 'A' then 1 else 0 end",
+}
+RANKED_BY = {"gain": "l_extendedprice", "split": "l_quantity", "boost gain": "l_discount", "boost split": "l_tax", "logistic": "l_orderkey"}
+LISTED = 10
+
+
+def fused(spark, folder):
+    """Each source's ten columns with the strongest correlation with what it ranks by."""
+    own = table(spark, folder, "lineitem").selectExpr(*[f"{e} as `{c}`" for c, e in PAPER_COLUMNS.items()], *[f"{c} as t{i}" for i, c in enumerate(RANKED_BY.values())])
+    found = stats.correlation_matrix(own, own.columns)
+    name = F.create_map(*[F.lit(x) for i, source in enumerate(RANKED_BY) for x in (f"t{i}", source)])
+    scores = found.where(F.col("a").isin(*PAPER_COLUMNS) & F.col("b").rlike("^t[0-9]$")).select(name[F.col("b")].alias("source"), F.col("a").alias("feature"), F.round(F.abs(F.coalesce("r", F.lit(0.0))), 9).alias("importance"))
+    return importance.with_groups(importance.ranked_scores(scores, LISTED))
 
 
 def _in(cols):
@@ -224,7 +230,9 @@ def _in(cols):
 
 _G = models.FEATURE_GROUPS
 _FUSED = (
-    "v(source, feature, rank, rank_score) as (values " + ", ".join(f"('{src}', '{f.replace(' ', '_')}', {i}, {len(fs) - i + 1})" for src, fs in LISTS.items() for i, f in enumerate(fs, 1)) + "), "
+    "p as (select " + ", ".join(f'({e})::double as "{c}"' for c, e in PAPER_COLUMNS.items()) + ", " + ", ".join(f"{c}::double as t{i}" for i, c in enumerate(RANKED_BY.values())) + " from lineitem), "
+    "scores(source, feature, importance) as (" + " union all ".join(f"""select '{source}', '{c}', round(abs(coalesce(corr("{c}", t{i}), 0)), 9) from p""" for i, source in enumerate(RANKED_BY) for c in PAPER_COLUMNS) + "), "
+    f"placed as (select source, feature, row_number() over (partition by source order by importance desc, feature) as rank from scores), v as (select *, {LISTED} - rank + 1 as rank_score from placed where rank <= {LISTED}), "
     f"""f as (select *, case when feature in {_in(_G['temporal'])} then 'A. Temporal' when feature in {_in(_G['text_structure'])} then 'B. Text length / structural'
     when starts_with(feature, 'publication_source_') or feature in {_in(_G['publication_metadata'])} then 'C. Publication / indexing metadata' when feature = 'reference_count' then 'D. Reference count'
     when starts_with(feature, 'primary_category_') then 'E. Research field' when feature in {_in(_G['author_impact'])} then 'F. Author impact'
@@ -238,17 +246,17 @@ _SUMS = f"select feature, count(distinct source) as frequency, sum(rank_score)::
 
 @query("rank_fusion", f"with {_FUSED} {_SUMS}")
 def rank_fusion(spark, folder):
-    return round_all(importance.feature_summary(fused(spark)))
+    return round_all(importance.feature_summary(fused(spark, folder)))
 
 
 @query("rank_fusion_linguistic", f"with {_FUSED}, s as ({_SUMS}) select feature, total_rank_score from s where feature_group = 'G. Linguistic quality'")
 def rank_fusion_linguistic(spark, folder):
-    return importance.linguistic_features(importance.feature_summary(fused(spark))).select("feature", "total_rank_score")
+    return importance.linguistic_features(importance.feature_summary(fused(spark, folder))).select("feature", "total_rank_score")
 
 
 @query("rank_fusion_top_in_groups", f"with {_FUSED}, s as ({_SUMS}) select feature_group, feature, row_number() over (partition by feature_group order by frequency desc, total_rank_score desc, best_rank, feature)::bigint as place from s qualify place <= 3")
 def rank_fusion_top_in_groups(spark, folder):
-    own = importance.top_in_groups(importance.feature_summary(fused(spark)), 3)
+    own = importance.top_in_groups(importance.feature_summary(fused(spark, folder)), 3)
     return round_all(own.select("feature_group", "feature", "place"))
 
 
@@ -258,22 +266,22 @@ def _groups(by):
 
 @query("rank_fusion_groups", f"with {_FUSED} " + _groups("main_group"))
 def rank_fusion_groups(spark, folder):
-    return round_all(importance.group_summary(fused(spark)))
+    return round_all(importance.group_summary(fused(spark, folder)))
 
 
 @query("rank_fusion_linguistic_groups", f"with {_FUSED} " + _groups("linguistic_group"))
 def rank_fusion_linguistic_groups(spark, folder):
-    return round_all(importance.group_summary(fused(spark), "linguistic_group"))
+    return round_all(importance.group_summary(fused(spark, folder), "linguistic_group"))
 
 
-@query("group_max_pivot", f"with {_FUSED}, g(ordinal, main_group) as (values {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(importance.GROUP_ORDER))}), m as (select main_group, source, max(rank_score) as m from f group by all) select ordinal::bigint as ordinal, g.main_group, " + ", ".join(f"coalesce(max(m) filter (source = '{src}'), 0)::bigint as \"{src}\"" for src in LISTS) + f", {r('(' + ' + '.join(f'coalesce(max(m) filter (source = {chr(39)}{src}{chr(39)}), 0)' for src in LISTS) + ') / 5.0')} as mean_of_max from g left join m using (main_group) group by ordinal, g.main_group")
+@query("group_max_pivot", f"with {_FUSED}, g(ordinal, main_group) as (values {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(importance.GROUP_ORDER))}), m as (select main_group, source, max(rank_score) as m from f group by all) select ordinal::bigint as ordinal, g.main_group, " + ", ".join(f"coalesce(max(m) filter (source = '{src}'), 0)::bigint as \"{src}\"" for src in RANKED_BY) + f", {r('(' + ' + '.join(f'coalesce(max(m) filter (source = {chr(39)}{src}{chr(39)}), 0)' for src in RANKED_BY) + ') / 5.0')} as mean_of_max from g left join m using (main_group) group by ordinal, g.main_group")
 def group_max_pivot(spark, folder):
-    return round_all(importance.max_pivot(fused(spark), list(LISTS)))
+    return round_all(importance.max_pivot(fused(spark, folder), list(RANKED_BY)))
 
 
 @query("score_lookup", f"with {_FUSED}, s as (select feature, sum(rank_score)::double as importance from f where source in ('gain', 'split') group by feature) select distinct f.feature, coalesce(importance, 0)::double as importance from f left join s using (feature)")
 def score_lookup(spark, folder):
-    own = fused(spark)
+    own = fused(spark, folder)
     scores = own.where("source in ('gain', 'split')").groupBy("feature").agg(F.sum("rank_score").alias("importance"))
     return importance.with_scores(own.select("feature").distinct(), scores)
 

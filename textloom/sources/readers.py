@@ -43,7 +43,7 @@ def path_id(path: Column, suffixes: list[str] | None = None) -> Column:
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt", splits: list[str] | None = None) -> DataFrame:
-    """paper_id, split, path, text of files below a path (below each of its split folders); bytes that aren't UTF-8 are replaced."""
+    """paper_id, split, path, text of files below a path (below each of its split folders); bytes that aren't UTF-8 are replaced. In no order: a sort would move all contents, `path` is there to sort by."""
     parts = []
     for s in splits or [None]:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(f"{path}/{s}" if s else path)
@@ -51,7 +51,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt", splits: l
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("split", "path")
+    return out
 
 
 @F.pandas_udf(T.StringType())
