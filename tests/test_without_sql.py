@@ -5,6 +5,7 @@ import math
 import os
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import duckdb
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import boosting, cleaning, grammar, models, prep, sampling, stats
+from textloom.operators import boosting, cleaning, grammar, models, prep, sampling, spelling, stats
 from textloom.operators.ordering import quantiles
 from textloom.plans import QUERIES
 from textloom.plans import statistics as plans
@@ -347,6 +348,30 @@ def test_grammar_edits(spark):
     assert total > 20
 
 
+def test_spelling_corrections(spark):
+    cut = lambda text: re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", (text or "").lower())
+    texts_of = [(i, cut(t)) for i, t in duckdb.sql(f"select doc_id, text from '{FOLDER}/documents.parquet'").fetchall()]
+    n = Counter(w for _, t in texts_of for w in t)
+    k = Counter(p for _, t in texts_of for p in zip(t, t[1:]))
+    letters = {c for w in n for c in w}
+
+    def near(w):
+        made = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+        made |= {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        return [c for c in made if c != w and n[c] >= spelling.KNOWN]
+
+    found = {w: near(w) for w in n if n[w] < spelling.KNOWN and len(w) >= spelling.MIN_LETTERS}
+    want = set()
+    for i, t in texts_of:
+        for at, w in enumerate(t):
+            tried = [(-(k[t[at - 1], c] if at else 0) - (k[c, t[at + 1]] if at + 1 < len(t) else 0), -n[c], c) for c in found.get(w, ())]
+            if tried and (min(tried)[0] < 0 or -min(tried)[1] >= spelling.SURE * n[w]):
+                context, m, c = min(tried)
+                want.add((i, at, w, c, -context, -m))
+    got = QUERIES["spelling_corrections"](spark, FOLDER).select("doc_id", "place", "word", "correction", "context", "m").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
+
+
 def test_quantiles(spark):
     r = np.random.default_rng(3)
     rows = [(None if k % 7 == 0 else f"g{k % 3}", float(v)) for k, v in enumerate(r.integers(0, 40, 500))] + [("one", 5.0), ("none", None)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import cleaning, grammar, judging, language_model, papers, readability
+from ..operators import cleaning, grammar, judging, language_model, papers, readability, spelling
 from ..sources.readers import table
 from .registry import query, r, round_all
 
@@ -225,6 +225,12 @@ def kneser_ney_perplexity(spark, folder):
     return round_all(language_model.perplexity(docs, language_model.fit(docs.where("doc_id % 5 <> 0"))), 4)
 
 
+@query("spelling_corrections")
+def spelling_corrections(spark, folder):
+    """Rare words of the documents that are one edit from a known word which stands between the same neighbours."""
+    return round_all(spelling.corrections(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 @query("perplexity_windows", _WINDOWS + f"select a.doc_id, len(a.w)::bigint as n_tokens, coalesce(n_windows, 0)::bigint as n_windows, coalesce(n_pred_tokens, 0)::bigint as n_pred_tokens, {r('nll')} as neg_log_likelihood, {r('exp(nll / n_pred_tokens)')} as perplexity, case when len(a.w) < 1 then 'empty' when nll is null then 'too_short' else 'ok' end as status from a left join c using (doc_id)")
 def perplexity_windows(spark, folder):
     own = judging.perplexity(table(spark, folder, "documents").select("doc_id", "text"), length_scorer, window=64)
