@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import asyncio
+import contextlib
+import inspect
+import threading
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -65,37 +70,86 @@ def parse_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
     ).drop("__obj")
 
 
-def ask(prompts: DataFrame, judge: Callable[[], Callable[[str], str]], prompt_col: str = "prompt", retries: int = 2, batch_size: int = 16) -> DataFrame:
+@dataclass(frozen=True)
+class Calls:
+    """How a task calls its judge. together: calls at a time; deadline: seconds for a call, None for any; wait: seconds before the second try, doubled for each further one up to most_wait."""
+
+    retries: int = 2
+    together: int = 1
+    deadline: float | None = None
+    wait: float = 0.0
+    most_wait: float = 60.0
+
+
+async def _threaded(model: Callable[[str], str], prompt: str) -> str:
+    """model(prompt) in a thread of its own, which a deadline leaves behind: it ends by itself or with the worker."""
+    loop = asyncio.get_running_loop()
+    answer: asyncio.Future = loop.create_future()
+
+    def put(how: str, value) -> None:
+        if not answer.done():
+            getattr(answer, how)(value)
+
+    def work() -> None:
+        try:
+            how, value = "set_result", model(prompt)
+        except Exception as e:  # noqa: BLE001 raised again where it is awaited
+            how, value = "set_exception", e
+        with contextlib.suppress(RuntimeError):  # the loop may be gone
+            loop.call_soon_threadsafe(put, how, value)
+
+    threading.Thread(target=work, daemon=True).start()
+    return await answer
+
+
+async def answers(model, prompts: list[str], calls: Calls) -> list[str]:
+    """The answers in the order of the prompts; a call that fails or comes too late is tried again, and in the end an ERROR text. model may be a coroutine function."""
+    free = asyncio.Semaphore(max(1, calls.together))
+    call = model if inspect.iscoroutinefunction(model) or inspect.iscoroutinefunction(getattr(model, "__call__", None)) else lambda p: _threaded(model, p)
+
+    async def one(prompt: str) -> str:
+        answer = ""
+        for k in range(calls.retries + 1):
+            if k and calls.wait:  # without a place: others are asked meanwhile
+                await asyncio.sleep(min(calls.most_wait, calls.wait * 2 ** (k - 1)))
+            async with free:
+                try:
+                    return await asyncio.wait_for(call(prompt), calls.deadline)
+                except TimeoutError:
+                    answer = f"ERROR: no answer within {calls.deadline} s" if calls.deadline is not None else "ERROR: timed out"
+                except Exception as e:  # noqa: BLE001 a failed row is data
+                    answer = f"ERROR: {e}"
+        return answer
+
+    return list(await asyncio.gather(*(one(p) for p in prompts)))
+
+
+def ask(prompts: DataFrame, judge: Callable[[], Callable[[str], str]], prompt_col: str = "prompt", retries: int = 2, batch_size: int = 16, calls: Calls | None = None) -> DataFrame:
     """Adds `raw`, the judge's answer, or an ERROR text after so many retries. judge() is called once per task.
 
     A judge with a method `batch` gets batch_size prompts at a time; the prompts of a batch that fails are asked one by one.
+    calls: several at a time in a task, with deadlines and growing waits (retries counts if there is none); rows keep their order.
     """
     schema = StructType([*prompts.schema, StructField("raw", StringType())])
-
-    def single(model, prompt):
-        answer = None
-        for _ in range(retries + 1):
-            try:
-                return model(prompt)
-            except Exception as e:  # noqa: BLE001 a failed row is data
-                answer = f"ERROR: {e}"
-        return answer
+    how = calls or Calls(retries)
 
     def several(model, some):
         if hasattr(model, "batch"):
             try:
-                answers = list(model.batch(some))
-                if len(answers) == len(some):
-                    return answers
+                found = list(model.batch(some))
+                if len(found) == len(some):
+                    return found
             except Exception:  # noqa: BLE001 asked one by one below
                 pass
-        return [single(model, p) for p in some]
+        return asyncio.run(answers(model, some, how))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = judge()
+        size = max(batch_size, 8 * how.together)
         for frame in frames:
             own = frame[prompt_col].tolist()
-            yield frame.assign(raw=[a for i in range(0, len(own), batch_size) for a in several(model, own[i : i + batch_size])])
+            step = batch_size if hasattr(model, "batch") else size
+            yield frame.assign(raw=[a for i in range(0, len(own), step) for a in several(model, own[i : i + step])])
 
     return prompts.mapInPandas(run, schema)
 
