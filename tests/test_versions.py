@@ -65,14 +65,3 @@ def test_writers_side_by_side(spark, tmp_path):
     store = v._Store(spark, path)
     with pytest.raises(v.Conflict):
         store.publish(3, {})
-
-
-def test_counts_come_with_the_write(spark, tmp_path):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("counted", "one write")
-    df = spark.range(100).select("id", F.when(F.col("id") % 3 == 0, "empty").otherwise("wrote").alias("status"))
-    got = v.write_counted(df, lambda d: d.write.parquet(f"{tmp_path}/x"), {s: F.col("status") == s for s in ("empty", "wrote", "failed")})
-    jobs = tracker.getJobIdsForGroup("counted")
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert got == {"rows": 100, "empty": 34, "wrote": 66, "failed": 0} and len(jobs) == 1
-    assert v.write_counted(df.limit(0), lambda d: d.write.parquet(f"{tmp_path}/y"), {}) == {"rows": 0}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .operators import cleaning, grammar, judging, papers, prep, readability, sampling, stats
-from .sources import readers, versions, writers
+from .sources import readers, writers
 
 
 def load(spark: SparkSession, path: str, strings: list[str]) -> DataFrame:
@@ -39,12 +39,6 @@ def sharded(df: DataFrame, a) -> DataFrame:
     return df.orderBy(a.id).limit(a.limit) if a.limit else df
 
 
-def counted(df: DataFrame, path: str, counts: dict) -> dict[str, int]:
-    """Saves df and counts its rows in the same pass; counts of 0 are left out."""
-    found = versions.write_counted(df, lambda d: save(d, path), counts)
-    return {k: n for k, n in found.items() if n and k != "rows"}
-
-
 def run_clean(spark, a):
     kept, removed = cleaning.clean(load(spark, a.input, [a.id, a.text]), a.text, a.id)
     writers.write_audited(kept, removed, a.output)
@@ -67,7 +61,8 @@ def run_json2txt(spark, a):
 
 def run_pdf2json(spark, a):
     out = readers.read_pdfs(spark, a.input, named(a.parser))
-    return counted(out, a.output, {"wrote": F.col("error").isNull(), "failed": F.col("error").isNotNull()})
+    save(out, a.output)
+    return writers.run_counts(out.withColumn("status", F.when(F.col("error").isNull(), "wrote").otherwise("failed")))
 
 
 def run_readability_abstracts(spark, a):
@@ -90,7 +85,8 @@ def run_perplexity(spark, a):
     docs = load(spark, a.input, [a.id, a.text]).where(F.col(a.text).isNotNull())
     text = F.substring(F.col(a.text), 1, a.max_chars) if a.max_chars else F.col(a.text)
     out = judging.perplexity(sharded(docs.select(a.id, text.alias("text")), a), named(a.scorer), a.id, "text", a.window)
-    return counted(out, a.output, {x: F.col("status") == x for x in ("ok", "empty", "too_short")})
+    save(out, a.output)
+    return writers.run_counts(out)
 
 
 def run_grammar(spark, a):
@@ -166,7 +162,7 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"textloom {a.command}").getOrCreate()
     counts = COMMANDS[a.command][0](spark, a)
     if counts is not None:
-        print(json.dumps(counts if isinstance(counts, dict) else {str(r[0]): r[1] for r in counts.collect()}))
+        print(json.dumps({str(r[0]): r[1] for r in counts.collect()}))
 
 
 if __name__ == "__main__":

@@ -120,15 +120,6 @@ def versioned_sink(spark, folder):
     return versions.read(spark, path)
 
 
-@query("counted_write", "select 'rows' as status, count(*) as n from orders union all select o_orderstatus, count(*) from orders group by 1")
-def counted_write(spark, folder):
-    """Rows by status, counted in the pass that writes them."""
-    path = _place(spark, "counted")
-    own = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    found = versions.write_counted(own, lambda d: d.write.parquet(path), {x: F.col("o_orderstatus") == x for x in "FOP"})
-    return spark.createDataFrame(sorted(found.items()), "status string, n long")
-
-
 @query("renamed_columns", "select o_orderkey as paper_id, o_orderstatus as status, o_totalprice as price from orders where o_orderkey % 4 <> 0")
 def renamed_columns(spark, folder):
     """Renamed, without columns that would give the target away, without rows that lack a price."""
