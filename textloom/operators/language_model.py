@@ -21,13 +21,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions.batches import slices
 from ..sources.staging import discard, settle
 
 DISCOUNT = 0.75
 START = "\u0001"
+#: Bytes of text whose trigrams a task holds at a time.
+STEP = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,12 +43,38 @@ def words(text: Column) -> Column:
 
 
 def trigrams(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep, u, v, w of every word but a text's first; u is the start mark behind the first."""
-    own = docs.select(*[F.col(f"`{c}`") for c in keep or []], words(F.col(text_col)).alias("__w")).where(F.size("__w") > 1)
-    padded = F.concat(F.array(F.lit(START)), F.col("__w"))
-    at = lambda i: F.element_at(padded, i)
-    each = F.transform(F.sequence(F.lit(3), F.size("__w") + 1), lambda i: F.struct(at(i - 2).alias("u"), at(i - 1).alias("v"), at(i).alias("w")))
-    return own.select(*[F.col(f"`{c}`") for c in keep or []], F.explode(each).alias("__g")).select(*[F.col(f"`{c}`") for c in keep or []], "__g.*")
+    """keep, u, v, w, m of every word but a text's first; u is the start mark behind the first. Equal rows of a slice of STEP bytes are one with their number m, so add them up."""
+    kept = [f"`{c}`" for c in keep or []]
+    schema = StructType([docs.schema[c] for c in keep or []] + [StructField(c, StringType()) for c in "uvw"] + [StructField("m", LongType())])
+    own = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "__text", STEP):
+                lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(part.column("__text"), "")), r"[\x20\x09-\x0D]+")
+                row, word = pc.list_parent_indices(lists), pc.list_flatten(lists)
+                some = pc.not_equal(word, "")
+                row, known = np.asarray(row.filter(some)), word.filter(some).dictionary_encode()
+                code, names = np.asarray(known.indices).astype(np.int64) + 1, pa.concat_arrays([pa.array([START]), known.dictionary])
+                at = np.flatnonzero(row[1:] == row[:-1]) + 1  # words behind another one
+                before = np.zeros(len(at), np.int64)
+                third = (at > 1) & (row[at - 2] == row[at])
+                before[third] = code[at[third] - 2]
+                # numbers of pairs, so that a triple fits in 64 bits
+                _, pair = np.unique(before * len(names) + code[at - 1], return_inverse=True)
+                triple = pair.reshape(-1) * len(names) + code[at]
+                order = np.lexsort((triple, row[at])) if keep else np.argsort(triple, kind="stable")
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = triple[order][1:] != triple[order][:-1]
+                if keep:
+                    fresh[1:] |= row[at][order][1:] != row[at][order][:-1]
+                first = np.flatnonzero(fresh)
+                one, times = order[first], np.diff(np.append(first, len(order)))
+                made = [part.column(c).take(pa.array(row[at[one]])) for c in keep or []]
+                made += [names.take(pa.array(x)) for x in (before[one], code[at[one] - 1], code[at[one]])]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(times.astype(np.int64))], names=[*(keep or []), *"uvw", "m"])
+
+    return own.mapInArrow(run, schema)
 
 
 @dataclass
@@ -64,7 +97,7 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT) -> Model:
     count = F.count(F.lit(1)).alias("c")
     context = [F.sum("c").alias("t"), F.count(F.lit(1)).alias("d")]
-    c3 = settle(trigrams(docs, text_col).groupBy("u", "v", "w").agg(count), "trigrams")
+    c3 = settle(trigrams(docs, text_col).groupBy("u", "v", "w").agg(F.sum("m").alias("c")), "trigrams")
     c2 = settle(c3.groupBy("v", "w").agg(count), "bigrams")
     c1 = settle(c2.groupBy("w").agg(count), "words")
     total, n = c1.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -86,18 +119,24 @@ def probabilities(grams: DataFrame, m: Model) -> DataFrame:
             same = same & (F.col(k) == F.col(f"__{k}"))
         return out, same
 
-    out = grams
-    for df, keys, names in ((m.c3, ["u", "v", "w"], {"c3": "c"}), (m.x3, ["u", "v"], {"t3": "t", "k3": "d"}), (m.c2, ["v", "w"], {"c2": "c"}), (m.x2, ["v"], {"t2": "t", "k2": "d"}), (m.c1, ["w"], {"c1": "c"})):
-        table, same = side(df, keys, **names)
-        out = out.join(table, same, "left").drop(*[f"__{k}" for k in keys])
+    def joined(out: DataFrame, *tables) -> DataFrame:
+        for df, keys, names in tables:
+            table, same = side(df, keys, **names)
+            out = out.join(table, same, "left").drop(*[f"__{k}" for k in keys])
+        return out
+
     unknown = F.lit(1.0 / (m.words + 1))
     p1 = (F.greatest(F.coalesce(F.col("c1"), F.lit(0)) - d, F.lit(0.0)) + d * F.lit(m.words) * unknown) / F.lit(float(m.total)) if m.total else unknown
-    return out.select("u", "v", "w", level("c3", "t3", "k3", level("c2", "t2", "k2", p1)).alias("p"))
+    # the lower orders once for each pair of words
+    pairs = joined(grams.select("v", "w").distinct(), (m.c2, ["v", "w"], {"c2": "c"}), (m.x2, ["v"], {"t2": "t", "k2": "d"}), (m.c1, ["w"], {"c1": "c"}))
+    pairs = pairs.select("v", "w", level("c2", "t2", "k2", p1).alias("p2"))
+    out = joined(grams, (m.c3, ["u", "v", "w"], {"c3": "c"}), (m.x3, ["u", "v"], {"t3": "t", "k3": "d"}), (pairs, ["v", "w"], {"p2": "p2"}))
+    return out.select("u", "v", "w", level("c3", "t3", "k3", F.col("p2")).alias("p"))
 
 
 def perplexity(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_pred_tokens, neg_log_likelihood, perplexity, status of each text."""
-    own = settle(trigrams(docs, text_col, [id_col]).groupBy(id_col, "u", "v", "w").agg(F.count(F.lit(1)).alias("m")), "scored-grams")
+    own = settle(trigrams(docs, text_col, [id_col]), "scored-grams")
     p = settle(probabilities(own.select("u", "v", "w").distinct(), m), "probabilities").withColumnsRenamed({k: f"__{k}" for k in "uvw"})
     same = F.expr("u = __u and v = __v and w = __w")
     sums = own.join(p, same).groupBy(F.col(id_col).alias("__id")).agg(F.sum("m").alias("n_pred_tokens"), (-F.sum(F.col("m") * F.log("p"))).alias("neg_log_likelihood"))
