@@ -7,9 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that a Python step turns into Python objects at a time.
 STEP = 1 << 19
+#: Bytes of an Arrow batch on its way to or from Python; the default is 64 MB for each task on either side.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES at most; a lower bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value = spark.conf.get(name).rstrip("b")
+    if not value.isdigit() or int(value) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = STEP) -> Iterator[pa.RecordBatch]:

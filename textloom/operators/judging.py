@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import scalars as s
 from ..functions import text as t
+from ..functions.batches import bounded, slices
 
 ERROR_MARKS = "ERROR:|failed to parse|maximum model length"
 
@@ -174,7 +175,7 @@ def perplexity(docs: DataFrame, scorer: Callable[[], Callable[[list[list[str]]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "own")):
             rows = [x if x is None or tokens else x.split(" ") if x else [] for x in batch.column("own").to_pylist()]
             cut = [(i, r[k : k + window]) for i, r in enumerate(rows) if r for k in range(0, len(r), window) if len(r) - k >= 2]
             count, predicted, sums = [0] * len(rows), [0] * len(rows), [None] * len(rows)
@@ -187,6 +188,7 @@ def perplexity(docs: DataFrame, scorer: Callable[[], Callable[[list[list[str]]],
             columns = [pa.array([None if r is None else len(r) for r in rows], pa.int32()), pa.array(count, pa.int64()), pa.array(predicted, pa.int64()), pa.array(sums, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "n_tokens", "n_windows", "n_pred_tokens", "neg_log_likelihood"])
 
+    bounded(docs.sparkSession)
     scored = docs.select(id_col, own.alias("own")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens int, n_windows long, n_pred_tokens long, neg_log_likelihood double")
     status = F.when(F.col("n_tokens") < 1, "empty").when(F.col("neg_log_likelihood").isNull(), "too_short").otherwise("ok")
     return scored.withColumns({"perplexity": F.exp(F.col("neg_log_likelihood") / F.nullif("n_pred_tokens", F.lit(0))), "status": status})

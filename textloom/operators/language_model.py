@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.batches import slices
+from ..functions.batches import bounded, slices
 from ..sources.staging import discard, settle
 
 DISCOUNT = 0.75
@@ -74,6 +74,7 @@ def trigrams(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
                 made += [names.take(pa.array(x)) for x in (before[one], code[at[one] - 1], code[at[one]])]
                 yield pa.RecordBatch.from_arrays([*made, pa.array(times.astype(np.int64))], names=[*(keep or []), *"uvw", "m"])
 
+    bounded(docs.sparkSession)
     return own.mapInArrow(run, schema)
 
 
