@@ -24,9 +24,12 @@ MOJIBAKE = [("ï»¿", " "), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¶", "ö"), ("
 
 #: White space as str.split() sees it.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: Runs of it but for a single space, which needs no replacing.
+_UNEVEN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*+| [\s\x1c-\x1f]++"
 #: A word boundary with letters and numbers of all scripts, and no marks, as word characters.
 EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
-WORD = rf"{EDGE}[a-zA-Z][a-zA-Z'-]*{EDGE}"
+#: The word begins with a letter, so the edge before it is the end of what is no word character.
+WORD = rf"(?<![\p{{L}}\p{{N}}_])[a-zA-Z][a-zA-Z'-]*{EDGE}"
 PLAIN_SIGNS = r""".,;:!?\-'"()"""
 
 
@@ -47,15 +50,17 @@ def unescape_html(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space runs become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, _UNEVEN, " "))
 
 
 def clean_text(c: Column, unescape: bool = True) -> Column:
     """Decoded, without tags, LaTeX commands, long formulas and line breaks; null becomes the empty text."""
     x = F.coalesce(c.cast("string"), F.lit(""))
     x = unescape_html(x) if unescape else x
+    broken = x
     for old, new in MOJIBAKE:
-        x = F.replace(x, F.lit(old), F.lit(new))
+        broken = F.replace(broken, F.lit(old), F.lit(new))
+    x = F.when(x.contains("Ã") | x.contains("â€") | x.contains("ï»¿"), broken).otherwise(x)
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     x = F.regexp_replace(x, r"\\[a-zA-Z]+(\[[^\]]*\])?(\{[^{}]*\})?", " ")
     x = F.translate(x, "\u2028\u2029\n\r\t", "     ")
@@ -70,7 +75,8 @@ def words(c: Column) -> Column:
 
 
 def _count(c: Column, dropped: str) -> Column:
-    return F.length(F.regexp_replace(c, dropped, ""))
+    """Characters outside a class; the class goes by runs, which is one replacement for each and not for each character."""
+    return F.length(F.regexp_replace(c, dropped + "++", ""))
 
 
 def text_stats(c: Column, own: Column | None = None) -> dict[str, Column]:
@@ -100,12 +106,12 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
 
 
 def single_letters(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"{EDGE}[a-zA-Z]{EDGE}"))
+    return F.regexp_count(c, F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z](?![\p{L}\p{N}_])"))
 
 
 def duplicate_form(c: Column) -> Column:
     """Lower case, a-z 0-9 only, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]++", " "))
 
 
 def normal_line(c: Column) -> Column:
