@@ -23,3 +23,13 @@ def test_squeeze_is_split_and_join(spark):
         assert r.s == (None if r.x is None else " ".join(r.x.split()))
 
 
+def test_parts_of_a_text_are_found_once(spark):
+    """Each chunk cut the whole text into sentences again; now the cut stands once in the plan's expression, outside the lambda over places."""
+    df = spark.createDataFrame([(". ".join(f"s{i}" for i in range(45)),), ("",), (None,)], "x string")
+    parts = t.sentences(F.col("x"))
+    for own in (t.chunks(parts, 20), t.even_subset(parts, 7), t.windows(parts, 20)):
+        assert df.select(own.alias("y"))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = df.select(t.chunks(parts, 20).alias("c"), t.even_subset(parts, 7).alias("e")).collect()
+    assert [len(c) for c in got[0].c] == [20, 20, 5] and len(got[0].e) == 7
+    assert got[0].e == [got[0].c[int(i * (45 / 7)) // 20][int(i * (45 / 7)) % 20] for i in range(7)]
+    assert got[1].c == [] and got[1].e == [] and got[2].e is None

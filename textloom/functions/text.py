@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -140,24 +141,40 @@ def word_count(c: Column) -> Column:
     return F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x found once: an expression that stands in a lambda is found anew for each of its items."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def chunks(items: Column, size: int) -> Column:
     """Consecutive slices of an array."""
-    n = F.ceil(F.size(items) / F.lit(size)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(items, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(xs: Column) -> Column:
+        n = F.ceil(F.size(xs) / F.lit(size)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(xs, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return once(items, cut)
 
 
 def even_subset(items: Column, limit: int) -> Column:
     """`limit` items at even steps; all if there are no more."""
-    step = F.size(items) / F.lit(float(limit))
-    some = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get(items, F.floor(i * step).cast("int")))
-    return F.when(items.isNull() | (F.size(items) <= limit), items).otherwise(some)
+
+    def some(xs: Column) -> Column:
+        step = F.size(xs) / F.lit(float(limit))
+        few = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get(xs, F.floor(i * step).cast("int")))
+        return F.when(xs.isNull() | (F.size(xs) <= limit), xs).otherwise(few)
+
+    return once(items, some)
 
 
 def windows(items: Column, size: int, least: int = 2) -> Column:
     """Consecutive slices of at least `least` items."""
-    n = F.size(items)
-    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda i: F.slice(items, i + 1, F.lit(size))))
-    return F.filter(cut, lambda w: F.size(w) >= least)
+
+    def cut(xs: Column) -> Column:
+        n = F.size(xs)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda i: F.slice(xs, i + 1, F.lit(size))))
+
+    return F.filter(once(items, cut), lambda w: F.size(w) >= least)
 
 
 def truncate(c: Column, limit: int, marker: str = "\n\n[TRUNCATED]") -> Column:
