@@ -1,0 +1,25 @@
+"""A value in most rows isn't gathered in one task where the join is a shuffle."""
+
+from pyspark.sql import functions as F
+
+from textloom.operators import prep
+
+
+def test_hot_value_is_spread(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, ("-1", "false", "8")):
+            spark.conf.set(n, v)
+        df = spark.range(8000).selectExpr("id", "case when id % 10 < 8 then 'hot' when id % 100 = 9 then 'rare' else concat('v', id % 3) end as v")
+        out = prep.fold_rare(df, "v", 100)
+        most = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("v").alias("n"), F.max("v")).agg(F.max("n"), F.max("max(v)")).first()[0]
+        assert most < 2000  # 6400 rows of one value
+        got = {r.v: r["count"] for r in out.groupBy("v").count().collect()}
+        assert got["hot"] == 6400 and "rare" not in got and got["Other"] == 80 and sum(got.values()) == 8000
+    finally:
+        for n, v in before.items():
+            if v is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, v)

@@ -44,17 +44,23 @@ def citation_ordinal(c: Column) -> Column:
     return s.cut(c, CITATION_EDGES, list(range(5)))
 
 
+#: Parts into which the rows of a value are dealt before they meet what is known of it.
+SALTS = 64
+
+
 def fold_rare(df: DataFrame, col: str, least: int = 100, keep: list[str] | None = None, other: str = "Other", merge: tuple[str, str] | None = None) -> DataFrame:
     """Values with fewer than `least` rows become `other`, missing ones `Missing`; merge=(needle, name) first gathers values that contain the needle.
 
-    Counts are aggregated and joined back, so a value in most rows is never gathered.
+    Counts are aggregated and joined back over `SALTS` parts of each value's rows, so a value in most rows is never gathered in one task.
     """
     value = s.missing_as(F.col(col))
     if merge:
         value = F.when(F.lower(value).contains(merge[0]), F.lit(merge[1])).otherwise(value)
     own = df.withColumn(col, value)
     kept = own.groupBy(col).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") >= least) | F.col(col).isin(keep or []))
-    return own.join(kept.select(col, F.lit(True).alias("__k")), col, "left").withColumn(col, F.when(F.col("__k"), F.col(col)).otherwise(other)).drop("__k").select(*df.columns)
+    dealt = own.withColumn("__salt", F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns]), F.lit(SALTS)).cast("int"))
+    known = kept.select(col, F.lit(True).alias("__k"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return dealt.join(known, [col, "__salt"], "left").withColumn(col, F.when(F.col("__k"), F.col(col)).otherwise(other)).drop("__k", "__salt").select(*df.columns)
 
 
 def publication_flags(c: Column) -> dict[str, Column]:
