@@ -105,3 +105,27 @@ def test_odd_rows(spark):
     assert {(r[0], r[6]) for r in got} == {("en", 800_000), ("und", 80)}
     none = p.collocations(df.limit(0))
     assert none.count() == 0 and tuple(none.columns) == NAMES
+
+
+def test_places_as_gaps():
+    r = np.random.default_rng(7)
+    for top in (3, 300, 10**6, 2**32 - 1):
+        at = np.sort(r.integers(0, top, 500, dtype=np.uint64).astype(np.uint32))
+        assert p.places(p.gaps(at)).tolist() == at.tolist()
+    assert not len(p.places(p.gaps(at[:0])))
+
+
+def test_sketch_grows_with_the_text(spark):
+    """Of rare n-grams few reach the second pass, whatever the size; all frequent ones do."""
+    r = np.random.default_rng(8)
+    for n in (400, 3200):
+        rows = [("en", " ".join(f"{x:x}" for x in r.integers(0, 1 << 40, 60)) + " ab cd") for _ in range(n)]
+        docs = p._texts(spark.createDataFrame(rows, "lang string, text string"))
+        bits = p.width(docs)
+        assert 12 * 2**bits <= sum(len(t) for _, t in rows) <= 24 * 2**bits or bits == p.MIN_BITS
+        full, live, of = p.full_cells(docs, 13 if n == 400 else 16), Counter(), 0
+        for grams, _ in p._grams(docs.toArrow().to_batches(), 4):
+            own = p.survivors(grams, full, 13 if n == 400 else 16)
+            live.update(grams.strings(own).to_pylist())
+            of += len(grams.hash)
+        assert live["ab"] == live["ab cd"] == n and sum(live.values()) - 3 * n < 0.05 * of

@@ -1,12 +1,12 @@
-"""Phrase collocations: merged count-min sketches bound every n-gram's count, a second pass counts the survivors exactly.
+"""Phrase collocations: a merged count-min sketch bounds every n-gram's count, a second pass counts the survivors exactly.
 
 A-Z are lower-cased; BREAKS cut a text into pieces, spaces and tabs a piece into words; a phrase is up to MAX_WORDS words in a row
-within a piece. All counts are per language (null: `und`). First each task adds its n-grams to a sketch of DEPTH rows; tasks'
-sketches are merged block by block in Spark and clipped at min_count, so the merged one takes DEPTH bytes a column. A cell is never less than the
-count of any n-gram in it: what stays below min_count can't be frequent, and is left out of the second pass, which counts all
-others exactly, as strings, by a partial and a final aggregation. A sketch has 2**BITS columns at every size of input, which bounds what is
-broadcast (64 MB) and what a task holds (128 MB), and makes what tasks send grow with their number. Over about min_count * 2**BITS bytes of text (a gigabyte
-at a count of 30) more infrequent n-grams reach the second pass, and the result stays the same: for more give more bits, or a min_count that grows with the corpus.
+within a piece. All counts are per language (null: `und`). First each task sends the sorted cells of its n-grams, about a byte for each, and
+Spark sums them block by block, clipped at min_count. A cell is never less than the count of any n-gram in it: what stays below
+min_count can't be frequent, and neither can what holds such an n-gram; both are left out of the second pass, which counts all
+others exactly, as strings, by a partial and a final aggregation. The sketch has a cell for each 0.8 * min_count bytes of text, so that a cell holds half of
+min_count on the average, whatever the input's size; what is broadcast is one bit a cell, 2**MAX_BITS of them (128 MB) at most, and a task holds
+CHUNK cells (64 MB) or a block. Beyond MAX_BITS (some 25 GB of text) more infrequent n-grams reach the second pass, and the result stays the same.
 
 A candidate of 2 or more words with a >= min_count is cut after its first k words into parts of l and r occurrences and scores
 floor(SCALE * a / (l + r)); its lowest cut counts, ties to the smallest k. Parts of a frequent phrase are frequent, so the counted ones suffice. A candidate
@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 from .common import _Tables, mix, rows_of, settle, span_hashes, text_slices
 
 MIN_COUNT, MAX_WORDS, PERCENT, SCALE, TOP = 30, 4, 80, 2_000_000, 2_000
-BITS, DEPTH = 25, 2
+MIN_BITS, MAX_BITS, DEPTH = 16, 30, 1
 STRETCH = 1 << 20
-#: n-grams that a task adds to its sketch before it clips their cells, which are of 16 bits.
-STRIDE = 1 << 15
-#: Cells of a sketch that travel as one row.
-BLOCK = 1 << 16
+#: Cells that a task sorts and sends at a time, and cells of the sketch that are summed by one task at a time.
+CHUNK, BLOCK = 1 << 24, 1 << 20
 #: Groups into which a language's candidates are dealt before they are ranked.
 SALTS = 64
 UNKNOWN = "und"
@@ -125,6 +123,12 @@ class Grams:
         return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.text[at])]).cast(pa.string())
 
 
+def width(docs: DataFrame, min_count: int = MIN_COUNT) -> int:
+    """The bits of a sketch whose cells hold about half of min_count n-grams."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(int(np.ceil(np.log2(max(size, 1) / (0.8 * min_count)))), MIN_BITS), MAX_BITS)
+
+
 def columns(hashes: np.ndarray, bits: int, depth: int = DEPTH) -> list[np.ndarray]:
     """The column of each hash in each row of a sketch."""
     return [(mix(hashes + _U(0xD6E8FEB86659FD93 * d % (1 << 64))) >> _U(64 - bits)).astype(np.int64) for d in range(depth)]
@@ -147,64 +151,117 @@ def _cell_type(min_count: int):
     return next(t for t in (np.uint8, np.uint16, np.uint32) if min_count <= np.iinfo(t).max)
 
 
-def sketch(docs: DataFrame, bits: int = BITS, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, depth: int = DEPTH) -> np.ndarray:
-    """The merged sketch of docs(lang, text): (depth, 2**bits) counts, never too small, clipped at min_count."""
-    kind, block = _cell_type(min_count), min(BLOCK, 1 << bits)
+def gaps(places: np.ndarray) -> bytes:
+    """Sorted places as the gaps between them: a byte 255 for each 255 of a gap, and one for the rest."""
+    times, rest = np.divmod(np.diff(places, prepend=places.dtype.type(0)), 255)
+    ends = np.cumsum(times.astype(np.int64) + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = rest
+    return out.tobytes()
+
+
+def places(raw: bytes) -> np.ndarray:
+    """What gaps() was given."""
+    few = np.frombuffer(raw, np.uint8)
+    return np.cumsum(few, dtype=np.int64)[few != 255]
+
+
+def _sent(cells: np.ndarray, block: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The cells, each `most` times at most, as rows of blocks."""
+    cells.sort()
+    fresh = np.ones(len(cells), bool)
+    fresh[most:] = cells[most:] != cells[:-most]
+    cells = cells[fresh]
+    of = cells // cells.dtype.type(block)
+    first = np.flatnonzero(np.diff(of.astype(np.int64), prepend=-1))
+    for few in np.array_split(first, -(-len(first) // 64)) if len(first) else ():
+        ends = np.append(few[1:], first[np.searchsorted(first, few[-1]) + 1] if few[-1] != first[-1] else len(cells))
+        raw = [gaps(cells[a:b] - of[a] * cells.dtype.type(block)) for a, b in zip(few, ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(of[few].astype(np.int32)), pa.array(raw, pa.binary())], names=["block", "cells"])
+
+
+def _merged(docs: DataFrame, bits: int, min_count: int, max_words: int, depth: int, finish) -> Iterator[tuple[int, pa.Buffer]]:
+    """(block, finish(its cells' counts, clipped at min_count)) of all blocks with n-grams."""
+    kind, block, size = _cell_type(min_count), min(BLOCK, 1 << bits), CHUNK
+    cell = np.uint32 if depth << bits <= 1 << 32 else np.uint64
 
     def count(batches):
-        cells = np.zeros((depth, 1 << bits), np.uint16 if min_count < STRIDE else np.uint32)
+        held, n = np.empty(size, cell), 0
         for grams, _ in _grams(batches, max_words):
-            for row, at in zip(cells, columns(grams.hash, bits, depth)):
-                for i in range(0, len(at), STRIDE):  # between clips no cell can run over
-                    own = at[i : i + STRIDE]
-                    np.add.at(row, own, cells.dtype.type(1))
-                    row[own] = np.minimum(row[own], min_count)
-        yield from _blocks((k, np.minimum(own, min_count).astype(kind)) for k, own in enumerate(cells.reshape(-1, block)) if own.any())
+            for d, at in enumerate(columns(grams.hash, bits, depth)):
+                at = (at + (d << bits)).astype(cell)
+                while len(at):
+                    some = at[: size - n]
+                    held[n : n + len(some)] = some
+                    n, at = n + len(some), at[len(some) :]
+                    if n == size:
+                        yield from _sent(held, block, min_count)
+                        n = 0
+        yield from _sent(held[:n], block, min_count)
 
     def merge(batches):
-        sums: dict[int, np.ndarray] = {}
+        own, now = np.zeros(block, kind), None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([finish(own)], pa.binary())], names=["block", "cells"])
         for batch in batches:
-            for k, few in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                own = sums.setdefault(k, np.zeros(block, np.uint32))
-                np.minimum(own + np.frombuffer(zlib.decompress(few), kind), min_count, out=own)
-        yield from _blocks((k, own.astype(kind)) for k, own in sums.items())
-
-    shape = "block int, counts binary"
-    merged = _texts(docs).mapInArrow(count, shape).repartition("block").mapInArrow(merge, shape).toArrow()
+            for k, raw in zip(batch.column("block").to_pylist(), batch.column("cells")):
+                if k != now:
+                    if now is not None:
+                        yield made()
+                    own[:], now = 0, k
+                at = places(raw.as_buffer())
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                own[at[first]] = np.minimum(own[at[first]] + np.diff(np.append(first, len(at))), min_count)
+        if now is not None:
+            yield made()
+
+    shape = "block int, cells binary"
+    got = _texts(docs).mapInArrow(count, shape).repartition("block").sortWithinPartitions("block").mapInArrow(merge, shape).toArrow()
+    return zip(got.column("block").to_pylist(), (x.as_buffer() for x in got.column("cells")))
+
+
+def sketch(docs: DataFrame, bits: int, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, depth: int = DEPTH) -> np.ndarray:
+    """The merged sketch of docs(lang, text): (depth, 2**bits) counts, never too small, clipped at min_count."""
+    kind, block = _cell_type(min_count), min(BLOCK, 1 << bits)
     out = np.zeros(((depth << bits) // block, block), kind)
-    for k, few in zip(merged.column("block").to_pylist(), merged.column("counts").to_pylist()):
-        out[k] = np.frombuffer(zlib.decompress(few), kind)
+    for k, raw in _merged(docs, bits, min_count, max_words, depth, lambda own: own.tobytes()):
+        out[k] = np.frombuffer(raw, kind)
     return out.reshape(depth, -1)
 
 
-def _blocks(cells: Iterator[tuple[int, np.ndarray]], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """Blocks of a sketch as rows; counts are small and mostly 0, so runs and code lengths take a few bits a cell."""
-    held: list[tuple[int, bytes]] = []
-    for k, own in cells:
-        coder = zlib.compressobj(1, strategy=zlib.Z_RLE)
-        held.append((k, coder.compress(own.tobytes()) + coder.flush()))
-        if len(held) == rows:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
+def full_cells(docs: DataFrame, bits: int, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> np.ndarray:
+    """Of the sketch's cells which reach min_count, a bit each."""
+    step = max(1, min(BLOCK, 1 << bits) // 8)
+    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for k, raw in _merged(docs, bits, min_count, max_words, 1, lambda own: np.packbits(own >= min_count, bitorder="little").tobytes()):
+        out[k * step : (k + 1) * step] = np.frombuffer(raw, np.uint8)
+    return out
 
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "counts"])
+def survivors(grams: Grams, full: np.ndarray, bits: int, max_words: int = MAX_WORDS) -> np.ndarray:
+    """The n-grams that may be frequent: their cells are full, and those of the two that are a word shorter."""
+    at = columns(grams.hash, bits, 1)[0]
+    passed = (full[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    out, shorter = [], None
+    for k in range(1, max_words + 1):
+        a, b = np.searchsorted(grams.size, [k, k + 1])
+        own = a + np.flatnonzero(passed[a:b])
+        if k > 1:
+            own = own[shorter[grams.word[own]] & shorter[grams.word[own] + 1]]
+        shorter = ~grams.begun  # those that begin in the next stretch aren't known here
+        shorter[grams.word[own]] = True
+        out.append(own)
+    return np.concatenate(out)
 
 
-def counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, bits: int = BITS) -> DataFrame:
+def counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, bits: int | None = None) -> DataFrame:
     """lang, phrase, words, f of every n-gram with f >= min_count, and a row of words = 0 with the number of all words for each language. Written."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(sketch(docs, bits, min_count, max_words))
+    bits = width(docs, min_count) if bits is None else bits
+    known = spark.sparkContext.broadcast(full_cells(docs, bits, min_count, max_words))
 
     def count(batches):
-        rows = known.value
         for grams, langs in _grams(batches, max_words):
-            live = np.arange(len(grams.hash))
-            for row, at in zip(rows, columns(grams.hash, bits, len(rows))):
-                live = live[row[at[live]] >= min_count]
+            live = survivors(grams, known.value, bits, max_words)
             live = live[np.argsort(grams.hash[live], kind="stable")]
             h, g = grams.hash[live], grams.check[live]
             fresh = np.ones(len(live), bool)
@@ -242,7 +299,7 @@ def subsumed(counted: DataFrame) -> DataFrame:
     return counted.where("words >= 3").select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, percent: int = PERCENT, top: int = TOP, scale: int = SCALE, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, percent: int = PERCENT, top: int = TOP, scale: int = SCALE, bits: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language of docs(lang, text)."""
     counted = counts(docs, min_count, max_words, bits)
     inside = subsumed(counted).withColumnsRenamed({"lang": "__lang", "phrase": "__phrase"})
