@@ -136,3 +136,22 @@ def test_the_sample_is_bounded_and_full(spark):
         t.fit = real
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     assert kept[0] == 60 and kept[3] == sum(not held(i) for i in range(0, 300, 3)) + (0 if held(7) else 3)
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """A word that only rows beyond the start's bound have is learned; cuts come from all rows."""
+    start = [(i, x, y, g) for i, (x, y, g) in enumerate(corpus(9, 3000))]
+    more = [(i + 3000, x + (" zwergnase" if y else ""), y, g) for i, (x, y, g) in enumerate(corpus(10, 3000, bad=("zwergnase", "zwerghut")))]
+    docs = spark.createDataFrame([(i, x, g) for i, x, _, g in start + more], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in start + more], "doc_id long, toxic int")
+    net = t.train(docs, labels, max_rows=100)
+    few = t.train(docs.where("doc_id < 100"), labels)
+    hit = lambda n: float(np.mean([(s >= 0.3) == y for s, (_, _, y, _) in zip(t.score(n, *pack([x for _, x, _, _ in more])), more)]))
+    assert hit(net) > max(0.9, hit(few)) and {"de", "en"} <= set(net.cuts)
+
+
+def test_cuts_of_counts():
+    r = np.random.default_rng(11)
+    s, y = np.round(r.random(400), 2), r.integers(0, 2, 400)
+    own, at = np.unique(s, return_inverse=True)
+    assert t.best_cut_of_counts(own, np.bincount(at, y), np.bincount(at)) == pytest.approx(t.best_cut(s, y))
