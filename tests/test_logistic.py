@@ -20,3 +20,8 @@ def test_subsets_reach_the_optimum_in_few_passes(spark, monkeypatch):
         b = np.array(m.coefficients)
         e = w * (1 / (1 + np.exp(-m.intercept - x[:, own] @ b)) - y)
         assert e.sum() == pytest.approx(0, abs=1e-3) and x[:, own].T @ e + b == pytest.approx(0 * b, abs=1e-3)
+
+
+def test_tasks_of_a_fit_are_bounded(spark):
+    rows = spark.range(1000).coalesce(1)
+    assert models.dealt(rows, 1000, 300).rdd.getNumPartitions() == 4 and models.dealt(rows, 1000, 1000).rdd.getNumPartitions() == 1
