@@ -6,6 +6,8 @@ import pytest
 
 from textloom.llm import toxicity as t
 
+from ..shuffles import shuffled
+
 
 def pack(texts):
     raw = [x.encode() for x in texts]
@@ -155,3 +157,15 @@ def test_cuts_of_counts():
     s, y = np.round(r.random(400), 2), r.integers(0, 2, 400)
     own, at = np.unique(s, return_inverse=True)
     assert t.best_cut_of_counts(own, np.bincount(at, y), np.bincount(at)) == pytest.approx(t.best_cut(s, y))
+
+
+def test_texts_without_a_label_are_not_shuffled(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> md5(string(id * 100 + i)))) as text", "'de' as lang").repartition(3).cache()
+    docs.count()
+    labels = spark.createDataFrame([(i, int(i % 3 == 0) if i % 40 == 0 else None) for i in range(8000)], "doc_id long, toxic int")
+    rows = t._labelled(docs, labels, "toxic")
+    assert shuffled(spark, lambda: rows.write.format('noop').mode('append').save()) < 4000 * 40 * 32 / 10
+    want = {i for i in range(0, 4000, 40) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {(r.id, r.y) for r in rows.collect()} == {(i, int(i % 3 == 0)) for i in want} and all(len(r.text) == 40 * 33 - 1 for r in rows.collect())

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
+from ..functions.bitmaps import among
 from .common import _Tables, discard, rows_of, settle, span_hashes, text_slices
 from .sample import labelled_rows
 
@@ -292,10 +293,11 @@ def _half(ids: list[int]) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """id, y, text, lang of all rows that are trained on."""
+    """id, y, text, lang of all rows that are trained on. Texts without a label are dropped by a bitmap of the labelled ids and aren't shuffled."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where("id is not null").join(known, "id").select("id", "y", "text", "lang")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where("id is not null")
+    return among(own, F.col("id"), known.select("id"), known.count()).join(known.hint("merge"), "id").select("id", "y", "text", "lang")
 
 
 def _round(rows: DataFrame, nets: list[Net], rate: float) -> list[Net]:
