@@ -4,6 +4,8 @@ from collections import Counter
 
 from textloom.operators import spelling as sp
 
+from .shuffles import shuffled
+
 
 def cut(text):
     return re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", (text or "").lower())
@@ -88,3 +90,15 @@ def test_no_pair_without_a_deletion_in_common(spark):
     df = spark.createDataFrame([("garden", 9), ("gadren", 1), ("window", 9), ("wimdow", 1)], "word string, n long")
     plan = sp.candidates(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and {(x.word, x.candidate) for x in sp.candidates(df).collect()} == {("gadren", "garden"), ("wimdow", "window")}
+
+
+def test_only_what_is_looked_up_is_shuffled(spark):
+    """Of 120,000 occurrences in 80,000 different pairs, 30 are of unknown words."""
+    r = random.Random(7)
+    known = sorted({"".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(300)})
+    rows = [(i, " ".join(r.choice(known) for _ in range(40)) + (" " + typo(r, known[i]) + " " + known[0] if i < 30 else "")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    got = []
+    assert shuffled(spark, lambda: got.extend(tuple(x) for x in sp.corrections(df).select("doc_id", "place", "word", "correction", "context", "m").collect())) < 700_000
+    assert sorted(got, key=str) == plain(rows, sp.KNOWN, sp.SURE, sp.MIN_LETTERS) and len(got) > 10

@@ -8,7 +8,8 @@ of a distinct word, and meet by an equi-join, so no pair of words is tried that
 Each occurrence of an unknown word takes the candidate that stands most often between its neighbours, that is with the largest count of
 (word before, candidate) and (candidate, word after) among all occurrences of the corpus, then the more frequent one, then the one that sorts first.
 Without a neighbour in common the candidate's count has to be `sure` times the unknown word's. All counts are partial aggregations, all lookups joins on
-words or pairs of words; a word in most rows is counted before it meets anything.
+words or pairs of words; a word in most rows is counted before it meets anything. Bitmaps of the unknown words that have candidates, then of the pairs that
+their candidates would make, drop all other occurrences before these are shuffled, so only pairs that are looked up are counted.
 
 Null and empty texts have no words. Corrections carry the place of their word (from 0, in words), so a word that a text repeats has one for each place; rows that repeat an id and
 a text have theirs once, and count in all counts; rows of a null id are one text. An empty table has no corrections, and neither has one without known words.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import among
 from ..sources.staging import discard, settle
 
 KNOWN, SURE, MIN_LETTERS = 5, 20, 4
@@ -59,20 +61,22 @@ def corrections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = lambda i: F.try_element_at("w", i)
     each = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct((i - 1).alias("place"), F.when(i > 1, at(i - 1)).alias("before"), at(i).alias("word"), at(i + 1).alias("after")))
     rows = own.select("id", F.explode(each).alias("x")).select("id", "x.*")
-    counted = settle(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    counted = settle(own.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     near = settle(candidates(counted, known, min_letters), "candidates")
-    odd = settle(rows.join(near.select("word").distinct(), "word", "left_semi"), "unknown-words")
-    pairs = rows.where("after is not null").groupBy(F.col("word").alias("a"), F.col("after").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    pairs = settle(pairs, "word-pairs")
-    tried = odd.join(near, "word")
+    unknown = near.select("word").distinct()
+    tried = settle(among(rows, F.col("word"), unknown, unknown.count()).join(near, "word"), "unknown-words")
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    beside = tried.where("before is not null").select(pair("before", "candidate").alias("pair")).unionAll(tried.where("after is not null").select(pair("candidate", "after").alias("pair")))
+    pairs = among(rows.where("after is not null").select(F.col("word").alias("a"), F.col("after").alias("b")), pair("a", "b"), beside, 2 * tried.count())
+    pairs = settle(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")), "word-pairs")
     before = pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("k").alias("left_k"))
     after = pairs.select(F.col("a").alias("__c"), F.col("b").alias("__d"), F.col("k").alias("right_k"))
-    tried = tried.join(before, F.expr("before = __a and candidate = __b"), "left").join(after, F.expr("candidate = __c and after = __d"), "left")
     context = F.coalesce("left_k", F.lit(0)) + F.coalesce("right_k", F.lit(0))
-    best = tried.groupBy("id", "place", "word", "before", "after").agg(F.min(F.struct((-context).alias("context"), (-F.col("m")).alias("m"), "candidate", "n")).alias("best"))
+    known_by = tried.join(before, F.expr("before = __a and candidate = __b"), "left").join(after, F.expr("candidate = __c and after = __d"), "left")
+    best = known_by.groupBy("id", "place", "word", "before", "after").agg(F.min(F.struct((-context).alias("context"), (-F.col("m")).alias("m"), "candidate", "n")).alias("best"))
     out = best.select(F.col("id").alias(id_col), "place", "word", F.col("best.candidate").alias("correction"), (-F.col("best.context")).alias("context"), (-F.col("best.m")).alias("m"), F.col("best.n").alias("n"))
     found = settle(out.where(f"context > 0 or m >= {sure} * n").drop("n"), "corrections")
-    discard(counted, near, odd, pairs)
+    discard(counted, near, tried, pairs)
     return found
 
 
