@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from textloom.operators import prep, stats
 
+from .shuffles import shuffled
+
 
 def ranks(x):
     _, at, n = np.unique(x, return_inverse=True, return_counts=True)
@@ -94,3 +96,27 @@ def test_distinct_counts_up_to_three(spark):
     df = spark.createDataFrame([(1, 1, "x", None, 1.0), (1, 2, "x", None, 2.0), (1, 2, None, None, 3.0)], "one int, two int, text string, none int, many double")
     assert prep.distinct_counts(df, df.columns) == {"one": 1, "two": 2, "text": 1, "none": 0, "many": 3}
     assert prep.constant_columns(df, df.columns) == ["one", "text", "none"] and prep.continuous_columns(df, df.columns) == ["many"]
+
+
+def test_rank_correlations_of_few_values_and_many(spark, monkeypatch):
+    """With gaps in each column, on both ways."""
+    x, names, df = gappy(spark, 400, 5, seed=8)
+    both = []
+    for few in (stats.FEW, 30, 0):
+        monkeypatch.setattr(stats, "FEW", few)
+        got = {r.feature: (r.n, r.rho) for r in stats.spearman(df, names[1:], "c0").collect()}
+        assert set(got) == set(names[1:])
+        for a in range(1, 5):
+            known = ~np.isnan(x[:, 0]) & ~np.isnan(x[:, a])
+            want = None if a == 4 else np.corrcoef(ranks(x[known, 0]), ranks(x[known, a]))[0, 1]
+            assert got[names[a]] == (known.sum(), None if want is None else pytest.approx(want, abs=1e-9))
+        both.append(got)
+    none = df.withColumns({"none": F.lit(None).cast("double")})
+    assert stats.spearman(none, ["none"], "c0").count() == 0 and stats.spearman(df.limit(0), names[1:], "c0").count() == 0
+
+
+def test_features_of_few_values_are_shuffled_once_for_each_value_of_the_target(spark):
+    df = spark.range(0, 60_000, 1, 4).select("id", *[(F.xxhash64("id", F.lit(k)) % m).cast("double").alias(c) for k, (c, m) in enumerate({"a": 50, "b": 11, "c": 9, "y": 2000}.items())])
+    got = []
+    assert shuffled(spark, lambda: got.extend(stats.spearman(df, ["a", "b", "c"], "y").collect())) < 1_500_000
+    assert {r.feature: r.n for r in got} == dict.fromkeys("abc", 60_000)
