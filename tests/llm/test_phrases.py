@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -129,3 +130,22 @@ def test_sketch_grows_with_the_text(spark):
             live.update(grams.strings(own).to_pylist())
             of += len(grams.hash)
         assert live["ab"] == live["ab cd"] == n and sum(live.values()) - 3 * n < 0.05 * of
+
+
+@pytest.mark.parametrize("bits", [20, 22, 32])
+def test_cells_are_sent_without_copies_of_all(bits):
+    """A task's cells are sorted in place and sent in small batches; the receiver has each cell's count, clipped."""
+    cells = np.random.default_rng(9).integers(0, 1 << bits, 1 << 22, dtype=np.uint64).astype(np.uint32)
+    cells[:100_000] = cells[-1]
+    known, times = np.unique(cells, return_counts=True)
+    list(p._sent(cells[:9].copy(), p.BLOCK, 30))  # what is imported on first use isn't counted
+    got = []
+    tracemalloc.start()
+    for batch in p._sent(cells, p.BLOCK, 30):
+        now = tracemalloc.get_traced_memory()
+        assert now[1] - sum(at.nbytes for at in got) < cells.nbytes and batch.nbytes < p.SENT + 2 * p.PIECE
+        got += [p.places(raw.as_buffer()) + k * p.BLOCK for k, raw in zip(batch.column("block").to_pylist(), batch.column("cells"))]
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    sent, n = np.unique(np.concatenate(got), return_counts=True)
+    assert (sent == known).all() and (np.minimum(n, 30) == np.minimum(times, 30)).all()

@@ -36,6 +36,8 @@ MIN_BITS, MAX_BITS, DEPTH = 16, 30, 1
 STRETCH = 1 << 20
 #: Cells that a task sorts and sends at a time, and cells of the sketch that are summed by one task at a time.
 CHUNK, BLOCK = 1 << 24, 1 << 20
+#: Sorted cells that are made into a row at a time, and bytes of rows in an Arrow batch.
+PIECE, SENT = 1 << 18, 1 << 20
 #: Groups into which a language's candidates are dealt before they are ranked.
 SALTS = 64
 UNKNOWN = "und"
@@ -167,17 +169,26 @@ def places(raw: bytes) -> np.ndarray:
 
 
 def _sent(cells: np.ndarray, block: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The cells, each `most` times at most, as rows of blocks."""
+    """The cells as rows of a block, each cell `most` times at most in a row. Sorts them in place and works on PIECE of them at a time."""
     cells.sort()
-    fresh = np.ones(len(cells), bool)
-    fresh[most:] = cells[most:] != cells[:-most]
-    cells = cells[fresh]
-    of = cells // cells.dtype.type(block)
-    first = np.flatnonzero(np.diff(of.astype(np.int64), prepend=-1))
-    for few in np.array_split(first, -(-len(first) // 64)) if len(first) else ():
-        ends = np.append(few[1:], first[np.searchsorted(first, few[-1]) + 1] if few[-1] != first[-1] else len(cells))
-        raw = [gaps(cells[a:b] - of[a] * cells.dtype.type(block)) for a, b in zip(few, ends)]
-        yield pa.RecordBatch.from_arrays([pa.array(of[few].astype(np.int32)), pa.array(raw, pa.binary())], names=["block", "cells"])
+    of, raw, n, a = [], [], 0, 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(raw, pa.binary())], names=["block", "cells"])
+    while a < len(cells):
+        own = int(cells[a]) // block
+        some = cells[a : a + PIECE]
+        if int(some[-1]) // block != own:
+            some = some[: np.searchsorted(some, cells.dtype.type((own + 1) * block))]
+        a += len(some)
+        fresh = np.ones(len(some), bool)
+        fresh[most:] = some[most:] != some[:-most]
+        of.append(own)
+        raw.append(gaps(some[fresh] - cells.dtype.type(own * block)))
+        n += len(raw[-1])
+        if n >= SENT:
+            yield made()
+            of, raw, n = [], [], 0
+    if of:
+        yield made()
 
 
 def _merged(docs: DataFrame, bits: int, min_count: int, max_words: int, depth: int, finish) -> Iterator[tuple[int, pa.Buffer]]:
