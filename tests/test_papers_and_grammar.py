@@ -96,6 +96,14 @@ def test_grammar_features(spark):
     assert (got[2].sentences, got[3].errors_per_sentence) == (0, 0.0)
 
 
+def test_every_sentence_of_a_long_document_counts(spark):
+    df = spark.createDataFrame([(1, "All is well now. " * 600 + "He go home. " * 7)], "doc_id long, text string")
+    fix = lambda: lambda xs: [x.replace("go ", "goes ") for x in xs]
+    got = grammar.grammar_features(df, fix).first()
+    assert (got.sentences, got.grammar_edits) == (607, 7)
+    assert grammar.grammar_features(df, fix, max_sentences=500).first().sentences == 500
+
+
 ANSWERS = [
     ('{"native_like_score": 7, "confidence": 0.8, "verdict": 1, "reasons": ["a", " b ", ""]}', (True, 7, 0.8, 1, ["a", "b", "(no reason given)"])),
     ('Sure: {"native_like_score": "7.9", "confidence": 2, "verdict": 5, "reasons": "- one\\n* two\\n",}, done', (True, 7, 1.0, 1, ["one", "two", "(no reason given)"])),

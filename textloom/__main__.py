@@ -137,7 +137,7 @@ COMMANDS = {
     "readability-abstracts": (run_readability_abstracts, {}),
     "readability-papers": (run_readability_papers, {"split": {"nargs": "*"}, "chunk-size": _INT | {"default": 20}} | _SHARDS),
     "perplexity": (run_perplexity, {"scorer": {"required": True}, "window": _INT | {"default": 256}, "max-length": _INT | {"default": 1024}, "max-chars": _INT | {"default": 0}} | _SHARDS),
-    "grammar": (run_grammar, {"corrector": {"required": True}, "max-sentences": _INT | {"default": 500}, "details": {"action": "store_true"}} | _SHARDS),
+    "grammar": (run_grammar, {"corrector": {"required": True}, "max-sentences": _INT | {"default": None}, "details": {"action": "store_true"}} | _SHARDS),
     "judge": (run_judge, {"judge": {"required": True}, "max-chars": _INT | {"default": 40000}, "retries": _INT | {"default": 2}, "together": _INT | {"default": 1}, "deadline": {"type": float, "default": 0.0}, "wait": {"type": float, "default": 0.0}} | _SHARDS),
     "sample": (run_sample, {"by": {"default": "doi"}, "per-class": _INT | {"default": 45000}, "strata": _LIST, "seed": _INT | {"default": 42}}),
     "prepare": (run_prepare, {"numbers": _LIST, "fold": _LIST, "least": _INT | {"default": 100}, "targets": _LIST, "year": _INT | {"required": True}}),
