@@ -126,3 +126,39 @@ def test_join_takes_the_first_right_row(spark):
     right = spark.createDataFrame([(1, 5, 0), (1, 4, 1), (2, 9, 2), (2, 8, 1)], "k long, has_doi int, at int")
     got = {r.k: r.has_doi for r in cleaning.left_join_first(left, right, "k", ["at"]).collect()}
     assert got == {1: 5, 2: 8, 3: None}
+
+
+def test_likeness_is_that_of_sequence_matcher():
+    """Places that are looked at alone give SequenceMatcher's ratio, popular characters and early ends included."""
+    r = random.Random(4)
+    near = 0
+    for _ in range(1500):
+        size, letters = r.choice([0, 1, 6, 90, 199, 200, 201, 700]), r.choice(["ab", "abcdefghij klmnopqrstuvwxyz", "eeeeeettttaaaa xzq019"])
+        a = "".join(r.choice(letters) for _ in range(size))
+        b = list(a)
+        for _ in range(r.choice([0, 1, 3, 12])):
+            b.insert(r.randrange(len(b) + 1), r.choice(letters)) if r.random() < 0.5 or not b else b.pop(r.randrange(len(b)))
+        b = "".join(b)
+        ratio = SequenceMatcher(None, a, b).ratio()
+        near += 0.5 < ratio < 1
+        for limit in (0.5, 0.95, ratio, ratio + 1e-12):
+            assert cleaning._Known(b, cleaning._places(b)).like(a, cleaning._places(a), limit) == (ratio >= limit)
+    assert near > 500
+
+
+def test_prefixes_are_decided_in_many_tasks(spark, monkeypatch):
+    """A few kilobytes of texts take long to compare; adaptive execution has them in one task unless they are dealt."""
+    start = "a beginning that two texts share {} and that is longer than the prefix of a hundred and twenty characters by which texts meet in one group of "
+    df = spark.createDataFrame([(i, start.format(i // 2) + f" ends with {i}" * 9) for i in range(80)], "doc_id long, clean_text string")
+    df = df.withColumn("clean_text", F.concat(F.expr("string(doc_id div 2)"), "clean_text"))
+    seen = []
+
+    def settled(rows, tag, settle=cleaning.settle):
+        out = settle(rows, tag)
+        if tag == "decided":
+            seen.append(out.select(F.input_file_name()).distinct().count())
+        return out
+
+    monkeypatch.setattr(cleaning, "settle", settled)
+    cleaning.near_duplicates(df).count()
+    assert seen[0] > 1
