@@ -105,3 +105,22 @@ def test_long_texts_take_time_in_proportion(spark):
     assert [tuple(r) for r in got] == [(1, 59_999)]
     first = lm.trigrams(df).where(f"u = '{lm.START}'").collect()
     assert [(r.v, r.w, r.m) for r in first] == [("w0", "w1", 1)]
+
+
+def test_disk_is_given_back(spark, tmp_path):
+    """No shuffle outlives the table written from it, and of the model and the joins' tables none is left when the query returns."""
+    import os
+
+    from textloom.plans import QUERIES
+    from textloom.sources import staging
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for d in manager.localDirsString() for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    before, option = shuffles(), spark.conf.get(staging.CLEANUP, None)
+    staging.discard(staging.settle(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts"))
+    assert shuffles() - before == set() and spark.conf.get(staging.CLEANUP, None) == option
+    spark.createDataFrame(corpus(5, 40), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    left = set(os.listdir(staging.shared_dir(spark).removeprefix("file:")))
+    assert QUERIES["kneser_ney_perplexity"](spark, str(tmp_path)).count() == 40
+    made = {f.rsplit("-", 1)[0] for f in os.listdir(staging.shared_dir(spark).removeprefix("file:")) if f not in left}
+    assert made == {"scored-grams", "probabilities"}

@@ -106,7 +106,7 @@ def fit(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT) ->
 
 
 def probabilities(grams: DataFrame, m: Model) -> DataFrame:
-    """Adds p to distinct grams(u, v, w)."""
+    """Adds p to distinct grams(u, v, w); a written table. Each join is written before the next one shuffles, so that the disk holds the shuffles of one join at a time."""
     d = F.lit(m.discount)
 
     def level(c: str, t: str, k: str, lower: Column) -> Column:
@@ -120,25 +120,33 @@ def probabilities(grams: DataFrame, m: Model) -> DataFrame:
             same = same & (F.col(k) == F.col(f"__{k}"))
         return out, same
 
-    def joined(out: DataFrame, *tables) -> DataFrame:
-        for df, keys, names in tables:
-            table, same = side(df, keys, **names)
-            out = out.join(table, same, "left").drop(*[f"__{k}" for k in keys])
-        return out
+    def joined(out: DataFrame, df: DataFrame, keys: list[str], **names: str) -> DataFrame:
+        table, same = side(df, keys, **names)
+        return out.join(table, same, "left").drop(*[f"__{k}" for k in keys])
+
+    def step(out: DataFrame, df: DataFrame, keys: list[str], **names: str) -> DataFrame:
+        return settle(joined(out, df, keys, **names), "looked-up")
 
     unknown = F.lit(1.0 / (m.words + 1))
     p1 = (F.greatest(F.coalesce(F.col("c1"), F.lit(0)) - d, F.lit(0.0)) + d * F.lit(m.words) * unknown) / F.lit(float(m.total)) if m.total else unknown
+    own = step(grams, m.c3, ["u", "v", "w"], c3="c")
     # the lower orders once for each pair of words
-    pairs = joined(grams.select("v", "w").distinct(), (m.c2, ["v", "w"], {"c2": "c"}), (m.x2, ["v"], {"t2": "t", "k2": "d"}), (m.c1, ["w"], {"c1": "c"}))
-    pairs = pairs.select("v", "w", level("c2", "t2", "k2", p1).alias("p2"))
-    out = joined(grams, (m.c3, ["u", "v", "w"], {"c3": "c"}), (m.x3, ["u", "v"], {"t3": "t", "k3": "d"}), (pairs, ["v", "w"], {"p2": "p2"}))
-    return out.select("u", "v", "w", level("c3", "t3", "k3", F.col("p2")).alias("p"))
+    seen = step(own.select("v", "w").distinct(), m.c2, ["v", "w"], c2="c")
+    behind = step(seen, m.x2, ["v"], t2="t", k2="d")
+    discard(seen)
+    pairs = settle(joined(behind, m.c1, ["w"], c1="c").select("v", "w", level("c2", "t2", "k2", p1).alias("p2")), "pairs")
+    discard(behind)
+    whole = step(own, m.x3, ["u", "v"], t3="t", k3="d")
+    discard(own)
+    out = settle(joined(whole, pairs, ["v", "w"], p2="p2").select("u", "v", "w", level("c3", "t3", "k3", F.col("p2")).alias("p")), "probabilities")
+    discard(whole, pairs)
+    return out
 
 
 def perplexity(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_pred_tokens, neg_log_likelihood, perplexity, status of each text."""
     own = settle(trigrams(docs, text_col, [id_col]), "scored-grams")
-    p = settle(probabilities(own.select("u", "v", "w").distinct(), m), "probabilities").withColumnsRenamed({k: f"__{k}" for k in "uvw"})
+    p = probabilities(own.select("u", "v", "w").distinct(), m).withColumnsRenamed({k: f"__{k}" for k in "uvw"})
     same = F.expr("u = __u and v = __v and w = __w")
     sums = own.join(p, same).groupBy(F.col(id_col).alias("__id")).agg(F.sum("m").alias("n_pred_tokens"), (-F.sum(F.col("m") * F.log("p"))).alias("neg_log_likelihood"))
     sizes = docs.groupBy(id_col).agg(F.sum(F.size(words(F.col(text_col)))).cast("long").alias("n_tokens"))
