@@ -169,6 +169,17 @@ def test_sweep(spark):
         assert by["boosted"].roc_auc > 0.8
 
 
+def test_sweep_prepares_once(spark, monkeypatch):
+    """The columns of a sweep are prepared and written once, whatever the number of thresholds; one without two classes is left out."""
+    df = spark.range(400).selectExpr("id * 7 % 13 as a", "id % 5 as b", "id % 30 as count")
+    calls = []
+    for name in ("prepare", "settle"):
+        monkeypatch.setattr(models, name, lambda *a, f=getattr(models, name), name=name, **k: calls.append((name, *a[1:2])) or f(*a, **k))
+    got = models.sweep(df, df, ["a", "b"], "count", {"logistic": models.Logistic(5)}, [3, 10, 20, 90]).collect()
+    assert sorted((r.threshold, r.positive_rate) for r in got) == [(t, pytest.approx(df.where(f"count > {t}").count() / 400)) for t in (3, 10, 20)]
+    assert sum(c[0] == "prepare" for c in calls) == 1 and calls.count(("settle", "sweep")) == 2
+
+
 def test_ablation(spark):
     rows = {r.config: r for r in QUERIES["ablation"](spark, FOLDER).collect()}
     base = rows["M0"]
